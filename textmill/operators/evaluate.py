@@ -12,6 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Names of the labels and the fields of the three reports.
+LABEL_TITLES = {0: "Negative", 2: "Neutral", 4: "Positive"}
+REPORTS = {
+    "train": ("accuracy", "precision", "recall", "f1", "error_rate", "confusion_matrix"),
+    "classification": ("accuracy", "error_rate", "precision", "confusion_matrix"),
+    "predictions": ("accuracy", "precision"),
+}
+
+
 def count_cells(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """Observed cells (actual, predicted, n); rows without a true label do not count."""
     judged = df.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
@@ -20,17 +29,70 @@ def count_cells(df: DataFrame, actual: str = "actual", predicted: str = "predict
     )
 
 
+def _count(keep) -> Column:
+    """Rows in the cells that satisfy a condition."""
+    counts = F.transform(F.filter("cells", keep), lambda c: c["n"])
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda total, n: total + n)
+
+
+def _totals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """One row: cells, labels and per_label (support, chosen, hits, precision, recall, f1).
+
+    All of it is derived from the array of cells, so every report reads the data exactly once.
+    """
+    cell = F.struct("actual", "predicted", "n")
+    one = count_cells(df, actual, predicted).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    side = lambda name: F.transform("cells", lambda c: c[name])
+    one = one.withColumn("labels", F.array_sort(F.array_distinct(F.concat(side("actual"), side("predicted")))))
+
+    counted = F.transform(
+        "labels",
+        lambda v: F.struct(
+            v.alias("label"),
+            _count(lambda c: c["actual"] == v).alias("support"),
+            _count(lambda c: c["predicted"] == v).alias("chosen"),
+            _count(lambda c: (c["actual"] == v) & (c["predicted"] == v)).alias("hits"),
+        ),
+    )
+    ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    scored = F.transform(
+        counted,
+        lambda t: F.struct(
+            t["label"].alias("label"), t["support"].alias("support"), t["hits"].alias("hits"),
+            ratio(t["hits"], t["chosen"]).alias("precision"),
+            ratio(t["hits"], t["support"]).alias("recall"),
+            # the harmonic mean of both, written on the counts
+            ratio(2 * t["hits"], t["chosen"] + t["support"]).alias("f1"),
+        ),
+    )
+    return one.withColumn("per_label", scored)
+
+
+def _sum(body) -> Column:
+    return F.aggregate(F.transform("per_label", lambda t: body(t).cast("double")), F.lit(0.0), lambda a, x: a + x)
+
+
+def _weighted(name: str) -> Column:
+    rows = _sum(lambda t: t["support"])
+    return F.when(rows > 0, _sum(lambda t: t[name] * t["support"]) / rows).otherwise(0.0).alias(name)
+
+
+def _accuracy() -> Column:
+    rows = _sum(lambda t: t["support"])
+    return F.when(rows > 0, _sum(lambda t: t["hits"]) / rows)
+
+
+def _grid() -> Column:
+    """Every (actual, predicted, n) of the label grid, empty cells included."""
+    cell = lambda a, p: F.struct(
+        a.alias("actual"), p.alias("predicted"), _count(lambda c: (c["actual"] == a) & (c["predicted"] == p)).alias("n")
+    )
+    return F.flatten(F.transform("labels", lambda a: F.transform("labels", lambda p: cell(a, p))))
+
+
 def confusion_matrix(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """(actual, predicted, n) over the union of both label sets, empty cells included."""
-    observed = F.map_from_entries(
-        F.collect_list(F.struct(F.struct("actual", "predicted").alias("cell"), "n"))
-    )
-    labels = F.array_distinct(F.concat(F.collect_set("actual"), F.collect_set("predicted")))
-    one = count_cells(df, actual, predicted).agg(observed.alias("m"), labels.alias("labels"))
-    rows = one.select("m", "labels", F.explode("labels").alias("actual"))
-    grid = rows.select("m", "actual", F.explode("labels").alias("predicted"))
-    n = F.coalesce(F.col("m")[F.struct("actual", "predicted")], F.lit(0))
-    return grid.select("actual", "predicted", n.cast("bigint").alias("n"))
+    return _totals(df, actual, predicted).select(F.inline(_grid()))
 
 
 def confusion_matrix_wide(
@@ -45,80 +107,41 @@ def confusion_matrix_wide(
 
 def confusion_heat(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """Cells as a share of the largest cell, with label names."""
-    cells = confusion_matrix(df, actual, predicted)
-    names = F.create_map(*(F.lit(v) for pair in ((0, "Negative"), (2, "Neutral"), (4, "Positive")) for v in pair))
-    name = lambda c: F.coalesce(names[F.col(c).cast("int")], F.col(c).cast("string"))
-    largest = count_cells(df, actual, predicted).agg(F.max("n")).scalar()
-    return cells.select(
-        name("actual").alias("actual_name"), name("predicted").alias("predicted_name"), "n", (F.col("n") / largest).alias("heat")
-    )
+    one = _totals(df, actual, predicted)
+    largest = F.array_max(F.transform("cells", lambda c: c["n"])).alias("largest")
+    cells = one.select(largest, _grid().alias("grid")).select("largest", F.inline("grid"))
+    names = F.create_map(*(F.lit(v) for pair in LABEL_TITLES.items() for v in pair))
+    name = lambda c: F.coalesce(names[F.col(c).cast("int")], F.col(c).cast("string")).alias(f"{c}_name")
+    return cells.select(name("actual"), name("predicted"), "n", (F.col("n") / F.col("largest")).alias("heat"))
 
 
 def per_label(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """(label, support, precision, recall, f1); a division by zero gives 0."""
-    cells = count_cells(df, actual, predicted)
-    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
-    none = F.lit(0).cast("bigint")
-    side = lambda label, support, chosen, hits: F.struct(
-        F.col(label).alias("label"), support.alias("support"), chosen.alias("chosen"), hits.alias("hits")
-    )
-    n = F.col("n")
-    sides = cells.select(F.inline(F.array(side("actual", n, none, hit), side("predicted", none, n, none))))
-    sums = sides.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("support", "chosen", "hits")))
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    scored = sums.withColumn("precision", ratio(F.col("hits"), F.col("chosen"))).withColumn(
-        "recall", ratio(F.col("hits"), F.col("support"))
-    )
-    p, r = F.col("precision"), F.col("recall")
-    return scored.withColumn("f1", ratio(2 * p * r, p + r)).select("label", "support", "precision", "recall", "f1")
-
-
-def _weighted(name: str) -> Column:
-    total = F.sum("support")
-    return F.when(total > 0, F.sum(F.col(name) * F.col("support")) / total).otherwise(0.0).alias(name)
+    """(label, support, hits, precision, recall, f1); a division by zero gives 0."""
+    return _totals(df, actual, predicted).select(F.inline("per_label"))
 
 
 def weighted_prf(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """One row: precision, recall and F1, weighted by the number of true rows."""
-    return per_label(df, actual, predicted).agg(*(_weighted(m) for m in ("precision", "recall", "f1")))
+    return _totals(df, actual, predicted).select(*(_weighted(m) for m in ("precision", "recall", "f1")))
 
 
 def accuracy_error(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """One row: accuracy and error_rate; NULL without judged rows."""
-    cells = count_cells(df, actual, predicted)
-    right = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
-    accuracy = cells.agg((right / F.sum("n")).alias("accuracy"))
+    accuracy = _totals(df, actual, predicted).select(_accuracy().alias("accuracy"))
     return accuracy.withColumn("error_rate", 1 - F.col("accuracy"))
 
 
-# The fields of the three reports.
-REPORTS = {
-    "train": ("accuracy", "precision", "recall", "f1", "error_rate", "confusion_matrix"),
-    "classification": ("accuracy", "error_rate", "precision", "confusion_matrix"),
-    "predictions": ("accuracy", "precision"),
-}
-
-
 def metric_report(
     df: DataFrame, actual: str = "actual", predicted: str = "predicted", report: str = "train"
 ) -> DataFrame:
     """One row with the fields of a report; the matrix is an array of (actual, predicted, n)."""
-    cells = count_cells(df, actual, predicted)
-    right = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
-    totals = cells.agg((right / F.sum("n")).alias("accuracy"))
-    prf = weighted_prf(df, actual, predicted).select(F.struct("*")).scalar()
-    matrix = confusion_matrix(df, actual, predicted).agg(
-        F.array_sort(F.collect_list(F.struct("actual", "predicted", "n")))
-    )
     fields = {
-        "accuracy": F.col("accuracy"),
-        "error_rate": (1 - F.col("accuracy")).alias("error_rate"),
-        "precision": prf["precision"].alias("precision"),
-        "recall": prf["recall"].alias("recall"),
-        "f1": prf["f1"].alias("f1"),
-        "confusion_matrix": matrix.scalar().alias("confusion_matrix"),
+        "accuracy": _accuracy().alias("accuracy"),
+        "error_rate": (1 - _accuracy()).alias("error_rate"),
+        "confusion_matrix": _grid().alias("confusion_matrix"),
+        **{m: _weighted(m) for m in ("precision", "recall", "f1")},
     }
-    return totals.select(*(fields[f] for f in REPORTS[report]))
+    return _totals(df, actual, predicted).select(*(fields[f] for f in REPORTS[report]))
 
 
 def rand_index(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
