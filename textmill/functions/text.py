@@ -13,18 +13,19 @@ from textmill.functions.language import detect_language
 from textmill.options import TextOptions
 
 # The result depends on these patterns and marker lists.
-SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\p{Z}"
+SPACE = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x20\x{85}\x{A0}\p{Z}"
 BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WORD = r"\p{L}\p{N}_"
+WORD = r"_\p{L}\p{N}"
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 MENTION_PATTERN = f"@[{WORD}]+"
 TAG_PATTERN = r"<[^>]+>"
 PUNCTUATION_PATTERN = f"[^{WORD}{SPACE}]"
 URL_PATTERN = f"https?://[^{SPACE}]+|www\\.[^{SPACE}]+"
 RETWEET_PATTERN = "^RT[ @]"
+MARKER_START_PATTERN = r"[:;<^\x{2639}\x{1F400}-\x{1F9FF}]"
 POSITIVE_MARKERS = [
     "😀", "😃", "😄", "😁", "😊", "😍", "🥰", "👍", "🤩", "😂", "😎", "😉", "😘",
     ":)", ":-)", ";)", ";-)", "<3", "^^",
@@ -69,8 +70,7 @@ def _has_any(c: Column, markers: Sequence[str]) -> Column:
 
 def is_contradictory(c: Column) -> Column:
     """A positive and a negative marker in one text; most texts hold no character a marker starts with."""
-    starts = "".join(sorted({m[0] for m in POSITIVE_MARKERS + NEGATIVE_MARKERS} - {"^"}))
-    return c.rlike(f"[{starts}^]") & _has_any(c, POSITIVE_MARKERS) & _has_any(c, NEGATIVE_MARKERS)
+    return c.rlike(MARKER_START_PATTERN) & _has_any(c, POSITIVE_MARKERS) & _has_any(c, NEGATIVE_MARKERS)
 
 
 def strip_punctuation(c: Column) -> Column:
@@ -80,7 +80,7 @@ def strip_punctuation(c: Column) -> Column:
 
 def collapse_spaces(c: Column) -> Column:
     """One space per run of white space, none at the ends; single spaces are not rewritten."""
-    return strip(F.regexp_replace(c, f"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+", " "))
+    return strip(F.regexp_replace(c, f"(?! [^{SPACE}])[{SPACE}]+", " "))
 
 
 def strip_urls(c: Column) -> Column:

@@ -33,12 +33,15 @@ def ngrams(tokens: Column, ngram: str = "unigram") -> Column:
     if not sizes:
         return tokens
 
-    def grams(ws: Column, n: int) -> Column:
-        starts = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - (n - 1)))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(ws, i, n), "_"))
-        return F.coalesce(joined, F.array().cast("array<string>"))
-
-    return bind(tokens, lambda ws: F.concat(ws, *(grams(ws, n) for n in sizes)))
+    def all_grams(ws: Column) -> Column:
+        grams = [ws]
+        for n in sizes:
+            # each n-gram is the (n-1)-gram at its place followed by the word n-1 places further on
+            longer = F.zip_with(grams[-1], F.slice(ws, n, F.size(ws)), lambda g, w: F.concat(g, F.lit("_"), w))
+            grams.append(F.filter(longer, lambda g: g.isNotNull()))
+        return F.concat(*grams)
+
+    return bind(tokens, all_grams)
 
 
 def terms(c: Column) -> Column:

@@ -62,6 +62,12 @@ def with_row_idx(df: DataFrame, name: str = "row_idx") -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of a few unsplittable files; larger inputs keep their splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def choose_delimiter(spark: SparkSession, path: str, sample_lines: int = 1000) -> str:
     """Comma, unless the sampled lines disagree on their comma count while bars are regular."""
     lines = spark.read.text(path).limit(sample_lines)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textmill.sources.files import spread
+
 VIEWS = {
     "tweets": """
         SELECT d.doc_id AS doc_id,
@@ -67,6 +69,7 @@ NEEDS = {
     "runs": ("events",),
 }
 
+TEXT_TABLES = ("documents", "pages", "conversations")
 POSITIVES = ["with", "this", "from", "for"]
 NEGATIVES = ["was", "but", "that", "der"]
 
@@ -74,7 +77,8 @@ NEGATIVES = ["was", "but", "that", "der"]
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a view over the given tables."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
     return spark.sql(VIEWS[name], **{n: load(spark, sf_dir, n) for n in NEEDS[name]})
 
 
