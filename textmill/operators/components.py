@@ -13,7 +13,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) with component the smallest node of each; ``edges(a, b)`` in any direction.
 
     A round hands every node the smallest label among its neighbours and then follows that label
-    one step, so chains halve per round. Rounds are checkpointed; the loop ends on a round without
+    one step, so chains halve per round. Rounds are written; the loop ends on a round without
     changes. The minima are combined before the shuffle, and labels that many nodes share are looked
     up through a bounded broadcast, so a giant component does not end up in one task.
     """
