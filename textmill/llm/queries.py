@@ -1,4 +1,4 @@
 """All queries of the subpackage: importing the operators registers them."""
 
-from textmill.llm import mixing, secrets  # noqa: F401
+from textmill.llm import ann, bpe, exact_search, mixing, secrets, tokenfiles  # noqa: F401
 from textmill.llm.registry import ORACLES, QUERIES  # noqa: F401
