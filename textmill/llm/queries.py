@@ -1,4 +1,4 @@
 """All queries of the subpackage: importing the operators registers them."""
 
-from textmill.llm import ann, bpe, exact_search, minhash, mixing, secrets, tokenfiles, toxicity  # noqa: F401
+from textmill.llm import ann, bpe, exact_search, minhash, mixing, secrets, substrings, tokenfiles, toxicity  # noqa: F401
 from textmill.llm.registry import ORACLES, QUERIES  # noqa: F401
