@@ -4,11 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textmill.llm.bpe import digests, read_ranks, token_bytes, tokenizer_json
+from textmill.llm.common import table
+from textmill.llm.minhash import one_of_each
 from textmill.llm.mixing import mix
 from textmill.llm.secrets import redact, scan
+from textmill.llm.toxicity import THRESHOLD, fit, score
 from textmill.sources.scratch import checkpoint, new_path
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out the documents that the toxicity model scores at its threshold or above."""
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs, model, out="toxicity_score")
+    return scored.filter(scored["toxicity_score"] < THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one of the smallest id."""
+    return one_of_each(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask what the secret scan finds; all documents stay."""
     return redact(scan(docs, "doc_id", "text", new_path(spark, "ledger")), "text")
@@ -19,12 +35,27 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-STAGES = [("secret_scan", secret_scan), ("mixing", mixing)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digests of each document's ids and of the bytes that they decode to."""
+    import public_tokenizers
+
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return digests(docs.select("doc_id", "text"), tokenizer_json(ranks, public_tokenizers.PATTERN), token_bytes(ranks))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("mixing", mixing),
+    ("encoding", encoding),
+]
+#: None: a trained network and sampled signatures have no SQL form; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = checkpoint(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
