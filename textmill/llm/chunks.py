@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_CHUNKS = 300_000  # entries of a worker's table of encoded chunks
+KEPT_CHUNKS = 400_000  # entries of a worker's table of encoded chunks
 PIECE_BYTES = 16 << 20  # text that is worked on at a time
+JOINED_CHUNKS = 1000  # new chunks that are encoded as one text
 
 
 def safe_cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -29,45 +31,84 @@ def safe_cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     last, before = data[at - 1], data[at - 2]
     plain = (last > 32) & (last < 127)
     letter = (last >= 128) & (before >= 0xC3) & (before <= 0xDF)
-    cuts = np.concatenate([starts[starts < len(data)], at[plain | letter]])
-    return np.unique(cuts)
+    marked = np.zeros(len(data), bool)
+    marked[starts[starts < len(data)]] = True
+    marked[at[plain | letter]] = True
+    return np.flatnonzero(marked)
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[starts[0] : starts[0] + lengths[0]], values[starts[1] : ...], ... in a row."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
 class ChunkEncoder:
-    """Keeps the ids of chunks; ``encode`` turns a list of chunks into a list of id lists."""
+    """Encodes texts chunk by chunk and keeps the ids of the chunks."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, tokenizer):
+        tokenizer.encode_special_tokens = True
+        self.tokenizer = tokenizer
+        # tokens are written with one character for each byte
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
         self._clear()
 
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in a row, number of ids of each).
+
+        Chunks that start with a space and end with a character may follow each other in one text, since
+        no match leaves them; the sizes of the tokens tell where each one ends.
+        """
+        joins = np.fromiter((c[0] == " " and not c[-1].isspace() for c in chunks), bool, len(chunks))
+        order = np.argsort(~joins, kind="stable")  # those that may be joined come first
+        n = int(joins.sum())
+        ordered = [chunks[i] for i in order]
+        texts = ["".join(ordered[i : min(i + JOINED_CHUNKS, n)]) for i in range(0, n, JOINED_CHUNKS)] + ordered[n:]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in ordered), np.int64, len(ordered)))
+        last = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+        lengths = np.diff(last, prepend=0)
+        counts = np.empty(len(chunks), np.int64)
+        counts[order] = lengths
+        starts = np.empty(len(chunks), np.int64)
+        starts[order] = last - lengths
+        return ragged(ids, starts, counts).astype(np.uint32), counts
+
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.ids = np.empty(0, np.uint32)
-        self.starts = self.lengths = np.empty(0, np.int64)
+        self.starts = self.lengths = self.uses = np.empty(0, np.int64)
+
+    def _make_room(self) -> None:
+        """Keep the chunks that were met in more than one batch, at most half of the table."""
+        most = np.sort(self.uses)[-KEPT_CHUNKS // 2]
+        kept = np.flatnonzero(self.uses > max(1, most))
+        chunks = list(self.place)
+        self.place = {chunks[i]: n for n, i in enumerate(kept.tolist())}
+        self.ids = ragged(self.ids, self.starts[kept], self.lengths[kept])
+        self.lengths, self.uses = self.lengths[kept], self.uses[kept]
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def _rows(self, chunks: list[str]) -> np.ndarray:
         if len(self.place) > KEPT_CHUNKS:
-            self._clear()
+            self._make_room()
         place = self.place
         rows = np.fromiter((place.get(c, -1) for c in chunks), np.int64, len(chunks))
         new = np.flatnonzero(rows < 0)
         if len(new):
             fresh = [chunks[i] for i in new]
-            found = self.encode(fresh)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            flat, lengths = self.encode(fresh)
             rows[new] = np.arange(len(place), len(place) + len(new))
             place.update(zip(fresh, rows[new].tolist(), strict=True))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
             self.ids = np.concatenate([self.ids, flat])
+        self.uses[rows] += 1
         return rows
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +159,5 @@ def worker_encoder(key: str, load: Callable[[], object]) -> ChunkEncoder:
     """The encoder of this Python worker for the tokenizer that ``load`` gives, loaded once."""
     if key not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel units
-        tokenizer = load()
-        tokenizer.encode_special_tokens = True
-        _encoders[key] = ChunkEncoder(
-            lambda chunks: [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        )
+        _encoders[key] = ChunkEncoder(load())
     return _encoders[key]
