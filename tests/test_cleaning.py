@@ -44,8 +44,7 @@ def test_missing_rules(spark):
     assert len(fill("drop_rows", ())) == 3
 
 
-def test_exact_median_narrows(spark, monkeypatch):
-    monkeypatch.setattr(missing, "EXACT_BELOW", 50)
+def test_exact_median_narrows(spark):
     even = spark.range(0, 20_000).select((F.col("id") * 3 % 20_000).cast("double").alias("v"))
     assert missing.exact_median(even, "v") == 9999.5
     hot = spark.range(0, 9_001).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") / 2).alias("v"))
@@ -53,6 +52,8 @@ def test_exact_median_narrows(spark, monkeypatch):
     assert missing.exact_median(hot, "v") == values[4500]
     same = spark.range(0, 5_000).select(F.lit(2.5).alias("v"))
     assert missing.exact_median(same, "v") == 2.5
+    both = spark.range(0, 101).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"), F.lit(None).cast("int").alias("c"))
+    assert missing.exact_medians(both, ["a", "b", "c"]) == {"a": 50.0, "b": 100.0}
 
 
 def test_validations(spark):

@@ -4,8 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.operators import classify, clustering, evaluate, labelling, similarity, skew
+from textmill.operators import classify, clustering, evaluate, features, labelling, similarity, skew
 from textmill.operators.components import connected_components
+from textmill.plans import labelling as label_runs
 from textmill.plans import training
 
 
@@ -105,17 +106,103 @@ def test_components(spark):
 def test_balanced_joins_equal_plain_joins(spark):
     df = spark.range(300).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"), "id")
     table = spark.range(0, 35).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    hot = spark.createDataFrame([(0,), (1,)], "k long")
     want = sorted(map(tuple, df.join(table, "k").select("k", "id", "v").collect()))
-    for heavy in (None, hot):
-        got = skew.lookup_join(df, table, "k", heavy).select("k", "id", "v").collect()
-        assert sorted(map(tuple, got)) == want
+    assert sorted(map(tuple, skew.lookup_join(df, table, "k").select("k", "id", "v").collect())) == want
     pairs = skew.salted_pairs(df, df, "k", skew.self_sizes(df, "k"), F.col("a.id") < F.col("b.id"), rows_per_task=10)
     plain = df.alias("a").join(df.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")))
     ids = lambda j: sorted(map(tuple, j.select("a.id", "b.id").collect()))
     assert ids(pairs) == ids(plain)
 
 
+def test_every_heavy_key_is_cut(spark):
+    # more than a thousand keys above the limit: no block of any of them holds more than a few rows too many
+    df = spark.range(1200 * 12).select((F.col("id") % 1200).alias("k"), "id")
+    cut = skew._in_blocks(df, "k", skew.self_sizes(df, "k"), "n_left", "n_right", 2)
+    blocks = cut.groupBy("k", "__own", "__other").count()
+    assert blocks.select("k").distinct().count() == 1200
+    assert blocks.filter("count > 9").count() == 0 and blocks.groupBy("k").agg(F.countDistinct("__other").alias("n")).filter("n <> 6").count() == 0
+    pairs = skew.salted_pairs(df, df, "k", skew.self_sizes(df, "k"), F.col("a.id") < F.col("b.id"), rows_per_task=2)
+    assert pairs.count() == 1200 * 66
+
+
+def test_mapping_of_many_labels():
+    rng = random.Random(4)
+    labels, ids = list(range(4)), list(range(6))
+    hits = {(a, c): rng.randint(0, 5) for a in labels for c in ids}
+    best = max(itertools.permutations(ids, 4), key=lambda m: sum(hits[pair] for pair in zip(labels, m)))
+    assert labelling.best_mapping(labels, ids, hits) == dict(zip(labels, best))
+    many = labelling.best_mapping(list(range(8)), list(range(64)), {(k, 9 * k): 5 for k in range(8)})
+    assert many == {k: 9 * k for k in range(8)}
+
+
+def test_dbscan_equals_brute_force_for_any_eps(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["apple", "pear", "plum", "fig", "kiwi", "lime"]) for _ in range(rng.randint(1, 4))) for _ in range(40)] + ["", "!", "the"]
+    df = frame(spark, texts)
+    weights = {}
+    for r in features.tfidf(df, "text").collect():
+        weights.setdefault(r["row_idx"], {})[r["term"]] = r["weight"]
+    vector = [weights.get(i, {}) for i in range(len(texts))]
+    far = lambda a, b: max(0.0, sum(a.get(t, 0) ** 2 + b.get(t, 0) ** 2 - 2 * a.get(t, 0) * b.get(t, 0) for t in {*a, *b})) ** 0.5
+    for eps in (0.5, 1.0, 1.2, 1.5):
+        near = [[j for j, b in enumerate(vector) if far(a, b) <= eps + 1e-9] for a in vector]
+        core = {i for i, n in enumerate(near) if len(n) >= 5}
+        want = [-1] * len(texts)
+        for i in sorted(core):
+            if want[i] == -1:
+                todo, want[i] = [i], i
+                while todo:
+                    for j in near[todo.pop()]:
+                        if j in core and want[j] == -1:
+                            want[j] = i
+                            todo.append(j)
+        for i in set(range(len(texts))) - core:
+            want[i] = min((want[j] for j in near[i] if j in core), default=-1)
+        got = {r["row_idx"]: r["cluster"] for r in clustering.dbscan(df, "text", eps).collect()}
+        assert [got[i] for i in range(len(texts))] == want, eps
+
+
+def test_counts_inside_the_row(spark):
+    df = spark.createDataFrame([(1, "b a b c b"), (2, ""), (3, None)], "row_idx long, text string")
+    got = sorted(map(tuple, features.term_counts(df, "text").collect()))
+    assert got == [(1, "a", 1), (1, "b", 3), (1, "c", 1)]
+
+
+def test_runs_are_stored_and_found_again(spark, tmp_path):
+    rows = [(i, ("good fine day and more of it", "bad sad night and more of it", "plain table and more of it")[i % 3] + f" x{i}", (4, 0, 2)[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_idx long, text string, target int")
+    df.write.parquet(f"{tmp_path}/labelled")
+    artefacts = spark.createDataFrame([(None, "", f"{tmp_path}/labelled")], "original_file string, cleaned_file string, labeled_file string")
+    store = f"{tmp_path}/store"
+    with pytest.raises(ValueError):
+        training.predict_latest(spark, store, "s", df)
+    sad = spark.createDataFrame([(0, "a sad bad night and more of it")], "row_idx long, text string")
+    options = {"naive_automatic": {"positives": ["good"], "negatives": ["bad"]}, "decision_tree": {"max_depth": 4}}
+    for minute, algorithm in enumerate(("naive_automatic", "knn", "decision_tree", "naive_bayes")):
+        training.train_and_store(artefacts, store, "s", algorithm, f"2025-01-01 00:0{minute}:00", **options.get(algorithm, {}))
+        assert training.predict_latest(spark, store, "s", sad).predictions.first()["predicted"] == 0
+        assert training.evaluation_report(training.read_runs(spark, store)).first()["algorithm"] == algorithm
+    bad = spark.createDataFrame([(0, "a long enough text without label", "x")], "row_idx long, text string, target string")
+    result = training.predict_latest(spark, store, "s", bad)
+    assert result.metrics is None and "target" in result.error
+    with pytest.raises(ValueError, match="no text column"):
+        training.predict_dataset(None, spark.createDataFrame([(0, "ab")], "row_idx long, short string"))
+
+
+def test_labelling_runs(spark):
+    df = frame(spark, ["love this long text", "bad and long text", "nothing to see here"])
+    run = label_runs.label_with_keywords(df, {"positive": ["love"], "negative": ["bad"]})
+    assert run.text == "text" and [r["target"] for r in run.preview.collect()] == [4, 0, 2] and run.summary.first()["labeled"] == 2
+    lists = {"negative": spark.createDataFrame([("nothing",)], "word string")}
+    assert label_runs.label_with_keywords(df, None, lists).summary.first()["label_0"] == 1
+    with pytest.raises(ValueError):
+        label_runs.label_with_keywords(df)
+    clusters = label_runs.label_with_clusters(df, "dbscan", min_samples=1)
+    assert sorted(r["target"] for r in clusters.data.collect()) == [0, 2, 4]
+    notes = spark.createDataFrame([(1, 0, 4)], "seq int, row_idx long, label int")
+    assert label_runs.label_with_annotations(df, notes, stop_early=True).data.count() == 1
+
+
 def test_keyword_ties_differ(spark):
     df = spark.createDataFrame([("love bad",), ("so bad",), ("nothing",), (None,)], "t string")
     words = {"pos": ["love"], "neg": ["bad"]}

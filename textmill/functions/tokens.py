@@ -44,6 +44,28 @@ def ngrams(tokens: Column, ngram: str = "unigram") -> Column:
     return bind(tokens, all_grams)
 
 
+def token_counts(tokens: Column) -> Column:
+    """Array of (token, n) structs: how often each token occurs in the array, without leaving the row.
+
+    Equal tokens are neighbours once sorted; a token's count is the distance from its first place to the
+    next token's.
+    """
+
+    def counted(t: Column) -> Column:
+        last = F.size(t) - 1
+        starts = F.filter(
+            F.transform(t, lambda w, i: F.when((i == 0) | (w != F.get(t, i - 1)), i)), lambda i: i.isNotNull()
+        )
+        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(last + 1))
+        return F.zip_with(
+            starts, ends, lambda a, b: F.struct(F.get(t, a).alias("token"), (b - a).cast("bigint").alias("n"))
+        )
+
+    return bind(
+        F.array_sort(tokens), lambda t: F.when(F.size(t) > 0, counted(t)).otherwise(F.array().cast("array<struct<token:string,n:bigint>>"))
+    )
+
+
 def terms(c: Column) -> Column:
     """Runs of two or more word characters, lower-cased (the vectoriser's tokens)."""
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TERM_PATTERN), F.lit(1))

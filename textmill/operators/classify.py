@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -9,7 +10,7 @@ from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.functions.tokens import ngrams, words
+from textmill.functions.tokens import ngrams, token_counts, words
 from textmill.operators.features import fit_vectoriser, vectorise
 from textmill.operators.similarity import SLACK, ranked_tokens, row_sets
 from textmill.operators.skew import lookup_join, salted_pairs
@@ -146,35 +147,36 @@ def naive_bayes_likelihood(model: NaiveBayesModel) -> DataFrame:
 def naive_bayes_scores(model: NaiveBayesModel, df: DataFrame, text: str, row_idx: str = "row_idx") -> DataFrame:
     """(row_idx, scores): per class a struct (score, target), one row per text; unseen tokens are left out.
 
-    Tokens are counted per row first, then looked up: the most frequent tokens of the model through a
-    bounded broadcast, the others by shuffle. The classes are a handful of literals, so all their
-    sums come from one aggregate.
+    Tokens are counted inside the row, then looked up. The classes are a handful of literals, so all
+    their sums come from one aggregate. A text's prior travels as one more token that no text can hold
+    (tokens have no white space), so texts without a known token are decided by the priors alone.
     """
     classes = sorted(model.classes.collect(), key=lambda c: c["target"])
-    placed = df.select(row_idx, F.col(text)).repartition(F.col(row_idx))
-    counted = (
-        _class_tokens(placed, text, model.ngram, model.feature_rep, row_idx)
-        .groupBy(row_idx, "token")
-        .agg(F.count("*").alias("times"))
-    )
-    frequent = model.tokens.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(1000)
-    known = lookup_join(counted, _count_maps(model), "token", frequent)
-    parts = known.select(
+    grams = ngrams(words(F.col(text)), model.ngram)
+    if model.feature_rep == "binary":
+        counted = F.transform(F.array_distinct(grams), lambda t: F.struct(t.alias("token"), F.lit(1).cast("bigint").alias("times")))
+    else:
+        counted = F.transform(token_counts(grams), lambda x: F.struct(x["token"].alias("token"), x["n"].alias("times")))
+    prior = F.array(F.struct(F.lit(" ").alias("token"), F.lit(1).cast("bigint").alias("times")))
+    tokens = df.select(row_idx, F.inline(F.concat(counted, prior)))
+    known = lookup_join(tokens, _count_maps(model).withColumn("known", F.lit(True)), "token", "left")
+    is_prior = F.col("token") == " "
+    parts = known.filter(is_prior | F.col("known")).select(
         row_idx,
         *(
-            (F.col("times") * _log_likelihood(c["target"], c["total"], c["vocabulary"])).alias(f"part_{i}")
+            F.when(is_prior, F.lit(c["log_prior"]))
+            .otherwise(F.col("times") * _log_likelihood(c["target"], c["total"], c["vocabulary"]))
+            .alias(f"part_{i}")
             for i, c in enumerate(classes)
         ),
     )
-    # texts without a known token are decided by the priors alone
-    priors = df.select(row_idx, *(F.lit(c["log_prior"]).alias(f"part_{i}") for i, c in enumerate(classes)))
     scores = F.array(
         *(
             F.struct(F.round(F.sum(f"part_{i}"), 6).alias("score"), F.lit(c["target"]).alias("target"))
             for i, c in enumerate(classes)
         )
     )
-    return parts.unionByName(priors).groupBy(row_idx).agg(scores.alias("scores"))
+    return parts.groupBy(row_idx).agg(scores.alias("scores"))
 
 
 def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, text: str, row_idx: str = "row_idx") -> DataFrame:
@@ -369,6 +371,12 @@ def predict_tree(model: TreeModel, df: DataFrame, text: str, row_idx: str = "row
 # --- storing models ---------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class KeywordModel:
+    positives: Sequence[str]
+    negatives: Sequence[str]
+
+
 def save_model(model, path: str) -> None:
     """Write a model's tables (or MLlib stages) under one folder."""
     if isinstance(model, TreeModel):
@@ -376,7 +384,11 @@ def save_model(model, path: str) -> None:
         model.tree.write().overwrite().save(f"{path}/tree")
         return
     spark = SparkSession.active()
-    if isinstance(model, NaiveBayesModel):
+    if isinstance(model, KeywordModel):
+        rows = [(w, True) for w in model.positives] + [(w, False) for w in model.negatives]
+        tables = {"keywords": spark.createDataFrame(rows, "word string, positive boolean")}
+        options = {"kind": "keywords", "ngram": "", "feature_rep": "", "k": 0}
+    elif isinstance(model, NaiveBayesModel):
         tables = {"tokens": model.tokens, "classes": model.classes}
         options = {"kind": "naive_bayes", "ngram": model.ngram, "feature_rep": model.feature_rep, "k": 0}
     else:
@@ -395,6 +407,11 @@ def load_model(spark: SparkSession, path: str, kind: str = "tables"):
         )
     options = spark.read.parquet(f"{path}/options").first()
     table = lambda name: spark.read.parquet(f"{path}/{name}")
+    if options["kind"] == "keywords":
+        lists = {True: [], False: []}
+        for r in table("keywords").orderBy("word").collect():
+            lists[r["positive"]].append(r["word"])
+        return KeywordModel(tuple(lists[True]), tuple(lists[False]))
     if options["kind"] == "naive_bayes":
         return NaiveBayesModel(table("tokens"), table("classes"), options["ngram"], options["feature_rep"])
     return NeighbourModel(table("sets"), table("members"), table("postings"), table("frequencies"), options["k"])

@@ -116,6 +116,14 @@ def detect_text_column(
     return candidates.orderBy("rank").limit(1).select("position", "column")
 
 
+def text_column(df: DataFrame, strategy: str = "longest", row_idx: str | None = None) -> str:
+    """The name of the detected text column; an error where there is none."""
+    found = detect_text_column(df, strategy, row_idx).first()
+    if found is None:
+        raise ValueError("no text column")
+    return found["column"]
+
+
 def detect_target_column(columns: Sequence[str], names: Sequence[str] = TARGET_NAMES) -> str | None:
     return next((c for c in names if c in columns), None)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.stopwords import ENGLISH
-from textmill.functions.tokens import TERM_PATTERN, ngrams, terms, words
+from textmill.functions.tokens import TERM_PATTERN, ngrams, terms, token_counts, words
 
 MAX_FEATURES = 5000
 BROADCAST_TERMS = 100_000
@@ -31,20 +31,16 @@ def term_counts(
     grams = ngrams(words(F.col(text)), ngram)
     if feature_rep == "binary":
         return df.select(row_idx, F.explode(F.array_distinct(grams)).alias("token"), F.lit(1).cast("bigint").alias("n"))
-    # the text moves once, by row; the exploded tokens are then counted where they are
-    placed = df.select(row_idx, F.col(text)).repartition(F.col(row_idx))
-    return placed.select(row_idx, F.explode(grams).alias("token")).groupBy(row_idx, "token").agg(F.count("*").alias("n"))
+    # counted inside the row: neither texts nor tokens are shuffled
+    return df.select(row_idx, F.inline(token_counts(grams)))
 
 
 def document_terms(
     df: DataFrame, text: str, stop_words: Sequence[str] = ENGLISH, row_idx: str = "row_idx"
 ) -> DataFrame:
-    """(row_idx, term, tf) without stop words."""
-    placed = df.select(row_idx, F.col(text)).repartition(F.col(row_idx))
-    exploded = placed.select(row_idx, F.explode(terms(F.col(text))).alias("term"))
-    if stop_words:
-        exploded = exploded.filter(~F.col("term").isin(*stop_words))
-    return exploded.groupBy(row_idx, "term").agg(F.count("*").alias("tf"))
+    """(row_idx, term, tf) without stop words, counted inside the row."""
+    counted = df.select(row_idx, F.inline(token_counts(terms(F.col(text))))).toDF(row_idx, "term", "tf")
+    return counted.filter(~F.col("term").isin(*stop_words)) if stop_words else counted
 
 
 def vocabulary(counts: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
@@ -62,8 +58,8 @@ def tfidf(
 ) -> DataFrame:
     """(row_idx, term, df, weight): smoothed idf, rows scaled to length one.
 
-    The vocabulary has at most ``max_features`` rows, which bounds the broadcast. Counting and the
-    row norm both run on the partitioning by row that the counts already have.
+    The vocabulary has at most ``max_features`` rows, which bounds the broadcast (it is hinted up to
+    BROADCAST_TERMS rows, a hint that changes no result). Terms are counted inside the row.
     """
     counts = document_terms(df, text, stop_words, row_idx)
     vocab = vocabulary(counts, max_features).select("term", "df")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,9 +97,7 @@ def align_clusters(df: DataFrame, actual: str, cluster: str, out: str = "aligned
     ids, for empty cells), so at most L*L counted cells leave the cluster, whatever the number of rows.
     """
     cells = df.groupBy(actual, cluster).agg(F.count("*").alias("n"))
-    labels = [r[0] for r in df.select(actual).distinct().orderBy(actual).limit(9).collect()]
-    if len(labels) > 8:
-        raise ValueError("alignment is meant for at most 8 labels")
+    labels = [r[0] for r in df.select(actual).distinct().orderBy(actual).collect()]
     best = Window.partitionBy(actual).orderBy(F.desc("n"), cluster)
     top = cells.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= len(labels)).collect()
     small = [
@@ -108,14 +105,33 @@ def align_clusters(df: DataFrame, actual: str, cluster: str, out: str = "aligned
     ]
     hits = {(r[actual], r[cluster]): r["n"] for r in top}
     ids = sorted({r[cluster] for r in top} | set(small))
-    slots = ids + [None] * max(0, len(labels) - len(ids))
-    options = (dict(zip(labels, choice)) for choice in permutations(slots, len(labels)))
-    chosen = max(options, key=lambda m: sum(hits.get(pair, 0) for pair in m.items()))
-    pairs = [F.lit(v) for label, c in chosen.items() if c is not None for v in (c, label)]
+    chosen = best_mapping(labels, ids, hits)
+    pairs = [F.lit(v) for label, c in chosen.items() for v in (c, label)]
     mapping = F.create_map(*pairs)
     return df.withColumn(out, F.coalesce(mapping[F.col(cluster)], F.lit(labels[0])))
 
 
+def best_mapping(labels: Sequence, ids: Sequence, hits: Mapping[tuple, int]) -> dict:
+    """One id for each label, none twice, with the most hits; the first labels get the smallest ids on a tie.
+
+    Ids are taken one after the other; for each set of labels served so far the best choice is kept, so
+    the work is ids times labels times 2^labels. Places count below a single hit, which settles ties.
+    """
+    slots = [*ids, *[None] * max(0, len(labels) - len(ids))]
+    base = len(slots) + 1
+    worth = lambda k, place: hits.get((labels[k], slots[place]), 0) * base ** len(labels) - place * base ** (len(labels) - 1 - k)
+    kept: dict[int, tuple[int, tuple]] = {0: (0, ())}
+    for place in range(len(slots)):
+        grown = dict(kept)
+        for served, (total, pairs) in kept.items():
+            for k in range(len(labels)):
+                with_k, now = served | 1 << k, total + worth(k, place)
+                if with_k != served and (with_k not in grown or now > grown[with_k][0]):
+                    grown[with_k] = (now, (*pairs, (labels[k], slots[place])))
+        kept = grown
+    return {label: c for label, c in kept[(1 << len(labels)) - 1][1] if c is not None}
+
+
 def label_summary(df: DataFrame, target: str = "target") -> DataFrame:
     """One row with totals and the number of rows per label."""
     t = F.col(target)

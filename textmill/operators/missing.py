@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.operators.columns import resolve_all
 from textmill.options import MissingRule
+from textmill.sources.scratch import checkpoint
 
 QUANTILE_ACCURACY = 10_000
-EXACT_BELOW = 100_000
 
 
 def drop_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -54,69 +54,105 @@ def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), means[f"m{i}"]) for i, c in enumerate(columns)})
 
 
-def exact_median(df: DataFrame, column: str) -> float | None:
-    """Exact median, found by narrowing an interval around the middle ranks.
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact median of each column that has values, found by narrowing intervals around the middle ranks.
 
-    Each pass is a scan with bounded partial aggregates (a quantile sketch, then four counts) and
-    shrinks the interval about a thousandfold, so the values are never gathered anywhere. Only the
-    last interval, which holds at most EXACT_BELOW rows, is counted by value and sorted.
+    A round is one scan of a written copy of the columns with bounded partial aggregates for all open
+    intervals: a quantile sketch of the values inside, then four counts. It shrinks an interval about
+    a thousandfold. The values are never gathered or sorted anywhere.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
-    if n == 0:
-        return None
-    middle = sorted({(n + 1) // 2, n // 2 + 1})
-    return sum(_value_at(values, n, rank) for rank in middle) / len(middle)
-
-
-def _value_at(values: DataFrame, size: int, rank: int) -> float:
-    """The value with the given rank, counted from 1."""
-    v, margin = F.col("v"), 2.0 / QUANTILE_ACCURACY
-    while size > EXACT_BELOW:
-        edges = [max(0.0, rank / size - margin), min(1.0, rank / size + margin)]
-        low, high = values.agg(F.percentile_approx(v, edges, QUANTILE_ACCURACY)).first()[0]
-        below, at_low, between, at_high = values.agg(
-            F.count_if(v < low),
-            F.count_if(v == low),
-            F.count_if((v > low) & (v < high)),
-            F.count_if((v == high) & (v > low)),
+    values = checkpoint(df.select(*(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns))))
+    sizes = values.agg(*(F.count(v).alias(v) for v in values.columns)).first()
+    # (column, rank inside the interval, rows inside, lower and upper end, both exclusive)
+    open_ = [
+        [i, rank, sizes[i], None, None]
+        for i in range(len(columns))
+        for rank in sorted({(sizes[i] + 1) // 2, sizes[i] // 2 + 1})
+        if sizes[i]
+    ]
+    found: dict[int, list[float]] = {}
+    while open_:
+        inside = []
+        for i, _, _, low, high in open_:
+            v = F.col(f"v{i}")
+            inside.append(v.isNotNull() & (F.lit(True) if low is None else v > low) & (F.lit(True) if high is None else v < high))
+        margin = 2.0 / QUANTILE_ACCURACY
+        ends = lambda rank, size: [max(0.0, rank / size - margin), min(1.0, rank / size + margin)]
+        sketches = values.agg(
+            *(
+                F.percentile_approx(F.when(has, F.col(f"v{x[0]}")), ends(x[1], x[2]), QUANTILE_ACCURACY)
+                for x, has in zip(open_, inside, strict=True)
+            )
         ).first()
-        if rank <= below:
-            values, size = values.filter(v < low), below
-        elif rank <= below + at_low:
-            return low
-        elif rank <= below + at_low + between:
-            values, size, rank = values.filter((v > low) & (v < high)), between, rank - below - at_low
-        elif rank <= below + at_low + between + at_high:
-            return high
-        else:
+        counts = []
+        for (i, *_), has, (low, high) in zip(open_, inside, sketches, strict=True):
+            v = F.col(f"v{i}")
+            counts += [
+                F.count_if(has & (v < low)), F.count_if(has & (v == low)),
+                F.count_if(has & (v > low) & (v < high)), F.count_if(has & (v == high) & (v > low)),
+            ]
+        counted = values.agg(*(c.alias(str(k)) for k, c in enumerate(counts))).first()
+        still = []
+        for n, (i, rank, size, low, high) in enumerate(open_):
+            below, at_low, between, at_high = counted[4 * n : 4 * n + 4]
+            first, last = sketches[n]
             passed = below + at_low + between + at_high
-            values, size, rank = values.filter(v > high), size - passed, rank - passed
-    counts = values.groupBy(v).agg(F.count("*").alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    return running.filter(F.col("upto") >= rank).agg(F.min("v")).first()[0]
+            if rank <= below:
+                still.append([i, rank, below, low, first])
+            elif rank <= below + at_low:
+                found.setdefault(i, []).append(first)
+            elif rank <= below + at_low + between:
+                still.append([i, rank - below - at_low, between, first, last])
+            elif rank <= passed:
+                found.setdefault(i, []).append(last)
+            else:
+                still.append([i, rank - passed, size - passed, last, high])
+        open_ = still
+    return {columns[i]: sum(found[i]) / len(found[i]) for i in found}
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """Exact median of one column, None without values."""
+    return exact_medians(df, [column]).get(column)
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Numeric columns get their exact median."""
-    medians = {c: exact_median(df, c) for c in _numeric(df, columns)}
-    fills = {c: F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items() if m is not None}
+    columns = _numeric(df, columns)
+    medians = exact_medians(df, columns) if columns else {}
+    fills = {c: F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items()}
     return df.withColumns(fills) if fills else df
 
 
-def most_frequent(df: DataFrame, column: str) -> Column:
-    """Most frequent non-null value, the smallest on a tie, as a scalar subquery."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    return counts.orderBy(F.desc("__n"), column).limit(1).select(column).scalar()
+def most_frequent(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Most frequent non-null value of each column, the smallest on a tie, as scalar subqueries of one scan.
+
+    The cells of all columns are counted together, as (column number, value), each in a field of its own.
+    """
+    cells = [
+        F.struct(F.lit(i).alias("i"), *(F.col(c).alias(f"v{k}") if k == i else F.lit(None).cast(df.schema[c].dataType).alias(f"v{k}") for k, c in enumerate(columns)))
+        for i in range(len(columns))
+    ]
+    each = df.select(F.inline(F.array(*cells)))
+    counts = each.groupBy(*each.columns).agg(F.count("*").alias("n"))
+    best = checkpoint(
+        counts.groupBy().agg(
+            *(
+                F.min_by(f"v{i}", F.when(F.col(f"v{i}").isNotNull(), F.struct(-F.col("n"), f"v{i}"))).alias(f"v{i}")
+                for i in range(len(columns))
+            )
+        )
+    )
+    return [best.select(f"v{i}").scalar() for i in range(len(columns))]
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every column gets its most frequent value; a string column without values gets ''."""
     fills = {}
-    for name in columns:
+    for name, value in zip(columns, most_frequent(df, columns), strict=True):
         last = [F.lit("")] if isinstance(df.schema[name].dataType, T.StringType) else []
-        fills[name] = F.coalesce(F.col(name), most_frequent(df, name), *last)
-    return df.withColumns(fills)
+        fills[name] = F.coalesce(F.col(name), value, *last)
+    return df.withColumns(fills) if fills else df
 
 
 def apply_rules(

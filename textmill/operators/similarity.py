@@ -47,18 +47,11 @@ def token_frequencies(sets: DataFrame) -> DataFrame:
 
 
 def ranked_tokens(sets: DataFrame, frequencies: DataFrame, keep_unknown: bool = False) -> DataFrame:
-    """(gid, size, tok, n, pos) with the rarest token of each set at position 1.
-
-    The most frequent tokens are looked up through a bounded broadcast, the others by shuffle.
-    """
-    hot = frequencies.orderBy(F.desc("n"), "tok").limit(1000).select("tok")
+    """(gid, size, tok, n, pos) with the rarest token of each set at position 1; unknown ones count 0."""
     exploded = sets.select("gid", "size", F.explode("words").alias("tok"))
-    known = lookup_join(exploded, frequencies, "tok", hot)
-    if keep_unknown:
-        unknown = exploded.join(frequencies.select("tok"), "tok", "left_anti")
-        known = known.unionByName(unknown.select("gid", "size", "tok", F.lit(0).cast("bigint").alias("n")))
+    known = lookup_join(exploded, frequencies.select("tok", "n"), "tok", "left" if keep_unknown else "inner")
     rarest_first = Window.partitionBy("gid").orderBy("n", "tok")
-    return known.withColumn("pos", F.row_number().over(rarest_first))
+    return known.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("pos", F.row_number().over(rarest_first))
 
 
 def exact_distances(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -5,76 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1000
-SPREAD = 64
+ROWS_PER_TASK = 20_000
 
 
-def hottest(df: DataFrame, key: str, weight: str | None = None, n: int = MAX_HOT_KEYS) -> DataFrame:
-    """The at most ``n`` heaviest keys; counts are combined before the shuffle."""
-    total = F.sum(weight) if weight else F.count("*")
-    return df.groupBy(key).agg(total.alias("__n")).orderBy(F.desc("__n"), key).limit(n).select(key)
+def lookup_join(df: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join with a table that is unique on ``key``; any keys of ``df`` may be hot.
 
-
-def lookup_join(df: DataFrame, table: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
-    """Inner join with a table that is unique on ``key``.
-
-    The entries of the hot keys (at most MAX_HOT_KEYS rows, so their size is bounded) are broadcast.
-    The other rows shuffle on the key; the hot ones carry a NULL key and a random salt through that
-    shuffle, which spreads them evenly.
+    Only one side repeats the key, so adaptive execution can split the partition of every hot key and
+    give each part the one row it needs: nothing is counted first, and no number of hot keys is too
+    many. For that the result has to be written, or aggregated on another key, not on this one.
     """
-    hot = hottest(df, key) if hot is None else hot.select(key).limit(MAX_HOT_KEYS)
     values = [c for c in table.columns if c != key]
-    near = table.join(F.broadcast(hot), key, "left_semi").select(key, F.struct(*values).alias("__near"))
-    far = table.select(
-        F.col(key).alias("__key"), F.lit(0).alias("__salt"), F.struct(*values).alias("__far")
-    )
-    resolved = df.join(F.broadcast(near), key, "left")
-    is_hot = F.col("__near").isNotNull()
-    keyed = resolved.withColumn("__key", F.when(~is_hot, F.col(key))).withColumn(
-        "__salt", F.when(is_hot, F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)).cast("int") + 1).otherwise(0)
-    )
-    joined = keyed.join(far, ["__key", "__salt"], "left")
-    found = F.coalesce("__near", "__far")
-    return (
-        joined.withColumn("__found", found)
-        .filter(F.col("__found").isNotNull())
-        .select(*df.columns, *[F.col("__found")[v].alias(v) for v in values])
-    )
+    return df.join(table.select(key, *values), key, how).select(*df.columns, *values)
 
 
 def salted_pairs(
-    left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, condition, rows_per_task: int = 20_000
+    left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, condition, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Inner join, aliased a and b, of two tables that both repeat ``key``; hot keys become a grid.
+    """Inner join, aliased a and b, of two tables that both repeat ``key``; heavy keys become a grid.
 
-    ``sizes(key, n_left, n_right)`` holds the rows per key. A heavy key is cut into left blocks times
-    right blocks: each row keeps one random block of its own side and is repeated for the blocks of
-    the other side, so every pair still meets exactly once and no task sees more than one block of
-    each side. Only the heaviest keys are cut; their table is bounded, hence the broadcast.
+    ``sizes(key, n_left, n_right)`` holds the rows per key. Every key above ``rows_per_task`` is cut into
+    left blocks times right blocks: each row keeps one random block of its own side and is repeated for
+    the blocks of the other side, so every pair still meets exactly once and no task sees more than one
+    block of each side. The numbers of blocks reach the rows by a join, however many keys are heavy.
     """
-    blocks = lambda n: F.ceil(F.col(n) / rows_per_task).cast("int")
-    grid = (
-        sizes.filter((F.col("n_left") > rows_per_task) | (F.col("n_right") > rows_per_task))
-        .orderBy(F.desc(F.col("n_left") + F.col("n_right")), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, blocks("n_left").alias("__rows"), blocks("n_right").alias("__cols"))
-    )
+    a = _in_blocks(left, key, sizes, "n_left", "n_right", rows_per_task).alias("a")
+    b = _in_blocks(right, key, sizes, "n_right", "n_left", rows_per_task).alias("b")
+    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.__own") == F.col("b.__other")) & (F.col("a.__other") == F.col("b.__own"))
+    return a.join(b, on & condition)
 
-    def spread(side: DataFrame, own: str, other: str) -> DataFrame:
-        size = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1))
-        return (
-            side.join(F.broadcast(grid), key, "left")
-            .withColumn(f"__own{own}", F.pmod(F.xxhash64(*side.columns), size(own)).cast("int"))
-            .withColumn(f"__own{other}", F.explode(F.sequence(F.lit(0), size(other) - 1)))
-            .drop("__rows", "__cols")
-        )
 
-    a = spread(left, "__rows", "__cols").alias("a")
-    b = spread(right, "__cols", "__rows").alias("b")
-    on = F.col(f"a.{key}") == F.col(f"b.{key}")
-    for salt in ("__own__rows", "__own__cols"):
-        on = on & (F.col(f"a.{salt}") == F.col(f"b.{salt}"))
-    return a.join(b, on & condition)
+def _in_blocks(side: DataFrame, key: str, sizes: DataFrame, own: str, other: str, rows_per_task: int) -> DataFrame:
+    """The rows with a block of their own side (__own), repeated for each block of the other one (__other)."""
+    blocks = lambda n: F.greatest(F.ceil(F.coalesce(F.col(n), F.lit(1)) / rows_per_task), F.lit(1)).cast("int")
+    heavy = sizes.filter((F.col(own) > rows_per_task) | (F.col(other) > rows_per_task))
+    cut = lookup_join(side, heavy.select(key, blocks(own).alias("__rows"), blocks(other).alias("__cols")), key, "left")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    return (
+        cut.withColumn("__own", F.pmod(F.xxhash64(*side.columns), one("__rows")).cast("int"))
+        .withColumn("__other", F.explode(F.sequence(F.lit(0), one("__cols") - 1)))
+        .drop("__rows", "__cols")
+    )
 
 
 def self_sizes(df: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ METRIC = {
 
 def has_allowed_value(c: Column, allowed: Sequence[int]) -> Column:
     """Digits that spell an allowed integer; NULL passes."""
-    number = F.when(c.rlike("^[0-9]+$"), c.try_cast("bigint"))
+    number = F.when(c.rlike(r"^[0-9]+\z"), c.try_cast("bigint"))
     return c.isNull() | F.coalesce(number.isin(*[int(a) for a in allowed]), F.lit(False))
 
 
@@ -84,10 +84,11 @@ def flag_rows(
     row_idx: str = "row_idx",
     mapping: Mapping[int, str] | None = None,
     lenient: bool = False,
-) -> tuple[DataFrame, list[str], dict[str, Column]]:
+) -> tuple[DataFrame, list[str], dict[str, list[Column]]]:
     """Add one boolean column per rule; also return their names and the columns that count failures."""
     data = [c for c in df.columns if c != row_idx]
-    flags, failures = [], {}
+    flags: list[str] = []
+    failures: dict[str, list[Column]] = {}
     plain = {}
     for number, rule in enumerate(rules):
         name = resolve(data, rule.column, mapping, lenient)
@@ -113,7 +114,9 @@ def flag_rows(
         else:
             raise ValueError(f"unknown validation {rule.kind!r}")
         flags.append(flag)
-        failures[f"{METRIC[rule.kind]}_{data.index(name)}"] = counted
+        metric = f"{METRIC[rule.kind]}_{data.index(name)}"
+        # like rules on one column add up
+        failures.setdefault(metric, []).append(counted)
     return df.withColumns(plain) if plain else df, flags, failures
 
 
@@ -125,13 +128,13 @@ def validate(df: DataFrame, rules: Sequence[Validation], row_idx: str = "row_idx
     return flagged.filter(reduce(and_, (F.col(f) for f in flags))).select(*df.columns)
 
 
-def count_failures(flagged: DataFrame, failures: Mapping[str, Column]) -> DataFrame:
-    """(metric, n) with one row per rule, from one aggregate."""
+def count_failures(flagged: DataFrame, failures: Mapping[str, Sequence[Column]]) -> DataFrame:
+    """(metric, n) with one row per metric, from one aggregate; failures of like rules add up."""
     counts = flagged.agg(
         F.array(
             *(
-                F.struct(F.lit(m).alias("metric"), F.count_if(c).alias("n"))
-                for m, c in failures.items()
+                F.struct(F.lit(m).alias("metric"), reduce(add, (F.count_if(c) for c in each)).alias("n"))
+                for m, each in failures.items()
             )
         ).alias("m")
     )

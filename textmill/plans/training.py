@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.text import truncate
 from textmill.operators.classify import (
+    KeywordModel,
     NaiveBayesModel,
     NeighbourModel,
     TreeModel,
@@ -17,21 +20,18 @@ from textmill.operators.classify import (
     fit_naive_bayes,
     fit_neighbours,
     fit_tree,
+    load_model,
     predict_naive_bayes,
     predict_neighbours,
     predict_tree,
+    save_model,
     stratified_split,
 )
-from textmill.operators.columns import detect_target_column, detect_text_column
-from textmill.operators.evaluate import metric_report
+from textmill.operators.columns import detect_target_column, text_column
+from textmill.operators.evaluate import metric_report, rand_index
 from textmill.operators.labelling import classify_by_keywords, label_percentages, label_summary
-from textmill.sources.runs import latest_per_key
-
-
-@dataclass(frozen=True)
-class KeywordModel:
-    positives: Sequence[str]
-    negatives: Sequence[str]
+from textmill.sources.runs import choose_artefact, latest_per_key
+from textmill.sources.scratch import checkpoint
 
 
 @dataclass(frozen=True)
@@ -76,12 +76,16 @@ def train(
     test_size: float = 0.2,
     seed: int = 42,
     row_idx: str = "row_idx",
+    strategy: str = "name",
     **params,
 ) -> TrainedRun:
     """Split, fit on the training part and judge on the validation part."""
     if target not in df.columns:
         raise ValueError(f"training needs the column {target!r}; label the table first")
-    text = text or detect_text_column(df, "name", row_idx).first()["column"]
+    if text is None:
+        # labelled data start with the label
+        first = [row_idx, target, *(c for c in df.columns if c not in (row_idx, target))]
+        text = text_column(df.select(*first) if strategy == "first" else df, strategy, row_idx)
     rows = df.select(row_idx, text, F.col(target).cast("int").alias("target")).filter(F.col("target").isNotNull())
     check_split(rows, "target", test_size)
     parts = stratified_split(rows, "target", test_size, seed, row_idx)
@@ -96,32 +100,39 @@ def train(
 
 @dataclass(frozen=True)
 class PredictedDataset:
-    """All predictions, the first 100 for display, label counts, and metrics when a target exists."""
+    """All predictions, the first 100 for display, label counts, and metrics when a usable target exists.
+
+    ``error`` says why there are no metrics although a target column exists.
+    """
 
     predictions: DataFrame
     preview: DataFrame
     distribution: DataFrame
     percentages: DataFrame
     metrics: DataFrame | None
+    error: str | None = None
 
 
 def predict_dataset(
     model, df: DataFrame, text: str | None = None, row_idx: str = "row_idx", preview_rows: int = 100
 ) -> PredictedDataset:
-    text = text or detect_text_column(df, "name_long", row_idx).first()["column"]
-    predicted = predict(model, df, text, row_idx)
-    shown = (
-        df.select(row_idx, text).join(predicted, row_idx).orderBy(row_idx).limit(preview_rows)
-        .select(row_idx, truncate(F.col(text)).alias("tweet"), F.col("predicted").alias("predicted_label"))
+    """Score a table once; counts and metrics read the written predictions, the preview scores its own rows."""
+    text = text or text_column(df, "name_long", row_idx)
+    predicted = checkpoint(predict(model, df, text, row_idx))
+    first = df.select(row_idx, text).orderBy(row_idx).limit(preview_rows)
+    shown = first.join(predict(model, first, text, row_idx), row_idx).select(
+        row_idx, truncate(F.col(text)).alias("tweet"), F.col("predicted").alias("predicted_label")
     )
     target = detect_target_column([c for c in df.columns if c not in (row_idx, text)])
-    metrics = None
+    metrics, error = None, None
     if target:
-        actual = df.select(row_idx, F.col(target).try_cast("int").alias("actual"))
-        metrics = metric_report(actual.join(predicted, row_idx))
-    return PredictedDataset(
-        predicted, shown, label_summary(predicted, "predicted"), label_percentages(predicted, "predicted"), metrics
-    )
+        actual = df.select(row_idx, F.col(target).try_cast("int").alias("actual")).filter("actual IS NOT NULL")
+        if actual.isEmpty():
+            error = f"the column {target!r} holds no integer label"
+        else:
+            metrics = metric_report(actual.join(predicted, row_idx))
+    distribution = label_summary(predicted, "predicted")
+    return PredictedDataset(predicted, shown, distribution, label_percentages(predicted, "predicted"), metrics, error)
 
 
 def predict_texts(model, texts: DataFrame, text: str = "text", row_idx: str = "row_idx") -> DataFrame:
@@ -129,6 +140,60 @@ def predict_texts(model, texts: DataFrame, text: str = "text", row_idx: str = "r
     return texts.select(row_idx, text).join(predict(model, texts, text, row_idx), row_idx)
 
 
-def evaluation_report(runs: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Stored metrics of the latest run per key; an accuracy of 0 is a result like any other."""
-    return latest_per_key(runs, [key], order)
+# --- runs that are stored -----------------------------------------------------------------------
+
+
+RUNS = "session_id string, model_id string, created_at timestamp, algorithm string, accuracy double, precision double, recall double, f1 double, error_rate double, rand_index double"  # noqa: E501
+REPORTED = ("accuracy", "precision", "recall", "f1", "error_rate")
+
+
+def read_runs(spark: SparkSession, store: str) -> DataFrame:
+    """The run table of a store, empty before the first run."""
+    try:
+        return spark.read.schema(RUNS).parquet(f"{store}/runs")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RUNS)
+
+
+def train_and_store(artefacts: DataFrame, store: str, session_id: str, algorithm: str, created_at, **options) -> str:
+    """Train on the most refined artefact of a session, store the model, add a run, return the model's id.
+
+    ``artefacts`` holds one row with the paths of the stages (see ``choose_artefact``); the text column of
+    labelled data is detected by the "first" strategy unless ``text`` names it.
+    """
+    spark = artefacts.sparkSession
+    path = artefacts.select(choose_artefact("train").alias("path")).first()["path"]
+    if not path:
+        raise ValueError("nothing to train on")
+    df = spark.read.parquet(path)
+    run = train(df, algorithm, strategy="first", **options)
+    model_id = uuid.uuid4().hex
+    save_model(run.model, f"{store}/models/{model_id}")
+    judged = checkpoint(run.predictions)
+    agreement = rand_index(judged).select("rand_index").scalar()
+    row = metric_report(judged).select(
+        F.lit(session_id).alias("session_id"), F.lit(model_id).alias("model_id"), F.lit(created_at).cast("timestamp").alias("created_at"),
+        F.lit(algorithm).alias("algorithm"), *REPORTED, agreement.alias("rand_index"),
+    )
+    row.write.mode("append").parquet(f"{store}/runs")
+    return model_id
+
+
+def _latest(runs: DataFrame) -> DataFrame:
+    return latest_per_key(runs, ["session_id"], ["created_at", "model_id"])
+
+
+def predict_latest(spark: SparkSession, store: str, session_id: str, df: DataFrame, **options) -> PredictedDataset:
+    """Score a table with the model of the session's latest run."""
+    last = _latest(read_runs(spark, store).filter(F.col("session_id") == session_id)).first()
+    if last is None:
+        raise ValueError(f"no trained model in session {session_id!r}")
+    kind = "tree" if last["algorithm"] == "decision_tree" else "tables"
+    return predict_dataset(load_model(spark, f"{store}/models/{last['model_id']}", kind), df, **options)
+
+
+def evaluation_report(runs: DataFrame) -> DataFrame:
+    """Metrics and rand index of the latest run of each session; an accuracy of 0 is a result like any other."""
+    return _latest(runs).select("session_id", "model_id", "algorithm", *REPORTED, "rand_index")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.functions.text import strip
 from textmill.operators.skew import lookup_join
 
 # Code points 0x80-0x9F that cp1252 defines, and the characters they stand for.
@@ -49,7 +50,12 @@ def with_row_idx(df: DataFrame, name: str = "row_idx") -> DataFrame:
     """
     tagged = df.select(
         "*",
-        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("__split"),
+        F.struct(
+            # parts of one job by their number, which may have more digits in later files
+            F.regexp_extract("_metadata.file_path", r"part-(\d+)[^/]*$", 1).try_cast("bigint").alias("number"),
+            F.col("_metadata.file_path"),
+            F.col("_metadata.file_block_start"),
+        ).alias("__split"),
         F.monotonically_increasing_id().alias("__id"),
     )
     splits = tagged.groupBy("__split").agg(F.count("*").alias("n"), F.min("__id").alias("first"))
@@ -62,15 +68,9 @@ def with_row_idx(df: DataFrame, name: str = "row_idx") -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of a few unsplittable files; larger inputs keep their splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def choose_delimiter(spark: SparkSession, path: str, sample_lines: int = 1000) -> str:
-    """Comma, unless the sampled lines disagree on their comma count while bars are regular."""
-    lines = spark.read.text(path).limit(sample_lines)
+def choose_delimiter(spark: SparkSession, path: str) -> str:
+    """Comma, unless the lines disagree on their comma count while bars are regular; one aggregate over all lines."""
+    lines = spark.read.text(path)
     count = lambda sep: F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit("")))
     stats = lines.agg(
         *(f(count(sep)).alias(f"{f.__name__}{i}") for i, sep in enumerate(DELIMITERS) for f in (F.min, F.max))
@@ -114,7 +114,7 @@ def normalise_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFra
 def keyword_list(spark: SparkSession, path: str) -> DataFrame:
     """Distinct lower-cased words of a comma-separated text file."""
     words = spark.read.text(path).select(F.explode(F.split("value", ",")).alias("word"))
-    return words.select(F.lower(F.trim("word")).alias("word")).filter("word <> ''").distinct()
+    return words.select(F.lower(strip(F.col("word"))).alias("word")).filter("word <> ''").distinct()
 
 
 def preview(df: DataFrame, n: int = 5, order: str = "row_idx") -> DataFrame:

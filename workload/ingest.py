@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textmill.operators.columns import dataset_profile
-from textmill.plans.training import evaluation_report
 from textmill.sources import files
 from textmill.sources.runs import choose_artefact, latest_per_key
 from textmill.sources.scratch import new_path
@@ -140,12 +139,6 @@ def latest_run_per_key(spark, sf_dir):
     return latest_per_key(load(spark, sf_dir, "runs"), ["session_id"], ["created_at", "model_id"])
 
 
-@query("evaluation_report", oracle("runs", "", f"SELECT session_id, model_id, accuracy FROM runs {LATEST}"))
-def report_of_latest(spark, sf_dir):
-    latest = evaluation_report(load(spark, sf_dir, "runs"), "session_id", ["created_at", "model_id"])
-    return latest.select("session_id", "model_id", "accuracy")
-
-
 @query(
     "keyword_list_load",
     """SELECT DISTINCT lower(trim(w)) AS word FROM

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import tokens
 from textmill.operators import classify, clustering, evaluate, features, labelling, similarity
+from textmill.plans import labelling as label_runs
 from textmill.plans import training
 from textmill.sources.scratch import new_path
 from workload import sqltext as q
@@ -426,6 +427,77 @@ def predict_texts(spark, sf_dir):
     return training.predict_texts(_trained(spark, sf_dir), load(spark, sf_dir, "turns"))
 
 
+RAND = """round((SELECT (pairs + 2 * same - a - p) / pairs FROM (SELECT
+    (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM judged_rows GROUP BY actual, predicted)) AS same,
+    (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM judged_rows GROUP BY actual)) AS a,
+    (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM judged_rows GROUP BY predicted)) AS p,
+    (SELECT count(*) * (count(*) - 1) / 2 FROM judged_rows) AS pairs)), 6) AS rand_index"""
+
+
+def _stored(spark, sf_dir, *runs):
+    """A store after the given training runs on the labelled documents, one minute apart."""
+    store = new_path(spark, "store")
+    load(spark, sf_dir, "labelled").write.parquet(f"{store}/labelled")
+    artefacts = spark.createDataFrame([("", "", f"{store}/labelled")], "original_file string, cleaned_file string, labeled_file string")
+    for minute, (algorithm, options) in enumerate(runs):
+        training.train_and_store(artefacts, store, "s", algorithm, f"2025-01-01 00:{minute:02d}:00", **options)
+    return store
+
+
+NB_BINARY = ("naive_bayes", {"ngram": "bigram", "feature_rep": "binary"})
+KEYWORDS = ("naive_automatic", {"positives": POSITIVES, "negatives": NEGATIVES})
+STORED = oracle(
+    "labelled", f"{q.split()}, {q.naive_bayes('bigram', True)}, {JUDGED}, {q.metrics('judged_rows')}",
+    f"SELECT 's' AS session_id, 'naive_bayes' AS algorithm, {REPORT.removeprefix('SELECT ').removesuffix(' FROM one')}, {RAND} FROM one",
+)
+
+
+@query("train_and_store", STORED)
+def train_and_store(spark, sf_dir):
+    runs = training.read_runs(spark, _stored(spark, sf_dir, NB_BINARY))
+    rounded = (F.round(c, 6).alias(c) for c in (*training.REPORTED, "rand_index"))
+    return runs.select("session_id", "algorithm", *rounded)
+
+
+@query("evaluation_report", STORED)
+def evaluation_report(spark, sf_dir):
+    runs = training.read_runs(spark, _stored(spark, sf_dir, KEYWORDS, NB_BINARY))
+    rounded = (F.round(c, 6).alias(c) for c in (*training.REPORTED, "rand_index"))
+    return training.evaluation_report(runs).select("session_id", "algorithm", *rounded)
+
+
+@query("predict_latest", oracle("labelled", f"{q.split()}, {q.naive_bayes(scored=ALL_DOCS)}", "SELECT row_idx, predicted FROM best"))
+def predict_latest(spark, sf_dir):
+    store = _stored(spark, sf_dir, KEYWORDS, ("naive_bayes", {}))
+    return training.predict_latest(spark, store, "s", documents(spark, sf_dir)).predictions
+
+
+LABEL_COUNTS = """SELECT count(*) AS total, count(*) FILTER (target IN (0, 4)) AS labeled, count(*) FILTER (target = 2) AS neutral,
+    count(*) FILTER (target IS NULL OR target = -1) AS unlabeled_rows, count(*) FILTER (target IS NOT NULL AND target <> -1) AS labeled_rows,
+    count(*) FILTER (target = 0) AS label_0, count(*) FILTER (target = 2) AS label_2, count(*) FILTER (target = 4) AS label_4"""
+
+
+@query(
+    "label_run_keywords",
+    oracle("", f"{KEYWORD_HITS}, t AS (SELECT CASE WHEN greatest(p, n, o) = 0 THEN 2 WHEN p >= greatest(n, o) THEN 4 WHEN n >= o THEN 0 ELSE 2 END AS target FROM h)", f"{LABEL_COUNTS} FROM t"),
+)
+def label_run_keywords(spark, sf_dir):
+    return label_runs.label_with_keywords(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), "text"), KEYWORD_MAP).summary
+
+
+@query(
+    "label_run_clusters",
+    oracle(
+        "", f"""{DBSCAN}, placed AS (SELECT row_idx, coalesce(cluster, -1) AS cluster FROM docs LEFT JOIN found USING (row_idx)),
+          ids AS (SELECT cluster, row_number() OVER (ORDER BY cluster) AS r FROM (SELECT DISTINCT cluster FROM placed WHERE cluster >= 0)),
+          t AS (SELECT CASE r WHEN 1 THEN 0 WHEN 3 THEN 4 ELSE 2 END AS target FROM placed p LEFT JOIN ids USING (cluster))""",
+        f"{LABEL_COUNTS} FROM t",
+    ),
+)
+def label_run_clusters(spark, sf_dir):
+    return label_runs.label_with_clusters(documents(spark, sf_dir), "dbscan").summary
+
+
 # --- evaluation -------------------------------------------------------------------------------
 
 
