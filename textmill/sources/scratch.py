@@ -15,7 +15,7 @@ def _local_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in local mode."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one of our own in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
@@ -38,4 +38,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``checkpoint`` wrote, once nothing reads them any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path:
+            spark = table.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            table._scratch_path = None
