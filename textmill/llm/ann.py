@@ -25,33 +25,41 @@ PROBES = 8  # buckets of each table that a query looks into, for 64 axes; in pro
 VOTES = 7  # tables that have to bring a row
 AT_LEAST = 400  # rows of a block that are scored at least; fewer votes are enough if they are missing
 SEED = 20
+COLUMNS_AT_A_TIME = 1024  # few enough for the processor's cache
 
 
-def hadamard(grid: np.ndarray) -> np.ndarray:
-    """The fast Hadamard transform of each row, scaled to keep lengths; the width is a power of two."""
-    rows, width = grid.shape
+def hadamard(columns: np.ndarray) -> None:
+    """The fast Hadamard transform of each column, in place, scaled to keep lengths; as many components as a power of two."""
+    width, n = columns.shape
     step = 1
     while step < width:
-        halves = grid.reshape(rows, -1, 2, step)
-        grid = np.stack([halves[:, :, 0] + halves[:, :, 1], halves[:, :, 0] - halves[:, :, 1]], axis=2).reshape(rows, width)
+        halves = columns.reshape(-1, 2, step, n)
+        difference = halves[:, 0] - halves[:, 1]
+        halves[:, 0] += halves[:, 1]
+        halves[:, 1] = difference
         step *= 2
-    return grid / np.sqrt(width)
+    columns *= np.float32(1 / np.sqrt(width))
 
 
-def turned(grid: np.ndarray, table: int) -> np.ndarray:
-    """The pseudo-rotation of a table."""
-    signs = np.random.default_rng((SEED, table)).integers(0, 2, (3, grid.shape[1])) * 2.0 - 1
-    for s in signs:
-        grid = hadamard(grid * s)
-    return grid
+def turned(columns: np.ndarray, table: int) -> np.ndarray:
+    """The pseudo-rotation of a table, of vectors that stand in columns."""
+    width = len(columns)
+    signs = (np.random.default_rng((SEED, table)).integers(0, 2, (3, width, 1)) * 2 - 1).astype(np.float32)
+    out = np.empty(columns.shape, np.float32)
+    for at in range(0, columns.shape[1], COLUMNS_AT_A_TIME):
+        part = columns[:, at : at + COLUMNS_AT_A_TIME] * signs[0]
+        hadamard(part)
+        for s in signs[1:]:
+            part *= s
+            hadamard(part)
+        out[:, at : at + COLUMNS_AT_A_TIME] = part
+    return out
 
 
-def left_to_right(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of each row of ``a`` with ``b``, summed in the order of the components."""
-    total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += a[:, j] * b[j]
-    return total
+def left_to_right(columns: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of each column with ``b``, summed in the order of the components."""
+    # numpy adds the rows of an array one after the other
+    return np.add.reduce(np.ascontiguousarray(columns) * b[:, None], axis=0)
 
 
 class CrossPolytopeSearch:
@@ -77,23 +85,24 @@ class CrossPolytopeSearch:
         return np.pad(grid, ((0, 0), (0, width - grid.shape[1])))
 
     def __call__(self, query_ids, queries, ids, rows):
-        q, x = self._units(queries, False), self._units(rows, True)
-        width = x.shape[1]
+        q, x = (np.ascontiguousarray(self._units(g, r).T, np.float32) for g, r in ((queries, False), (rows, True)))
+        width = len(x)
         probes = min(2 * width, max(1, PROBES * width // 64))
         lists, starts, sizes = [], [], []
         for t in range(TABLES):
             y, asked = turned(x, t), turned(q, t)
-            axis = np.abs(y).argmax(axis=1)
-            bucket = 2 * axis + (y[np.arange(len(y)), axis] < 0)
+            axis = np.abs(y).argmax(axis=0)
+            bucket = 2 * axis + (y[axis, np.arange(len(axis))] < 0)
             n = np.bincount(bucket, minlength=2 * width)
-            near = np.stack([asked, -asked], axis=2).reshape(len(q), -1)
+            near = np.stack([asked.T, -asked.T], axis=2).reshape(len(query_ids), -1)
             seen = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
             lists.append(np.argsort(bucket, kind="stable"))
             starts.append((np.cumsum(n) - n)[seen] + t * len(ids))
             sizes.append(n[seen])
+        components = np.ascontiguousarray(rows.T)
         lists, starts, sizes = np.concatenate(lists), np.concatenate(starts, axis=1), np.concatenate(sizes, axis=1)
         out: list[tuple[np.ndarray, ...]] = []
-        for i in range(len(q)):
+        for i in range(len(query_ids)):
             votes = np.bincount(ragged(lists, starts[i], sizes[i]), minlength=len(ids))
             enough = VOTES
             if len(ids) > AT_LEAST:
@@ -101,7 +110,7 @@ class CrossPolytopeSearch:
             else:
                 enough = 0
             found = np.flatnonzero((votes >= enough) & (ids != query_ids[i]))
-            scores = left_to_right(rows[found], queries[i])
+            scores = left_to_right(components[:, found], queries[i])
             top = leading(ids[found], scores, self.k)
             out.append((np.full(len(top), query_ids[i]), ids[found[top]], scores[top]))
         return [np.concatenate(c) for c in zip(*out, strict=True)]
