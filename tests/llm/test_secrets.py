@@ -37,7 +37,7 @@ def test_spans_are_those_of_the_base_patterns(spark):
         assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest(), TEXTS[r.doc_id]
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in want) for i in range(3)]
         assert set(shown.split(",")) <= set(r.spans.split(",")) or not shown
-    assert {r.spans for r in rows if r.doc_id == 10} == {"pem:0:31,github:32:72"}
+    assert {r.spans for r in rows if r.doc_id == 10} == {"pem:0:31,github:32:72,hex:36:72"}
 
 
 def test_ledger_scans_each_blob_once_for_each_rule_version(spark):
