@@ -14,7 +14,7 @@ from textmill.functions.tokens import ngrams, token_counts, words
 from textmill.operators.features import fit_vectoriser, vectorise
 from textmill.operators.similarity import SLACK, ranked_tokens, row_sets
 from textmill.operators.skew import lookup_join, salted_pairs
-from textmill.sources.scratch import checkpoint
+from textmill.sources.scratch import checkpoint, discard
 
 UNLIMITED_DEPTH = 30
 
@@ -193,7 +193,8 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, text: str, row_id
 
 @dataclass(frozen=True)
 class NeighbourModel:
-    """Tables: sets(set_key, gid, size, words), members(set_key, target, neighbour), postings(tok, ...)."""
+    """Tables: sets(set_key, gid, size, ids), members(set_key, target, neighbour), postings(tok, ...),
+    frequencies(tok, n, id). Words are compared by their numbers."""
 
     sets: DataFrame
     members: DataFrame
@@ -223,27 +224,32 @@ def fit_neighbours(
         .agg(F.min(row_idx).alias("gid"), F.first("words").alias("words"))
         .withColumn("size", F.size("words"))
     )
-    frequencies = checkpoint(
-        sets.select(F.explode("words").alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
-    )
-    postings = checkpoint(ranked_tokens(sets, frequencies).select("tok", "gid", "size", "pos"))
-    return NeighbourModel(sets, checkpoint(members), postings, frequencies, k)
+    counted = sets.select(F.explode("words").alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
+    # any number will do that differs from word to word; written, it stays the same
+    frequencies = checkpoint(counted.withColumn("id", F.monotonically_increasing_id()))
+    postings = checkpoint(ranked_tokens(sets, frequencies).select("tok", "gid", "size", "pos", "id"))
+    numbers = postings.groupBy("gid").agg(F.collect_list("id").alias("ids"))
+    numbered = checkpoint(sets.drop("words").join(numbers, "gid"))
+    discard(sets)
+    return NeighbourModel(numbered, checkpoint(members), postings.drop("id"), frequencies, k)
+
 
+def _overlaps(tokens: DataFrame, model: NeighbourModel, condition: Column, query_ids: DataFrame) -> DataFrame:
+    """(q, gid, distance) of candidates that share one of the given query tokens and pass ``condition``.
 
-def _overlaps(tokens: DataFrame, model: NeighbourModel, condition: Column, query_sets: DataFrame) -> DataFrame:
-    """(q, gid, distance) of candidates that share one of the given query tokens and pass ``condition``."""
+    ``query_ids(q, a_size, a_ids)`` has the numbers of the known words; unknown ones count in the size.
+    """
     sizes = tokens.groupBy("tok").agg(F.count("*").alias("n_left")).join(
-        model.frequencies.withColumnRenamed("n", "n_right"), "tok"
+        model.frequencies.select("tok", F.col("n").alias("n_right")), "tok"
     )
     pairs = (
         salted_pairs(tokens, model.postings, "tok", sizes, condition)
         .select(F.col("a.q").alias("q"), F.col("b.gid").alias("gid"))
         .distinct()
     )
-    known = model.sets.select("gid", F.col("words").alias("__b"))
-    both = pairs.join(query_sets.select("q", F.col("words").alias("__a")), "q").join(known, "gid")
-    shared = F.size(F.array_intersect("__a", "__b"))
-    return both.select("q", "gid", (1.0 - shared / (F.size("__a") + F.size("__b") - shared)).alias("distance"))
+    both = pairs.join(query_ids, "q").join(model.sets.select("gid", "size", "ids"), "gid")
+    shared = F.size(F.array_intersect("a_ids", "ids"))
+    return both.select("q", "gid", (1.0 - shared / (F.col("a_size") + F.col("size") - shared)).alias("distance"))
 
 
 def neighbours_of_sets(model: NeighbourModel, query_sets: DataFrame, probe: int = 8) -> DataFrame:
@@ -259,13 +265,15 @@ def neighbours_of_sets(model: NeighbourModel, query_sets: DataFrame, probe: int
     ranked = checkpoint(
         ranked_tokens(queries.withColumnRenamed("q", "gid"), model.frequencies, keep_unknown=True)
         .withColumnRenamed("gid", "q")
-        .select("q", "size", "tok", "n", "pos")
+        .select("q", "size", "tok", "n", "pos", "id")
     )
+    numbers = ranked.filter("n > 0").groupBy("q").agg(F.collect_list("id").alias("a_ids"))
+    query_ids = checkpoint(queries.select("q", F.col("size").alias("a_size")).join(numbers, "q"))
     known_rank = Window.partitionBy("q").orderBy("pos")
     rarest = (
         ranked.filter("n > 0").withColumn("r", F.row_number().over(known_rank)).filter(F.col("r") <= probe)
     )
-    probed = _overlaps(rarest.select("q", "tok"), model, F.lit(True), queries)
+    probed = checkpoint(_overlaps(rarest.select("q", "tok"), model, F.lit(True), query_ids))
     kth = Window.partitionBy("q").orderBy("distance", "gid")
     bound = (
         probed.withColumn("r", F.row_number().over(kth)).filter(F.col("r") == k)
@@ -284,7 +292,7 @@ def neighbours_of_sets(model: NeighbourModel, query_sets: DataFrame, probe: int
         (F.least(a, b) >= s * F.greatest(a, b) - SLACK)
         & (F.least(a - F.col("a.pos"), b - F.col("b.pos")) + 1 >= F.ceil(s / (1 + s) * (a + b) - SLACK))
     )
-    near = _overlaps(prefix, model, possible, queries)
+    near = _overlaps(prefix, model, possible, query_ids)
     best = Window.partitionBy("q").orderBy("distance", "target", "neighbour")
     overlapping = (
         near.join(model.sets.select("gid", "set_key"), "gid")

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     Normalizer,
     RegexTokenizer,
-    StopWordsRemover,
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -80,12 +79,16 @@ def tfidf(
 def fit_vectoriser(
     df: DataFrame, text: str, max_features: int = MAX_FEATURES, stop_words: Sequence[str] = ENGLISH
 ) -> PipelineModel:
-    """The same weights as sparse MLlib vectors in the column ``features``."""
+    """The same weights as sparse MLlib vectors in the column ``features``, over the same vocabulary."""
+    counted = df.select(F.inline(token_counts(terms(F.col(text))))).toDF("term", "tf")
+    if stop_words:
+        counted = counted.filter(~F.col("term").isin(*stop_words))
+    # at most max_features terms, which the MLlib model holds anyway
+    chosen = [r["term"] for r in vocabulary(counted, max_features).orderBy(F.desc("freq"), "term").collect()]
     counting = Pipeline(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=TERM_PATTERN, gaps=False, minTokenLength=2),
-            StopWordsRemover(inputCol="__tokens", outputCol="__terms", stopWords=list(stop_words)),
-            CountVectorizer(inputCol="__terms", outputCol="__counts", vocabSize=max_features),
+            CountVectorizerModel.from_vocabulary(chosen, inputCol="__tokens", outputCol="__counts"),
             IDF(inputCol="__counts", outputCol="__idf"),
         ]
     ).fit(df)
@@ -101,4 +104,4 @@ def fit_vectoriser(
 
 
 def vectorise(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).drop("__tokens", "__terms", "__counts", "__weighted")
+    return model.transform(df).drop("__tokens", "__counts", "__weighted")

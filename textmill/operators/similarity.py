@@ -47,9 +47,12 @@ def token_frequencies(sets: DataFrame) -> DataFrame:
 
 
 def ranked_tokens(sets: DataFrame, frequencies: DataFrame, keep_unknown: bool = False) -> DataFrame:
-    """(gid, size, tok, n, pos) with the rarest token of each set at position 1; unknown ones count 0."""
+    """(gid, size, tok, n, pos) with the rarest token of each set at position 1; unknown ones count 0.
+
+    Further columns of ``frequencies`` (a number for each token, say) come along.
+    """
     exploded = sets.select("gid", "size", F.explode("words").alias("tok"))
-    known = lookup_join(exploded, frequencies.select("tok", "n"), "tok", "left" if keep_unknown else "inner")
+    known = lookup_join(exploded, frequencies, "tok", "left" if keep_unknown else "inner")
     rarest_first = Window.partitionBy("gid").orderBy("n", "tok")
     return known.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("pos", F.row_number().over(rarest_first))
 
