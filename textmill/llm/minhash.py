@@ -1,7 +1,8 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-A text's features are its shingles of five words, weighted by how often it holds them times 1 + the log
-of N / df relative to the log of N. Each sampling function picks one (shingle, level) of a text; two texts
+A text's features are its shingles of five words, weighted by how often it holds them times an inverse
+document frequency of 1 + IDF_SHARE * log(N / df) / log(N). A passage that many documents share counts
+less, but little enough for copies in a group of thousands to stay as similar as in a pair. Each sampling function picks one (shingle, level) of a text; two texts
 agree with the probability of their weighted Jaccard similarity. Samples are banded; texts that share a
 band are candidates and are verified on their whole shingles. Classes are the connected components of the
 verified links.
@@ -28,15 +29,18 @@ from textmill.llm.common import partitions, table
 from textmill.llm.registry import query
 from textmill.llm.words import StretchHashes, gram_hashes, mix, text_words
 from textmill.operators.components import connected_components
-from textmill.sources.scratch import checkpoint
+from textmill.sources.scratch import checkpoint, discard
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 9, 3
+IDF_SHARE = 0.25
 DF_BITS = 20
 DF_CHUNKS = 16  # rows in which the table of frequencies travels
 CENTRES = 4  # rounds with one centre for each bucket, before what is left is compared pair by pair
 SHINGLES_AT_A_TIME = 1 << 17
+TEXT_AT_A_TIME = 4 << 20  # bytes; a longer text is worked on by itself
+PAIRS_AT_A_TIME = 256
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +75,7 @@ def _df_slot(hashes: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """1 + log(N / df) / log(N) for each slot of the hashed table, over all rows of ``texts(text)``.
+    """1 + IDF_SHARE * log(N / df) / log(N) for each slot of the hashed table, over all rows of ``texts(text)``.
 
     Tasks count into the table, some tasks add the tables of all others up, and one task for each part
     of the table finishes it; only the finished table, of fixed size, reaches the driver.
@@ -80,7 +84,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(1 << DF_BITS, np.int64), 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", TEXT_AT_A_TIME):
             hashes, _, counts = shingles(batch.column(0))
             seen += np.bincount(_df_slot(hashes), minlength=1 << DF_BITS)
             n += int((counts > 0).sum())
@@ -107,7 +111,8 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     if n < 2:
         return np.ones(1 << DF_BITS, np.float32)
     df = np.concatenate([found[k] for k in range(DF_CHUNKS)])
-    return (1 + np.log(np.maximum(n / np.maximum(df, 1), 1)) / np.log(n)).astype(np.float32)
+    rare = np.log(np.maximum(n / np.maximum(df, 1), 1)) / np.log(n)
+    return (1 + IDF_SHARE * rare).astype(np.float32)
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, functions: int = BANDS * ROWS) -> np.ndarray:
@@ -157,7 +162,7 @@ def _sign(idf):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight_of = idf.value
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", TEXT_AT_A_TIME):
             hashes, times, counts = shingles(batch.column("text"))
             weights = times * weight_of[_df_slot(hashes)]
             some = np.flatnonzero(counts)
@@ -197,7 +202,7 @@ def _band_keys(picked: np.ndarray) -> np.ndarray:
 
 def _whole_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, hashes in ascending order, times) of ``(node, text)``, for the texts that are their node's."""
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", TEXT_AT_A_TIME):
         hashes, times, counts = shingles(batch.column("text"))
         own_node = pa.array([a == b for a, b in zip(digests(hashes, times, counts), batch.column("node").to_pylist(), strict=True)], pa.bool_())
         sets, numbers, at = [], [], 0
@@ -227,9 +232,11 @@ def _verify(idf, least: float):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("a_hashes", "a_times", "b_hashes", "b_times")]
-            good = [weighted_jaccard(weighted(p, q), weighted(r, s)) >= least for p, q, r, s in zip(*columns, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for at in range(0, batch.num_rows, PAIRS_AT_A_TIME):
+                part = batch.slice(at, PAIRS_AT_A_TIME)
+                columns = [part.column(c).to_pylist() for c in ("a_hashes", "a_times", "b_hashes", "b_times")]
+                good = [weighted_jaccard(weighted(p, q), weighted(r, s)) >= least for p, q, r, s in zip(*columns, strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return work
 
@@ -251,6 +258,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     bucketed = checkpoint(nodes.select("node", "owner", "weight", F.explode("bands").alias("key")))
     shared = bucketed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
     members = checkpoint(bucketed.join(shared.select("key", "centre"), "key"))
+    discard(bucketed)
     # the whole shingles of the nodes that meet another one
     owners = members.select("node", "owner").distinct()
     texts = rows.join(owners.hint("shuffle_hash"), rows["doc_id"] == owners["owner"]).select("node", "text")
@@ -265,7 +273,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     # a similarity is at most the ratio of the total weights
     alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (least - 1e-6)
-    heads = bucketed.select(F.col("node").alias("centre"), F.col("weight").alias("centre_weight")).distinct()
+    heads = members.select(F.col("node").alias("centre"), F.col("weight").alias("centre_weight")).distinct()
     first = members.filter("node <> centre").select("node", "weight", "centre").distinct().join(heads, "centre")
     pairs = first.filter(alike("weight", "centre_weight")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     links = checkpoint(verified(pairs))
@@ -275,6 +283,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         state = checkpoint(state.withColumn("component", F.coalesce("component", "node")))
         spread = state.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("last"))
         open_ = checkpoint(state.join(spread.filter("main <> last").select("key", "main"), "key"))
+        discard(state)
         if open_.isEmpty():
             break
         if round < CENTRES:
@@ -288,7 +297,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             a, b = open_.alias("a"), open_.alias("b")
             on = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & alike("a.weight", "b.weight")
             pairs = a.join(b, on).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-        links = checkpoint(links.union(verified(pairs)))
+        known, links = links, checkpoint(links.union(verified(pairs)))
+        discard(known, open_)
     # a hot class is on the large side of these joins only, whose partitions Spark splits
     placed = signed.select("doc_id", "node").join(_components(links), "node", "left")
     placed = checkpoint(placed.select("doc_id", F.coalesce("component", "node").alias("class")))
