@@ -2,17 +2,20 @@
 
 A text's features are its shingles of five words, weighted by how often it holds them times an inverse
 document frequency of 1 + IDF_SHARE * log(N / df) / log(N). A passage that many documents share counts
-less, but little enough for copies in a group of thousands to stay as similar as in a pair. Each sampling function picks one (shingle, level) of a text; two texts
-agree with the probability of their weighted Jaccard similarity. Samples are banded; texts that share a
+less, but little enough for copies in a group of thousands to stay as similar as in a pair. Each sampling
+function picks one (shingle, level) of a text; two texts agree with the probability of their weighted
+Jaccard similarity. Samples are banded; texts that share a
 band are candidates and are verified on their whole shingles. Classes are the connected components of the
 verified links.
 
-Copies are one node from the start. In a band's bucket all nodes are compared with one of them; only what
-that leaves unconnected is compared further, with other centres and in the end pair by pair. Links that
-join nodes of one class already are not needed and not looked for.
+Copies are one node from the start. In a band's bucket all nodes are compared with one of them; only nodes
+that this leaves in different classes are compared further. In small buckets that is done pair by pair. In
+larger ones, which a passage of many documents fills, it is done with more centres and then by prefixes: of
+two sets as similar as asked for, the rarest shingles that make up more than the difference allows must
+meet, which is exact. Links within a class are not needed and not looked for.
 
 Document frequencies are counted over all documents in a hashed table of fixed size, which is what
-reaches every task. Shingles much rarer than one in DF_SLOTS / shingles of a text look alike in it.
+reaches every task. Shingles much rarer than one in 2^DF_BITS look alike in it.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.llm.chunks import pieces, ragged
@@ -37,7 +40,7 @@ BANDS, ROWS = 9, 3
 IDF_SHARE = 0.25
 DF_BITS = 20
 DF_CHUNKS = 16  # rows in which the table of frequencies travels
-CENTRES = 4  # rounds with one centre for each bucket, before what is left is compared pair by pair
+SMALL_BUCKET = 16  # nodes of a bucket that are compared pair by pair after the first centre; larger ones by prefixes
 SHINGLES_AT_A_TIME = 1 << 17
 TEXT_AT_A_TIME = 4 << 20  # bytes; a longer text is worked on by itself
 PAIRS_AT_A_TIME = 256
@@ -257,7 +260,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     bucketed = checkpoint(nodes.select("node", "owner", "weight", F.explode("bands").alias("key")))
     shared = bucketed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
-    members = checkpoint(bucketed.join(shared.select("key", "centre"), "key"))
+    members = checkpoint(bucketed.join(shared, "key"))
     discard(bucketed)
     # the whole shingles of the nodes that meet another one
     owners = members.select("node", "owner").distinct()
@@ -277,30 +280,36 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     first = members.filter("node <> centre").select("node", "weight", "centre").distinct().join(heads, "centre")
     pairs = first.filter(alike("weight", "centre_weight")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     links = checkpoint(verified(pairs))
-    for round in range(CENTRES + 1):
-        component = _components(links)
-        state = members.select("key", "node", "weight").join(component, "node", "left")
-        state = checkpoint(state.withColumn("component", F.coalesce("component", "node")))
+    component = _components(links)
+    # a bucket of two nodes is done; small ones are done after one more round, large ones get one more centre;
+    # then prefixes: one centre for each shingle, which joins most of a large group, and at last all pairs
+    todo = members.filter("n > 2")
+    for step in ("buckets", "centres of prefixes", "prefixes"):
+        state = checkpoint(
+            todo.select("key", "n", "node", "weight").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        )
         spread = state.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("last"))
         open_ = checkpoint(state.join(spread.filter("main <> last").select("key", "main"), "key"))
         discard(state)
         if open_.isEmpty():
             break
-        if round < CENTRES:
-            rank = F.struct(F.xxhash64("node", F.lit(round)), "node", "component", "weight")
-            centre = open_.filter("component <> main").groupBy("key").agg(F.min(rank).alias("c"))
-            met = open_.join(centre, "key").filter(F.col("component") != F.col("c.component"))
-            pairs = met.filter(alike("weight", "c.weight")).select(
-                F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")
-            )
+        small, large = open_.filter(F.col("n") <= SMALL_BUCKET), open_.filter(F.col("n") > SMALL_BUCKET)
+        if step != "buckets":
+            pairs = _prefix_pairs(large, whole, idf, least, step == "prefixes")
         else:
-            a, b = open_.alias("a"), open_.alias("b")
+            a, b = small.alias("a"), small.alias("b")
             on = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & alike("a.weight", "b.weight")
             pairs = a.join(b, on).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+            rank = F.struct(F.xxhash64("node"), "node", "component", "weight")
+            centre = large.filter("component <> main").groupBy("key").agg(F.min(rank).alias("c"))
+            met = large.join(centre, "key").filter((F.col("component") != F.col("c.component")) & alike("weight", "c.weight"))
+            pairs = pairs.union(met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))
         known, links = links, checkpoint(links.union(verified(pairs)))
         discard(known, open_)
+        component = _components(links)
+        todo = members.filter(F.col("n") > SMALL_BUCKET)
     # a hot class is on the large side of these joins only, whose partitions Spark splits
-    placed = signed.select("doc_id", "node").join(_components(links), "node", "left")
+    placed = signed.select("doc_id", "node").join(component, "node", "left")
     placed = checkpoint(placed.select("doc_id", F.coalesce("component", "node").alias("class")))
     least_id = placed.filter("doc_id IS NOT NULL AND class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return placed.join(least_id, "class", "left").select(
@@ -308,6 +317,42 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     )
 
 
+def _prefix_pairs(open_: DataFrame, whole: DataFrame, idf, least: float, all_pairs: bool) -> DataFrame:
+    """(a, b) of nodes of different components that share a shingle of their prefixes; or only those of which
+    one is the shingle's least node.
+
+    ``open_(node, component, weight)`` may repeat nodes. Shingles are ordered by the number of open nodes
+    that hold them, rarest first. The end of that order that weighs less than ``least`` of the whole cannot
+    hold all that two similar sets share, so they share a shingle of what comes before it.
+    """
+    nodes = checkpoint(open_.select("node", "component", "weight").distinct())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = np.frombuffer(batch.column("hashes")[i].as_py(), np.uint64)
+                w, times = idf.value[_df_slot(h)].astype(np.float64), batch.column("times")[i].as_py()
+                w = w * np.frombuffer(times, np.uint32) if times else w
+                name = pa.array([batch.column("node")[i].as_py()] * len(h), pa.string())
+                yield pa.RecordBatch.from_arrays([name, pa.array(h.view(np.int64)), pa.array(w)], names=["node", "shingle", "w"])
+
+    held = whole.join(nodes.select("node"), "node", "left_semi").mapInArrow(work, "node string, shingle long, w double")
+    held = checkpoint(held)
+    counts = held.groupBy("shingle").agg(F.count("*").alias("holders"))
+    order = Window.partitionBy("node").orderBy(F.desc("holders"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    # summed from the most frequent shingle on
+    ranked = held.join(counts, "shingle").withColumn("from_end", F.sum("w").over(order)).join(nodes, "node")
+    prefix = checkpoint(ranked.filter(F.col("from_end") >= F.col("weight") * (least - 1e-6)).filter("holders > 1").select("shingle", "node", "component", "weight"))
+    alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (least - 1e-6)
+    if all_pairs:
+        a, b = prefix.alias("a"), prefix.alias("b")
+        on = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component")) & alike("a.weight", "b.weight")
+        return a.join(b, on).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    centre = prefix.groupBy("shingle").agg(F.min(F.struct("node", "component", "weight")).alias("c"))
+    met = prefix.join(centre, "shingle").filter((F.col("component") != F.col("c.component")) & alike("weight", "c.weight"))
+    return met.select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+
+
 def _components(links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     return connected_components(ends, links)
