@@ -66,7 +66,7 @@ def test_as_all_strings_of_fifty_bytes(spark):
 
 def test_hot_anchors_as_well(spark):
     docs = corpus(random.Random(2))
-    assert run(spark, docs, hot_bundles=1) == sorted(brute(docs), key=str)
+    assert run(spark, docs, hot_documents=2) == sorted(brute(docs), key=str)
 
 
 def test_empty_table(spark):

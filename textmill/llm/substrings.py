@@ -7,7 +7,7 @@ bytes that holds it. Where an anchor's surroundings differ, all these strings ar
 deep-shallow sorting, and the least document of equal strings decides.
 
 Texts travel in bundles of documents. Shuffles carry hashes of anchors, once for each bundle, and the
-surroundings, once for each bundle that repeats them. Anchors in very many bundles do not meet in one
+surroundings, once for each bundle that repeats them. Anchors in very many documents do not meet in one
 task: their strings are counted one by one, as a plain aggregate.
 """
 
@@ -35,7 +35,7 @@ AROUND = SPAN - ANCHOR  # bytes to either side of an anchor
 STARTS = AROUND + 1  # strings of SPAN bytes that hold an anchor
 CONTEXT = SPAN + AROUND
 BUNDLE_BYTES = 2 << 20  # text of a bundle; a longer text is a bundle by itself
-HOT_BUNDLES = 256  # an anchor in more bundles is hot
+HOT_DOCUMENTS = 500_000  # an anchor that more documents hold is hot
 LATER = np.iinfo(np.int64).max
 
 BUNDLES = "bundle long, ids array<long>, sizes array<long>, texts binary"
@@ -140,13 +140,15 @@ def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers, their high bytes together, which compresses well."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _packed(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers with their high bytes together, compressed."""
+    width = np.dtype(kind).itemsize
+    return zstandard.compress(np.ascontiguousarray(numbers.astype(kind)).view(np.uint8).reshape(-1, width).T.tobytes(), 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +165,7 @@ def _rows(schema: list[str], rows: list[tuple], types: list[pa.DataType]) -> pa.
 
 
 def _offer(n_ranges: int):
-    """(part, bundle, numbers, several): the distinct anchors of each bundle by range of hashes."""
+    """(part, bundle, numbers, held): the distinct anchors of each bundle by range of hashes, and how many documents hold them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,34 +176,37 @@ def _offer(n_ranges: int):
                 order = np.lexsort((doc, number, part))
                 part, number, doc = part[order], number[order], doc[order]
                 starts, ends = _runs(part * (1 << 32) + number)
-                several = doc[starts] != doc[ends - 1] if len(starts) else np.empty(0, bool)
+                # documents are in order within a run: count where they change
+                new = np.diff(doc, prepend=-1) != 0
+                new[starts] = True
+                held = np.minimum(np.add.reduceat(new, starts), 0xFFFF) if len(starts) else starts
                 part, number = part[starts], number[starts]
                 rows = [
-                    (int(part[a]), batch.column("bundle")[i].as_py(), _packed(number[a:b]), np.packbits(several[a:b]).tobytes())
+                    (int(part[a]), batch.column("bundle")[i].as_py(), _packed(number[a:b], "<u4"), _packed(held[a:b], "<u2"))
                     for a, b in zip(*_runs(part), strict=True)
                 ]
-                yield _rows(["part", "bundle", "numbers", "several"], rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+                yield _rows(["part", "bundle", "numbers", "held"], rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
     return work
 
 
-def _shared(hot_bundles: int):
+def _shared(hot_documents: int):
     """Per range what each bundle's anchors share with another document, and which of them are hot."""
 
     def work(key, group):
         bundles = group["bundle"].to_numpy()
-        numbers = [_unpacked(x) for x in group["numbers"].to_pylist()]
-        flags = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(n)] for x, n in zip(group["several"].to_pylist(), numbers, strict=True)]
-        flat, inverse, count = np.unique(np.concatenate(numbers), return_inverse=True, return_counts=True)
-        several = np.bincount(inverse, weights=np.concatenate(flags)) > 0
-        shared, hot = several | (count > 1), count > hot_bundles
+        numbers = [_unpacked(x, "<u4") for x in group["numbers"].to_pylist()]
+        flat, inverse = np.unique(np.concatenate(numbers), return_inverse=True)
+        held = np.bincount(inverse, weights=np.concatenate([_unpacked(x, "<u2") for x in group["held"].to_pylist()]))
+        shared, hot = held > 1, held > hot_documents
         rows, at = [], 0
         for b, own in zip(bundles.tolist(), numbers, strict=True):
             where = inverse[at : at + len(own)]
             at += len(own)
             kept = shared[where]
             if kept.any():
-                rows.append((b, int(key[0].as_py()), _packed(own[kept]), np.packbits(hot[where][kept]).tobytes(), bool(hot[where][kept].any())))
+                flags = hot[where][kept]
+                rows.append((b, int(key[0].as_py()), _packed(own[kept], "<u4"), _packed(flags, "u1"), bool(flags.any())))
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
         return pa.Table.from_batches([_rows(["bundle", "part", "numbers", "hot", "any_hot"], rows, types)])
 
@@ -210,6 +215,7 @@ def _shared(hot_bundles: int):
 
 SHARED = "bundle long, part long, numbers binary, hot binary, any_hot boolean"
 CONTEXTS = "part long, bundle long, contexts binary, least binary, which binary, docs binary, orders binary, starts binary"
+KINDS = {"least": "<i8", "which": "<u4", "docs": "<u4", "orders": "<i8", "starts": "<u4"}
 WINDOWS = "bundle long, doc int, own long, start int, one long, two long"
 
 
@@ -221,8 +227,8 @@ def _chosen(own: Bundle, copies: list, replies: pa.Table, n_ranges: int, hot: bo
     part, number = _ranges(hashes, n_ranges), (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
     named = [np.empty(0, np.int64)]
     for p, numbers, flags in zip(replies["part"].to_pylist(), replies["numbers"].to_pylist(), replies["hot"].to_pylist(), strict=True):
-        numbers = _unpacked(numbers).astype(np.int64)
-        is_hot = np.unpackbits(np.frombuffer(flags, np.uint8))[: len(numbers)].astype(bool)
+        numbers = _unpacked(numbers, "<u4").astype(np.int64)
+        is_hot = _unpacked(flags, "u1").astype(bool)
         named.append(p * (1 << 32) + numbers[is_hot == hot])
     kept = np.isin(part * (1 << 32) + number, np.concatenate(named))
     return at[kept], doc[kept], part[kept]
@@ -266,8 +272,9 @@ def _surround(n_ranges: int):
                 least = np.full(len(first), LATER)
                 np.minimum.at(least, which, own.order[doc[a:b]])
                 start = at[a:b] - own.edges[doc[a:b]]
-                arrays = (contexts[a:b][first], least, which.astype(np.uint32), doc[a:b].astype(np.uint32), own.order[doc[a:b]], start.astype(np.uint32))
-                rows.append((int(part[a]), bundles["bundle"][0].as_py(), *(x.tobytes() for x in arrays)))
+                whole = zstandard.compress(contexts[a:b][first].tobytes(), 1)
+                arrays = zip((least, which, doc[a:b], own.order[doc[a:b]], start), KINDS.values(), strict=True)
+                rows.append((int(part[a]), bundles["bundle"][0].as_py(), whole, *(_packed(x, kind) for x, kind in arrays)))
         names = ["part", "bundle", "contexts", "least", "which", "docs", "orders", "starts"]
         return pa.Table.from_batches([_rows(names, rows, [pa.int64(), pa.int64()] + [pa.binary()] * 6)])
 
@@ -300,18 +307,16 @@ def least_documents(contexts: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 def _decide(key, group):
     """All surroundings of a range: the stretches of each document that an earlier one holds."""
-    read = lambda c, t: [np.frombuffer(x, t) for x in group[c].to_pylist()]
-    contexts = [x.reshape(-1, CONTEXT + 2) for x in read("contexts", np.uint8)]
-    least = read("least", np.int64)
+    read = lambda c: [_unpacked(x, KINDS[c]) for x in group[c].to_pylist()]
+    contexts = [np.frombuffer(zstandard.decompress(x), np.uint8).reshape(-1, CONTEXT + 2) for x in group["contexts"].to_pylist()]
     flat = np.concatenate(contexts)
     first, which = _distinct(flat)
     best = np.full(len(first), LATER)
-    np.minimum.at(best, which, np.concatenate(least))
+    np.minimum.at(best, which, np.concatenate(read("least")))
     known = least_documents(flat[first], best)
     rows, at = [], 0
     names = ("which", "docs", "orders", "starts")
-    types = (np.uint32, np.uint32, np.int64, np.uint32)
-    for bundle, n, *own in zip(group["bundle"].to_pylist(), map(len, contexts), *(read(c, t) for c, t in zip(names, types, strict=True)), strict=True):
+    for bundle, n, *own in zip(group["bundle"].to_pylist(), map(len, contexts), *map(read, names), strict=True):
         local, docs, orders, starts = own
         earlier = known[which[at : at + n][local]] < orders[:, None]
         at += n
@@ -320,7 +325,7 @@ def _decide(key, group):
         begin = starts[some].astype(np.int64) - AROUND + earlier[some].argmax(axis=1)
         end = starts[some].astype(np.int64) + STARTS - earlier[some][:, ::-1].argmax(axis=1) - 1 - AROUND + SPAN
         if len(some):
-            rows.append((bundle, *(x.astype(np.uint32).tobytes() for x in (docs[some], begin, end))))
+            rows.append((bundle, *(_packed(x, "<u4") for x in (docs[some], begin, end))))
     return pa.Table.from_batches([_rows(["bundle", "docs", "begins", "ends"], rows, [pa.int64()] + [pa.binary()] * 3)])
 
 
@@ -356,7 +361,7 @@ def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         bundles = batch.column("bundle").to_numpy()
         order = np.argsort(bundles, kind="stable")
         doc, start = batch.column("doc").to_numpy()[order], batch.column("start").to_numpy()[order]
-        rows = [(int(bundles[order[a]]), *(x[a:b].astype(np.uint32).tobytes() for x in (doc, start, start + SPAN))) for a, b in zip(*_runs(bundles[order]), strict=True)]
+        rows = [(int(bundles[order[a]]), *(_packed(x[a:b], "<u4") for x in (doc, start, start + SPAN))) for a, b in zip(*_runs(bundles[order]), strict=True)]
         yield _rows(["bundle", "docs", "begins", "ends"], rows, [pa.int64()] + [pa.binary()] * 3)
 
 
@@ -370,7 +375,7 @@ def _finish(with_bytes: bool):
         rows = []
         if bundles.num_rows:
             own = Bundle.of(bundles, 0)
-            read = lambda c: np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in marks[c].to_pylist())]).astype(np.int64)
+            read = lambda c: np.concatenate([np.empty(0, np.uint32), *(_unpacked(x, "<u4") for x in marks[c].to_pylist())]).astype(np.int64)
             docs, begins, ends = read("docs"), read("begins"), read("ends")
             steps = np.zeros(len(own.data) + 1, np.int64)
             np.add.at(steps, own.edges[docs] + begins, 1)
@@ -390,7 +395,7 @@ def _finish(with_bytes: bool):
     return work
 
 
-def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_bundles: int = HOT_BUNDLES, with_bytes: bool = True) -> DataFrame:
+def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_documents: int = HOT_DOCUMENTS, with_bytes: bool = True) -> DataFrame:
     """One row for each document: its bytes, removed bytes, removed runs, and the bytes that stay.
 
     A byte goes if it lies in SPAN bytes that also start in a document with a smaller id; texts are taken
@@ -409,8 +414,8 @@ def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     copies = each.join(least, "digest").filter("own > least").groupBy("bundle").agg(F.collect_list("doc").alias("copies"))
     bundles = bundles.join(copies, "bundle", "left")
 
-    offered = bundles.select("bundle", "ids", "sizes", "texts").mapInArrow(_offer(n_ranges), "part long, bundle long, numbers binary, several binary")
-    shared = checkpoint(offered.groupBy("part").applyInArrow(_shared(hot_bundles), SHARED))
+    offered = bundles.select("bundle", "ids", "sizes", "texts").mapInArrow(_offer(n_ranges), "part long, bundle long, numbers binary, held binary")
+    shared = checkpoint(offered.groupBy("part").applyInArrow(_shared(hot_documents), SHARED))
     by_bundle = bundles.groupBy("bundle").cogroup(shared.groupBy("bundle"))
     marks = by_bundle.applyInArrow(_surround(n_ranges), CONTEXTS).groupBy("part").applyInArrow(_decide, MARKS)
     marks = checkpoint(marks)
