@@ -76,6 +76,27 @@ def test_nearest_has_recall_and_exact_scores(spark):
         assert hits / total >= 0.9
 
 
+def test_nearest_has_recall_on_uneven_lengths(spark):
+    rng = np.random.default_rng(4)
+    units = rng.standard_normal((6000, 64))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    outlier = np.ones(6000)
+    outlier[17] = 10
+    for lengths in (outlier, rng.lognormal(0, 0.3, 6000), rng.lognormal(0, 1, 6000)):
+        grid = (units * lengths[:, None]).astype(np.float32)
+        found = {}
+        for r in ann.nearest(table(spark, list(enumerate(grid.tolist())))).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        grid = grid.astype(float)
+        scores = grid[::20] @ grid.T
+        scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+        wanted = np.argsort(-scores, axis=1)[:, :20]
+        assert set(found) == set(range(0, 6000, 20)) and all(len(x) == 20 for x in found.values())
+        recall = sum(len(found[20 * i] & set(w)) for i, w in enumerate(wanted.tolist())) / wanted.size
+        print("recall", recall)
+        assert recall >= 0.9
+
+
 def test_few_and_no_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0])]
     found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(table(spark, rows)).collect())

@@ -53,20 +53,44 @@ def grid_of(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(rows, -1) if rows else np.empty((0, 0))
 
 
-def search_blocks(rows: DataFrame, every: int, search: Callable, block: int = BLOCK) -> DataFrame:
+def packed(sizes: list[tuple[int, int]], block: int) -> list[tuple[int, int, int]]:
+    """(value, first block, blocks) for (value, rows) in order: values in a row share a block as far as they fit."""
+    found, next_, room = [], 0, 0
+    for value, n in sizes:
+        if n <= room:
+            room -= n
+            found.append((value, next_ - 1, 1))
+            continue
+        blocks = -(-n // block)
+        found.append((value, next_, blocks))
+        next_ += blocks
+        room = block - n if blocks == 1 else 0
+    return found
+
+
+def search_blocks(rows: DataFrame, every: int, search: Callable, block: int = BLOCK, by: str | None = None) -> DataFrame:
     """Per pair of blocks what ``search(query ids, query grid, ids, grid)`` finds, as four columns.
 
     Queries are the ids that ``every`` divides, each once; an id that repeats with several vectors asks
-    with the least one. ``search`` returns arrays (query_id, vec_id, score) of one block.
+    with the least one. ``search`` returns arrays (query_id, vec_id, score) of one block. With ``by``, an
+    int column of few values, a block holds rows of one value or of neighbouring ones.
     """
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = checkpoint(asked)
-    n_rows, n_asked = rows.count(), asked.count()
-    row_blocks, asked_blocks = max(1, -(-n_rows // block)), max(1, -(-n_asked // block))
+    asked_blocks = max(1, -(-asked.count() // block))
     own = lambda df, n: df.withColumn("own", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if by:
+        places = packed([tuple(r) for r in rows.groupBy(by).count().orderBy(by).collect()], block)
+        row_blocks = max([1, *(first + blocks for _, first, blocks in places)])
+        known = rows.sparkSession.createDataFrame(places, f"{by} int, first int, blocks int")
+        salted = rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())).join(F.broadcast(known), by)
+        dealt = salted.withColumn("own", F.expr("first + CAST(pmod(salt, blocks) AS INT)"))
+    else:
+        row_blocks = max(1, -(-rows.count() // block))
+        dealt = own(rows, row_blocks)
     left = own(asked, asked_blocks).select("vec_id", "v", F.col("own").alias("asked"), every_of(row_blocks).alias("met"))
-    right = own(rows, row_blocks).select("vec_id", "v", every_of(asked_blocks).alias("asked"), F.col("own").alias("met"))
+    right = dealt.select("vec_id", "v", every_of(asked_blocks).alias("asked"), F.col("own").alias("met"))
     kind = "long" if search.integer else "double"
     schema = f"query_id long, vec_id long, score {kind}"
 
