@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,6 +65,36 @@ def test_token_files_against_the_library(spark):
     assert [(r.doc_id, r.start) for r in sorted(tokenfiles.read_token_files(spark, odd).collect(), key=lambda r: r.start)] == [(None, 0), (1, 2), (1, 4)]
 
 
+def test_token_files_query_leaves_the_tokenizer_as_its_file_defines_it(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    docs = list(enumerate([*texts(), "foo <|endoftext|> bar", "<|endoftext|>", " <|endoftext|><|endoftext|>\n", "after"]))
+    path = new_path(spark, "sf")
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(5).write.parquet(f"{path}/documents.parquet")
+    found = sorted(tokenfiles.op5_token_files(spark, path).collect(), key=lambda r: r.doc_id)
+    at = 0
+    for (i, t), r in zip(docs, found, strict=True):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        assert (r.doc_id, r.start, r.n_tokens) == (i, at, len(ids))
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        at += len(ids)
+
+
+def test_added_tokens_that_are_not_special():
+    from tokenizers import AddedToken, Tokenizer
+
+    from textmill.llm.chunks import ChunkEncoder
+
+    tokenizer, own = (Tokenizer.from_file(public.path("byte_bpe_50k.json")) for _ in range(2))
+    for t in (tokenizer, own):
+        t.add_tokens([AddedToken("cd ef", normalized=False)])
+    column = pa.array(["x ab cd efg", " ef", "ab cd", None, " cd", "x cd <|endoftext|>", " ef ef cd"])
+    ids, counts = ChunkEncoder(own, added=True).texts(column)
+    wanted = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
+    assert counts.tolist() == [len(x) for x in wanted] and ids.tolist() == sum(wanted, [])
+
+
 def test_byte_bpe_against_the_library(spark):
     import tiktoken
 

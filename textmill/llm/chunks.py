@@ -45,11 +45,19 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk and keeps the ids of the chunks."""
+    """Encodes texts chunk by chunk and keeps the ids of the chunks.
 
-    def __init__(self, tokenizer):
+    Special tokens are plain text, unless ``added``: then texts that hold an added token are encoded whole,
+    by the tokenizer as it is defined.
+    """
+
+    def __init__(self, tokenizer, added: bool = False):
         tokenizer.encode_special_tokens = True
         self.tokenizer = tokenizer
+        known = tokenizer.get_added_tokens_decoder().values() if added else ()
+        self.added = [t.content for t in known]
+        # a token that stays active must not come about where chunks are joined
+        self.joined = JOINED_CHUNKS if all(t.special for t in known) else 1
         # tokens are written with one character for each byte
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         self.sizes = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
@@ -66,7 +74,7 @@ class ChunkEncoder:
         order = np.argsort(~joins, kind="stable")  # those that may be joined come first
         n = int(joins.sum())
         ordered = [chunks[i] for i in order]
-        texts = ["".join(ordered[i : min(i + JOINED_CHUNKS, n)]) for i in range(0, n, JOINED_CHUNKS)] + ordered[n:]
+        texts = ["".join(ordered[i : min(i + self.joined, n)]) for i in range(0, n, self.joined)] + ordered[n:]
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
         ends = np.cumsum(np.fromiter((len(c.encode()) for c in ordered), np.int64, len(ordered)))
@@ -113,6 +121,21 @@ class ChunkEncoder:
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text; null counts as empty."""
+        whole = np.zeros(len(column), bool)
+        for token in self.added:
+            whole |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_chunks(column)
+        ids, counts = self._by_chunks(pc.if_else(pa.array(whole), "", column))
+        self.tokenizer.encode_special_tokens = False
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(column.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+        self.tokenizer.encode_special_tokens = True
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.insert(ids, np.repeat(np.cumsum(counts)[whole], sizes), np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        counts[whole] = sizes
+        return ids, counts
+
+    def _by_chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets, data = text_bytes(column)
         counts = np.zeros(len(column), np.int64)
         cuts = safe_cuts(data, offsets[:-1])
@@ -152,12 +175,12 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES
             at = to
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def worker_encoder(key: str, load: Callable[[], object]) -> ChunkEncoder:
+def worker_encoder(key: str, load: Callable[[], object], added: bool = False) -> ChunkEncoder:
     """The encoder of this Python worker for the tokenizer that ``load`` gives, loaded once."""
-    if key not in _encoders:
+    if (key, added) not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel units
-        _encoders[key] = ChunkEncoder(load())
-    return _encoders[key]
+        _encoders[key, added] = ChunkEncoder(load(), added)
+    return _encoders[key, added]

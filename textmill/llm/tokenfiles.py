@@ -26,9 +26,11 @@ FILE_BYTES = 8 << 20  # text of a file; longer texts have one of their own
 FILES = "shard int, part int, n_ids long, keys array<long>, lengths array<long>, payload binary"
 
 
-def write_token_files(documents: DataFrame, doc_id: str, text: str, tokenizer_path: str, out: str) -> None:
+def write_token_files(documents: DataFrame, doc_id: str, text: str, tokenizer_path: str, out: str, added_tokens: bool = False) -> None:
     """Write the ids of all texts, each followed by END_ID, in ascending order of ``doc_id``.
 
+    With ``added_tokens`` the tokenizer is left as its file defines it, so that an added token in a text
+    becomes its id; without, special tokens are plain text.
     Null and empty texts hold END_ID only. Null keys come first; rows with equal keys are ordered by
     text. No other column is read. An empty table gives a table without files.
     """
@@ -43,7 +45,7 @@ def write_token_files(documents: DataFrame, doc_id: str, text: str, tokenizer_pa
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        encoder = worker_encoder(tokenizer_path, lambda: Tokenizer.from_file(tokenizer_path))
+        encoder = worker_encoder(tokenizer_path, lambda: Tokenizer.from_file(tokenizer_path), added_tokens)
         part = 0
         for batch in pieces(batches, "text", FILE_BYTES):
             ids, counts = encoder.texts(batch.column("text"))
@@ -104,5 +106,5 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = new_path(spark, "tokens")
-    write_token_files(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), path)
+    write_token_files(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), path, added_tokens=True)
     return read_token_files(spark, path)
