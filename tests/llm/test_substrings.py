@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 
 from textmill.llm import substrings
 from textmill.llm.suffixes import deep_shallow
@@ -69,6 +72,34 @@ def test_hot_anchors_as_well(spark):
     assert run(spark, docs, hot_documents=2) == sorted(brute(docs), key=str)
 
 
+def test_anchors_in_many_places_as_well(spark):
+    docs = corpus(random.Random(5))
+    assert run(spark, docs, hot_places=3) == sorted(brute(docs), key=str)
+
+
+def test_long_runs_in_different_texts(spark):
+    n = 1 << 20
+    docs = [(1, "a" * 70 + "x" * 2 * n + "tail"), (2, "head" + "x" * 3 * n), (3, "ab" * n), (4, "cc" + "ba" * (n // 2) + "x" * 49), (5, "abc" * 60)]
+    assert run(spark, docs) == sorted(brute(docs), key=str)
+
+
+def test_surroundings_of_a_long_run_take_little_memory():
+    text = b"x" * (1 << 20)
+    own = substrings.Bundle([1], [len(text)], zstandard.compress(text))
+    _, _, hashes = own.anchors(np.zeros(1, bool))
+    assert len(hashes) == len(text) - substrings.ANCHOR + 1
+    number = substrings._packed(hashes[:1] & np.uint64(0xFFFFFFFF), "<u4")
+    part = int(substrings._ranges(hashes[:1], 4)[0])
+    bundles = pa.table({"bundle": [0], "ids": [[1]], "sizes": [[len(text)]], "texts": [zstandard.compress(text)], "copies": pa.array([None], pa.list_(pa.int32()))})
+    for hot, work in ((0, substrings._surround(4)), (1, substrings._hot_windows(4))):
+        replies = pa.table({"bundle": [0], "part": [part], "numbers": [number], "hot": [substrings._packed(np.array([hot]), "u1")], "any_hot": [bool(hot)]})
+        tracemalloc.start()
+        found = work(bundles, replies)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert 0 < found.num_rows <= 1 + len(text) // substrings.AT_A_TIME and peak < 300 << 20
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.deduplicate(df).collect() == []

@@ -7,8 +7,8 @@ bytes that holds it. Where an anchor's surroundings differ, all these strings ar
 deep-shallow sorting, and the least document of equal strings decides.
 
 Texts travel in bundles of documents. Shuffles carry hashes of anchors, once for each bundle, and the
-surroundings, once for each bundle that repeats them. Anchors in very many documents do not meet in one
-task: their strings are counted one by one, as a plain aggregate.
+surroundings, once for each bundle that repeats them. Anchors in very many documents or places do not meet
+in one task: their strings are counted one by one, as a plain aggregate.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ STARTS = AROUND + 1  # strings of SPAN bytes that hold an anchor
 CONTEXT = SPAN + AROUND
 BUNDLE_BYTES = 2 << 20  # text of a bundle; a longer text is a bundle by itself
 HOT_DOCUMENTS = 500_000  # an anchor that more documents hold is hot
+HOT_PLACES = 500_000  # and one in more places, as in runs of one byte, where each position is an anchor
+AT_A_TIME = 1 << 16  # places whose surroundings are laid out at once
 LATER = np.iinfo(np.int64).max
 
 BUNDLES = "bundle long, ids array<long>, sizes array<long>, texts binary"
@@ -165,7 +167,7 @@ def _rows(schema: list[str], rows: list[tuple], types: list[pa.DataType]) -> pa.
 
 
 def _offer(n_ranges: int):
-    """(part, bundle, numbers, held): the distinct anchors of each bundle by range of hashes, and how many documents hold them."""
+    """(part, bundle, numbers, held, places): the distinct anchors of each bundle by range of hashes, how many documents hold them, and in how many places."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,25 +182,26 @@ def _offer(n_ranges: int):
                 new = np.diff(doc, prepend=-1) != 0
                 new[starts] = True
                 held = np.minimum(np.add.reduceat(new, starts), 0xFFFF) if len(starts) else starts
-                part, number = part[starts], number[starts]
+                part, number, places = part[starts], number[starts], ends - starts
                 rows = [
-                    (int(part[a]), batch.column("bundle")[i].as_py(), _packed(number[a:b], "<u4"), _packed(held[a:b], "<u2"))
+                    (int(part[a]), batch.column("bundle")[i].as_py(), _packed(number[a:b], "<u4"), _packed(held[a:b], "<u2"), _packed(places[a:b], "<u4"))
                     for a, b in zip(*_runs(part), strict=True)
                 ]
-                yield _rows(["part", "bundle", "numbers", "held"], rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+                yield _rows(["part", "bundle", "numbers", "held", "places"], rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
     return work
 
 
-def _shared(hot_documents: int):
+def _shared(hot_documents: int, hot_places: int):
     """Per range what each bundle's anchors share with another document, and which of them are hot."""
 
     def work(key, group):
         bundles = group["bundle"].to_numpy()
         numbers = [_unpacked(x, "<u4") for x in group["numbers"].to_pylist()]
         flat, inverse = np.unique(np.concatenate(numbers), return_inverse=True)
-        held = np.bincount(inverse, weights=np.concatenate([_unpacked(x, "<u2") for x in group["held"].to_pylist()]))
-        shared, hot = held > 1, held > hot_documents
+        total = lambda c, kind: np.bincount(inverse, weights=np.concatenate([_unpacked(x, kind) for x in group[c].to_pylist()]))
+        held = total("held", "<u2")
+        shared, hot = held > 1, (held > hot_documents) | (total("places", "<u4") > hot_places)
         rows, at = [], 0
         for b, own in zip(bundles.tolist(), numbers, strict=True):
             where = inverse[at : at + len(own)]
@@ -216,7 +219,7 @@ def _shared(hot_documents: int):
 SHARED = "bundle long, part long, numbers binary, hot binary, any_hot boolean"
 CONTEXTS = "part long, bundle long, contexts binary, least binary, which binary, docs binary, orders binary, starts binary"
 KINDS = {"least": "<i8", "which": "<u4", "docs": "<u4", "orders": "<i8", "starts": "<u4"}
-WINDOWS = "bundle long, doc int, own long, start int, one long, two long"
+WINDOWS = "bundle long, doc int, own long, begin int, end int, one long, two long"
 
 
 def _chosen(own: Bundle, copies: list, replies: pa.Table, n_ranges: int, hot: bool):
@@ -256,6 +259,20 @@ def _distinct(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, inverse.reshape(-1)
 
 
+def _distinct_contexts(own: Bundle, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct contexts, number of the context of each anchor); few anchors are laid out at a time."""
+    kept, which, n = [np.empty((0, CONTEXT + 2), np.uint8)], [np.empty(0, np.int64)], 0
+    for a in range(0, len(at), AT_A_TIME):
+        some = _contexts_of(own, at[a : a + AT_A_TIME], doc[a : a + AT_A_TIME])
+        first, local = _distinct(some)
+        kept.append(some[first])
+        which.append(local + n)
+        n += len(first)
+    flat = np.concatenate(kept)
+    first, again = _distinct(flat)
+    return flat[first], again[np.concatenate(which)]
+
+
 def _surround(n_ranges: int):
     """Cogroup of a bundle with its copies and replies: its shared anchors with their surroundings, by range."""
 
@@ -266,13 +283,12 @@ def _surround(n_ranges: int):
             at, doc, part = _chosen(own, bundles["copies"][0].as_py() or [], replies, n_ranges, False)
             order = np.argsort(part, kind="stable")
             at, doc, part = at[order], doc[order], part[order]
-            contexts = _contexts_of(own, at, doc)
             for a, b in zip(*_runs(part), strict=True):
-                first, which = _distinct(contexts[a:b])
-                least = np.full(len(first), LATER)
+                contexts, which = _distinct_contexts(own, at[a:b], doc[a:b])
+                least = np.full(len(contexts), LATER)
                 np.minimum.at(least, which, own.order[doc[a:b]])
                 start = at[a:b] - own.edges[doc[a:b]]
-                whole = zstandard.compress(contexts[a:b][first].tobytes(), 1)
+                whole = zstandard.compress(contexts.tobytes(), 1)
                 arrays = zip((least, which, doc[a:b], own.order[doc[a:b]], start), KINDS.values(), strict=True)
                 rows.append((int(part[a]), bundles["bundle"][0].as_py(), whole, *(_packed(x, kind) for x, kind in arrays)))
         names = ["part", "bundle", "contexts", "least", "which", "docs", "orders", "starts"]
@@ -317,41 +333,63 @@ def _decide(key, group):
     rows, at = [], 0
     names = ("which", "docs", "orders", "starts")
     for bundle, n, *own in zip(group["bundle"].to_pylist(), map(len, contexts), *map(read, names), strict=True):
-        local, docs, orders, starts = own
-        earlier = known[which[at : at + n][local]] < orders[:, None]
+        here = which[at : at + n]
         at += n
-        some = np.flatnonzero(earlier.any(axis=1))
-        # strings of SPAN bytes that hold one anchor overlap, so they cover one stretch
-        begin = starts[some].astype(np.int64) - AROUND + earlier[some].argmax(axis=1)
-        end = starts[some].astype(np.int64) + STARTS - earlier[some][:, ::-1].argmax(axis=1) - 1 - AROUND + SPAN
-        if len(some):
-            rows.append((bundle, *(_packed(x, "<u4") for x in (docs[some], begin, end))))
+        for a in range(0, len(own[0]), AT_A_TIME):
+            local, docs, orders, starts = (x[a : a + AT_A_TIME] for x in own)
+            earlier = known[here[local]] < orders[:, None]
+            some = np.flatnonzero(earlier.any(axis=1))
+            # strings of SPAN bytes that hold one anchor overlap, so they cover one stretch
+            begin = starts[some].astype(np.int64) - AROUND + earlier[some].argmax(axis=1)
+            end = starts[some].astype(np.int64) + STARTS - earlier[some][:, ::-1].argmax(axis=1) - 1 - AROUND + SPAN
+            if len(some):
+                rows.append((bundle, *(_packed(x, "<u4") for x in (docs[some], begin, end))))
     return pa.Table.from_batches([_rows(["bundle", "docs", "begins", "ends"], rows, [pa.int64()] + [pa.binary()] * 3)])
 
 
 MARKS = "bundle long, docs binary, begins binary, ends binary"
 
 
+def _starts_with(own: Bundle, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Starts in the bundle of the strings of SPAN bytes that hold an anchor at ``at``, each once."""
+    first, last = np.maximum(at - AROUND, own.edges[doc]), np.minimum(at, own.edges[doc + 1] - SPAN)
+    some = first <= last
+    steps = np.bincount(first[some], minlength=len(own.data) + 1).astype(np.int32)
+    steps -= np.bincount(last[some] + 1, minlength=len(own.data) + 1).astype(np.int32)
+    return np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+
+
 def _hot_windows(n_ranges: int):
-    """Each string of SPAN bytes that holds a hot anchor, by two hashes, once for each place."""
+    """Each string of SPAN bytes that holds a hot anchor, by two hashes, once for each stretch of a document that its places cover."""
 
     def work(bundles: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = pa.table({c: pa.array([], t) for c, t in (("bundle", pa.int64()), ("doc", pa.int32()), ("own", pa.int64()), ("start", pa.int32()), ("one", pa.int64()), ("two", pa.int64()))})
+        types = {"bundle": pa.int64(), "doc": pa.int32(), "own": pa.int64(), "begin": pa.int32(), "end": pa.int32(), "one": pa.int64(), "two": pa.int64()}
+        found = [pa.table({c: pa.array([], t) for c, t in types.items()})]
         if bundles.num_rows and replies.num_rows:
             own = Bundle.of(bundles, 0)
             at, doc, _ = _chosen(own, bundles["copies"][0].as_py() or [], replies, n_ranges, True)
-            start = (at[:, None] - AROUND + np.arange(STARTS)).reshape(-1)
-            doc = np.repeat(doc, STARTS)
-            whole = (start >= own.edges[doc]) & (start + SPAN <= own.edges[doc + 1])
-            start, first = np.unique(start[whole], return_index=True)
-            doc = doc[whole][first]
-            one, two = (np.zeros(len(start), np.uint64) for _ in range(2))
-            for j in range(SPAN):
-                byte = own.data[start + j].astype(np.uint64)
-                one, two = mix(one * np.uint64(3) + byte + np.uint64(1)), mix(two * np.uint64(5) + byte + np.uint64(977))
-            columns = (np.full(len(start), bundles["bundle"][0].as_py()), doc.astype(np.int32), own.order[doc], (start - own.edges[doc]).astype(np.int32), one.view(np.int64), two.view(np.int64))
-            rows = pa.table(dict(zip(rows.column_names, map(pa.array, columns), strict=True)))
-        return rows
+            starts = _starts_with(own, at, doc)
+            for a in range(0, len(starts), AT_A_TIME):
+                start = starts[a : a + AT_A_TIME]
+                doc = np.searchsorted(own.edges, start, side="right") - 1
+                one, two = (np.zeros(len(start), np.uint64) for _ in range(2))
+                for j in range(SPAN):
+                    byte = own.data[start + j].astype(np.uint64)
+                    one, two = mix(one * np.uint64(3) + byte + np.uint64(1)), mix(two * np.uint64(5) + byte + np.uint64(977))
+                order = np.lexsort((start, two, one, doc))
+                start, doc, one, two = start[order], doc[order], one[order], two[order]
+                # places of a string that overlap or touch cover one stretch
+                new = np.ones(len(start), bool)
+                new[1:] = (np.diff(doc) != 0) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (np.diff(start) > SPAN)
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(start)) - 1
+                doc, base = doc[first], own.edges[doc[first]]
+                columns = (
+                    np.full(len(first), bundles["bundle"][0].as_py()), doc.astype(np.int32), own.order[doc], (start[first] - base).astype(np.int32),
+                    (start[last] - base + SPAN).astype(np.int32), one[first].view(np.int64), two[first].view(np.int64),
+                )
+                found.append(pa.table(dict(zip(types, map(pa.array, columns), strict=True))))
+        return pa.concat_tables(found).combine_chunks()
 
     return work
 
@@ -360,8 +398,8 @@ def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         bundles = batch.column("bundle").to_numpy()
         order = np.argsort(bundles, kind="stable")
-        doc, start = batch.column("doc").to_numpy()[order], batch.column("start").to_numpy()[order]
-        rows = [(int(bundles[order[a]]), *(_packed(x[a:b], "<u4") for x in (doc, start, start + SPAN))) for a, b in zip(*_runs(bundles[order]), strict=True)]
+        marks = [batch.column(c).to_numpy()[order] for c in ("doc", "begin", "end")]
+        rows = [(int(bundles[order[a]]), *(_packed(x[a:b], "<u4") for x in marks)) for a, b in zip(*_runs(bundles[order]), strict=True)]
         yield _rows(["bundle", "docs", "begins", "ends"], rows, [pa.int64()] + [pa.binary()] * 3)
 
 
@@ -395,7 +433,7 @@ def _finish(with_bytes: bool):
     return work
 
 
-def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_documents: int = HOT_DOCUMENTS, with_bytes: bool = True) -> DataFrame:
+def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_documents: int = HOT_DOCUMENTS, with_bytes: bool = True, hot_places: int = HOT_PLACES) -> DataFrame:
     """One row for each document: its bytes, removed bytes, removed runs, and the bytes that stay.
 
     A byte goes if it lies in SPAN bytes that also start in a document with a smaller id; texts are taken
@@ -414,8 +452,8 @@ def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     copies = each.join(least, "digest").filter("own > least").groupBy("bundle").agg(F.collect_list("doc").alias("copies"))
     bundles = bundles.join(copies, "bundle", "left")
 
-    offered = bundles.select("bundle", "ids", "sizes", "texts").mapInArrow(_offer(n_ranges), "part long, bundle long, numbers binary, held binary")
-    shared = checkpoint(offered.groupBy("part").applyInArrow(_shared(hot_documents), SHARED))
+    offered = bundles.select("bundle", "ids", "sizes", "texts").mapInArrow(_offer(n_ranges), "part long, bundle long, numbers binary, held binary, places binary")
+    shared = checkpoint(offered.groupBy("part").applyInArrow(_shared(hot_documents, hot_places), SHARED))
     by_bundle = bundles.groupBy("bundle").cogroup(shared.groupBy("bundle"))
     marks = by_bundle.applyInArrow(_surround(n_ranges), CONTEXTS).groupBy("part").applyInArrow(_decide, MARKS)
     marks = checkpoint(marks)
@@ -423,7 +461,7 @@ def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if not hot.isEmpty():
         windows = checkpoint(bundles.groupBy("bundle").cogroup(hot.groupBy("bundle")).applyInArrow(_hot_windows(n_ranges), WINDOWS))
         first = windows.groupBy("one", "two").agg(F.min("own").alias("least"))
-        later = windows.join(first, ["one", "two"]).filter("own > least").select("bundle", "doc", "start")
+        later = windows.join(first, ["one", "two"]).filter("own > least").select("bundle", "doc", "begin", "end")
         marks = marks.union(checkpoint(later.mapInArrow(_mark_windows, MARKS)))
     return bundles.groupBy("bundle").cogroup(marks.groupBy("bundle")).applyInArrow(_finish(with_bytes), RESULT)
 
