@@ -55,3 +55,13 @@ def test_long_text_of_many_units(spark):
     text = "\n".join(f"line number {i} of a long text that goes on and on for a while" for i in range(3000))
     found = run(spark, [(1, text), (2, text)])
     assert spans_of(found, 1) == [[]] and sum(e - b for b, e in spans_of(found, 2)[0]) == len(text) - 2999
+
+
+def test_short_lines_are_units_with_a_bound_of_their_own(spark):
+    rows = [(1, f"{C}\nb\n\n \n{A}"), (2, f"  {C.upper()} \n\n \nx"), (3, f"b\n{C} {A}\n{C}")]
+    found = run(spark, rows, least_line=1)
+    assert spans_of(found, 1) == [[]] and spans_of(found, 2) == [[(0, len(C) + 3)]]
+    # blank lines stay, and so do short sentences inside a line
+    assert spans_of(found, 3) == [[(0, 1), (len(C) + 3, len(C) + 3 + len(A)), (len(C) + len(A) + 4, 2 * len(C) + len(A) + 4)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.without_repeats(df, least_line=1).collect()}[2] == "\n\n \nx"

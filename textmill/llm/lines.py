@@ -3,7 +3,8 @@
 Units are lines, and the sentences of lines that hold several. Each is normalised (lower case, runs of
 white space as one space) and hashed. Digests are grouped over the whole corpus; the occurrence in the
 smallest document and there the first one stays, the others go. Offsets are those of the original text,
-in code points, end exclusive. Units shorter than LEAST characters stay, since short ones repeat by chance.
+in code points, end exclusive. Units shorter than LEAST characters stay, as in the SQL of op2; with
+``least_line`` lines have a bound of their own, and 1 takes every line that is not blank.
 """
 
 from __future__ import annotations
@@ -27,33 +28,37 @@ _SPACE = re.compile(r"[\x09-\x0D\x20]+")
 UNITS = "doc_id long, version long, units array<struct<begin:int,end:int,one:long,two:long>>"
 
 
-def units_of(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised unit) of the lines of a text and the sentences of its longer lines."""
+def units_of(text: str, least: int = LEAST, least_line: int | None = None) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised unit) of the lines of a text and the sentences of its longer lines.
+
+    Units hold at least ``least`` characters, whole lines ``least_line`` if it is given.
+    """
+    least_line = max(1, least if least_line is None else least_line)
     at = 0
     for line in text.split("\n"):
         parts = _SENTENCE_END.sub("\\1\n", line).split("\n")
         begin = at
         for part in [line, *(parts if len(parts) > 1 else ())]:
             if part is line:
-                start, end = at, at + len(line)
+                start, end, bound = at, at + len(line), least_line
             else:
-                start, end = begin, begin + len(part)
+                start, end, bound = begin, begin + len(part), least
                 begin = end
-            if end - start >= least:
+            if end - start >= bound:
                 normal = _SPACE.sub(" ", part.lower()).strip(" ")
-                if len(normal) >= least:
+                if len(normal) >= bound:
                     yield start, end, normal
         at += len(line) + 1
 
 
-def _digest(least: int):
+def _digest(least: int, least_line: int | None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             versions, counts, begins, ends, digests = [], [0], [], [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 versions.append(xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63))
-                for begin, end, unit in units_of(text, least):
+                for begin, end, unit in units_of(text, least, least_line):
                     begins.append(begin)
                     ends.append(end)
                     digests.append(xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass")))
@@ -66,7 +71,7 @@ def _digest(least: int):
     return work
 
 
-def repeated_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def repeated_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, least_line: int | None = None) -> DataFrame:
     """(doc_id, version, spans) for every row: the stretches of its text that go, merged, in order.
 
     ``version`` is a hash of the text. Null and empty texts hold no units. Rows with a null id take no
@@ -74,7 +79,7 @@ def repeated_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     rank by their version. An empty table gives an empty result. Only the two columns are read.
     """
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    held = checkpoint(rows.mapInArrow(_digest(least), UNITS))
+    held = checkpoint(rows.mapInArrow(_digest(least, least_line), UNITS))
     units = held.filter("doc_id IS NOT NULL").select("doc_id", "version", F.explode("units").alias("u")).select("doc_id", "version", "u.*")
     place = F.struct("doc_id", "version", "begin", "end")
     # counted before the shuffle: a line that all documents hold is one row for each task
@@ -100,7 +105,7 @@ def repeated_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     return held.select("doc_id", "version").join(removed, on, "left").select("doc_id", "version", F.coalesce("spans", none).alias("spans"))
 
 
-def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, least_line: int | None = None) -> DataFrame:
     """``documents`` without the repeated units, and with ``removed``: the original offsets of what went.
 
     Other columns pass through; a column ``removed`` of the input is replaced.
@@ -114,7 +119,7 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     kept = [c for c in documents.columns if c != "removed"]
     rows = documents.select(F.struct(*[f"`{c}`" for c in kept]).alias("__row"), F.col(f"`{text}`").cast("string").alias("__text"))
     schema = rows.withColumn("__version", F.lit(0).cast("long")).schema
-    spans = repeated_units(documents, doc_id, text, least).filter("size(spans) > 0").distinct()
+    spans = repeated_units(documents, doc_id, text, least, least_line).filter("size(spans) > 0").distinct()
     joined = rows.mapInArrow(work, schema).join(
         spans, (F.col(f"__row.`{doc_id}`") == F.col("doc_id")) & (F.col("__version") == F.col("version")), "left"
     )
