@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def made():
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
 
-def test_alignment_against_the_libraries(spark, monkeypatch):
+def test_alignment_against_the_libraries(spark):
     some = made()
     texts = [*some, "", None, " ", "  ", "x ", "▁", "<0x41>", "word " * 3000, "x" * 9000, some[0], some[0]]
     df = spark.createDataFrame([(i // 2, t, "own", i) for i, t in enumerate(texts)], "doc_id long, text string, groups string, n_a int")
@@ -100,18 +101,17 @@ def test_alignment_against_the_libraries(spark, monkeypatch):
     assert sum(r[0] == 0 for r in want) > 100 and sum(r[0] > 0 for r in want) > 200
 
 
-def test_few_kept_chunks_and_no_cuts_change_nothing(monkeypatch):
-    import pyarrow as pa
-
+def test_without_cuts_and_in_small_parts_the_groups_are_the_same(monkeypatch):
     texts = made()[:200]
-    whole, cut = alignment.Aligner(*files()), alignment.Aligner(*files())
-    assert cut.may_cut
-    whole.may_cut = False
     shown = []
-    for aligner in (whole, cut):
-        rows, edges = aligner.texts(pa.array(texts))
-        shown.append([";".join(aligner.groups[r] for r in rows[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)])
-    assert shown[0] == shown[1]
+    for cut in (True, False):
+        aligner = alignment.Aligner(*files())
+        assert aligner.b.may_cut
+        aligner.b.may_cut = cut
+        monkeypatch.setattr(alignment, "TOKENS_AT_A_TIME", 7 if cut else 1 << 18)
+        (a, n_a), (b, n_b) = aligner.encode(pa.array(texts))
+        shown.append(aligner.shown(a, n_a, b, n_b, *aligner.common_ends(a, b)).to_pylist())
+    assert shown[0] == shown[1] == [r[-1] for r in brute_force(texts)]
 
 
 def test_tables_without_tokens(spark):

@@ -12,9 +12,7 @@ both vocabularies (about half a million for the given ones), times two where a p
 that has a piece of its own. So the tables of pairs that reach the driver and all tasks are bounded by the
 vocabularies, whatever the corpus.
 
-Neither tokenizer merges over the border from a character to the space after it, so texts are cut there, and
-each distinct chunk is encoded and aligned once for a worker. A model whose pieces hold a space after another
-character is not cut.
+Texts are encoded once: the first pass writes the ids to the shared folder, the second one reads them.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm.bpe import byte_characters
-from textmill.llm.chunks import ChunkEncoder, pieces, ragged, safe_cuts, text_bytes
+from textmill.llm.chunks import ChunkEncoder, pieces, ragged, text_bytes
 from textmill.llm.common import partitions, table
 from textmill.llm.perfect_hash import PerfectHash
 from textmill.llm.registry import query
 from textmill.sources.scratch import checkpoint, discard
 
-KEPT_CHUNKS = 300_000  # aligned chunks that a worker keeps at most, between batches
-TEXT_AT_A_TIME = 8 << 20  # bytes; a longer text is worked on by itself
+TEXT_AT_A_TIME = 4 << 20  # bytes; a longer text is worked on by itself
+TOKENS_AT_A_TIME = 1 << 18  # whose numbers are written together
+PAIRS_KEPT = 1 << 21  # counted pairs of a task that wait to be added up
 COUNT_CHUNKS = 16  # rows in which a vector of counts travels
 SPACE = "▁"  # fixed value: how a piece writes a space
 
@@ -59,100 +58,127 @@ def piece_bytes(model) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(written)]
 
 
+class PieceEncoder(ChunkEncoder):
+    """Encodes texts that start with a space by a piece model that adds it, distinct chunks once.
+
+    The model does not merge over the border from a character to the space after it unless it has a piece with
+    such a border; with such a model texts are not cut.
+    """
+
+    def __init__(self, model):
+        self.model, self.added = model, []
+        self.may_cut = not any(SPACE in model.id_to_piece(i).lstrip(SPACE) for i in range(model.get_piece_size()))
+        self.lone_space = model.piece_to_id(SPACE)
+        self._clear()
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # the model adds the space that each chunk starts with, but not to nothing
+        found = [ids or [self.lone_space] for ids in self.model.encode([c[1:] for c in chunks], num_threads=1)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.may_cut:
+            return super().texts(column)
+        some = pc.fill_null(pc.not_equal(column, ""), False)
+        counts = np.zeros(len(column), np.int64)
+        ids, counts[some.to_numpy(zero_copy_only=False)] = self.encode(column.filter(some).to_pylist())
+        return ids, counts
+
+
+class Ragged:
+    """Byte strings laid end to end, looked up by number."""
+
+    def __init__(self, parts: list[bytes]):
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __getitem__(self, numbers: np.ndarray) -> np.ndarray:
+        return ragged(self.data, self.starts[numbers], self.sizes[numbers])
+
+
 class Aligner:
-    """Aligns chunks of text and keeps what it found for the distinct ones."""
+    """Encodes texts with both tokenizers and aligns the ids."""
 
     def __init__(self, serialised_a: str, model_b: bytes):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(serialised_a)
-        self.a = ChunkEncoder(tokenizer)  # special tokens are plain text
-        self.b = SentencePieceProcessor(model_proto=model_b)
-        self.a_bytes, self.b_bytes = vocabulary_bytes(tokenizer), piece_bytes(self.b)
-        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
-        # a piece with a space after another character could cross a cut
-        self.may_cut = not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.b.get_piece_size()))
-        self.lone_space = self.b.piece_to_id(SPACE)
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.sizes = np.empty((0, 5), np.int64)  # valid, tokens of A, of B, groups, links
-        self.links = self.starts = np.empty(0, np.int64)
-
-    def _encode_b(self, chunks: list[str]) -> list[list[int]]:
-        """The model adds the space that each chunk starts with, but not to nothing."""
-        found = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        return [ids or [self.lone_space] for ids in found]
-
-    def _add(self, chunks: list[str]) -> np.ndarray:
-        """The rows of new chunks, which all start with a space."""
-        flat, counts = self.a.encode(chunks)
-        flat = flat.tolist()
-        sizes, links, at = [], [], 0
-        for chunk, n, b in zip(chunks, counts.tolist(), self._encode_b(chunks), strict=True):
-            a, data = flat[at : at + n], chunk.encode()
-            at += n
-            known = b"".join(map(self.a_bytes.__getitem__, a)) == data and b"".join(map(self.b_bytes.__getitem__, b)) == data
-            shown, own = self.align(a, b) if known else ("", [])
-            self.groups.append(shown)
-            sizes.append((known, len(a), len(b), len(own), len(own)))
-            links.extend(own)
-        rows = np.arange(len(self.sizes), len(self.sizes) + len(chunks))
-        new = np.array(sizes, np.int64).reshape(-1, 5)
-        self.starts = np.concatenate([self.starts, len(self.links) + np.cumsum(new[:, 4]) - new[:, 4]])
-        self.sizes = np.concatenate([self.sizes, new])
-        self.links = np.concatenate([self.links, np.array(links, np.int64)])
-        self.place.update(zip(chunks, rows.tolist(), strict=True))
-        return rows
-
-    def align(self, a: list[int], b: list[int]) -> tuple[str, list[int]]:
-        """(groups as text, linked pairs) of ids over the same bytes; no token is without bytes."""
-        a_ends, b_ends = list(accumulate(map(self.a_sizes.__getitem__, a))), list(accumulate(map(self.b_sizes.__getitem__, b)))
-        of_b = {end: j for j, end in enumerate(b_ends)}
-        shown, links, i, j = [], [], 0, 0
-        for p, end in enumerate(a_ends):
-            q = of_b.get(end)
-            if q is not None:
-                shown.append(f"{','.join(map(str, a[i : p + 1]))}|{','.join(map(str, b[j : q + 1]))}")
-                links.append(a[p] << 32 | b[q])
-                i, j = p + 1, q + 1
-        return ";".join(shown), links
-
-    def _rows(self, chunks: list[str]) -> np.ndarray:
-        rows = np.fromiter((self.place.get(c, -1) for c in chunks), np.int64, len(chunks))
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            rows[new] = self._add([chunks[i] for i in new])
-        return rows
+        tokenizer, model = Tokenizer.from_str(serialised_a), SentencePieceProcessor(model_proto=model_b)
+        self.a, self.b = ChunkEncoder(tokenizer), PieceEncoder(model)  # special tokens are plain text
+        self.a_bytes, self.b_bytes = Ragged(vocabulary_bytes(tokenizer)), Ragged(piece_bytes(model))
+        most = max(len(self.a_bytes.sizes), len(self.b_bytes.sizes))
+        self.width = np.dtype("<u2" if most <= 1 << 16 else "<u4")  # in which ids are stored
+        self.numbers = Ragged([b"%d," % i for i in range(most)])
 
-    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(rows of the chunks of all texts, edges of the texts in them).
+    def encode(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all texts in a row, number of ids of each) of A and of B.
 
-        Null and empty texts have no chunks, and neither have those whose bytes the tokens do not give back.
+        Null and empty texts have no ids, and neither have those whose bytes the ids do not give back.
         """
         column = pc.fill_null(column.cast(pa.string()), "")
         spaced = pc.if_else(pc.equal(column, ""), "", pc.binary_join_element_wise("", column, " "))
         offsets, data = text_bytes(spaced)
-        cuts = safe_cuts(data, offsets[:-1]) if self.may_cut else np.unique(offsets[:-1][np.diff(offsets) > 0])
-        if not len(cuts):
-            return np.empty(0, np.int64), np.zeros(len(column) + 1, np.int64)
-        ends = np.append(cuts, len(data)).astype(np.int32)
-        coded = pc.dictionary_encode(pa.StringArray.from_buffers(len(cuts), pa.py_buffer(ends), pa.py_buffer(data)))
-        rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        edges = np.searchsorted(cuts, offsets)
-        good = self.sizes[rows, 0] > 0
-        if good.all():
-            return rows, edges
-        # a chunk that is not given back: the text is judged as a whole
-        bad = np.unique(np.searchsorted(edges, np.flatnonzero(~good), side="right") - 1)
-        whole = self._rows(spaced.take(pa.array(bad)).to_pylist())
-        whole = {i: [r] if self.sizes[r, 0] else [] for i, r in zip(bad.tolist(), whole.tolist(), strict=True)}
-        parts = [whole[i] if i in whole else rows[edges[i] : edges[i + 1]] for i in range(len(column))]
-        edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return np.concatenate([np.asarray(p, np.int64) for p in parts]), edges
+        found, same = [], np.ones(len(column), bool)
+        for encoder, known in ((self.a, self.a_bytes), (self.b, self.b_bytes)):
+            ids, counts = encoder.texts(spaced)
+            ids = ids.astype(np.int64)
+            found.append((ids, counts))
+            same &= _sums(known.sizes[ids], counts) == np.diff(offsets)
+            if same.all() and (known[ids] == data).all():
+                continue
+            at = np.concatenate([[0], np.cumsum(counts)])
+            for i in np.flatnonzero(same).tolist():  # some text of this batch is not given back
+                same[i] = (known[ids[at[i] : at[i + 1]]] == data[offsets[i] : offsets[i + 1]]).all()
+        return [(ids[np.repeat(same, counts)], np.where(same, counts, 0)) for ids, counts in found]
+
+    def common_ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of A's and of B's tokens that end where one of the other ends; ids over the same bytes."""
+        ends = [np.cumsum(known.sizes[ids]) for known, ids in ((self.a_bytes, a), (self.b_bytes, b))]
+        marks = np.zeros((2, int(ends[0][-1]) + 1 if len(a) else 1), bool)
+        marks[0, ends[0]] = marks[1, ends[1]] = True
+        return np.flatnonzero(marks[1, ends[0]]), np.flatnonzero(marks[0, ends[1]])
+
+    def shown(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> pa.Array:
+        """The groups of each text as text, for tokens of all texts in a row."""
+        # a token stands behind all tokens of its own kind before it, and those of the other kind in groups before
+        # its own; B's also behind A's of its own group
+        ids, marks = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+        group_a, group_b = (np.cumsum(_flags(at, n)) - _flags(at, n) for at, n in ((at_a, len(a)), (at_b, len(b))))
+        places = np.arange(len(a)) + np.concatenate([[0], at_b + 1])[group_a], np.arange(len(b)) + (at_a + 1)[group_b]
+        for place, own, at, last in ((places[0], a, at_a, b"|"), (places[1], b, at_b, b";")):
+            ids[place] = own
+            marks[place] = ord(",")
+            marks[place[at]] = ord(last)
+        text_ends = np.cumsum(n_a + n_b)
+        marks[text_ends[n_a > 0] - 1] = 0  # the last group of a text has no mark
+        sizes = self.numbers.sizes[ids] - (marks == 0)
+        parts = []
+        for i in range(0, len(ids), TOKENS_AT_A_TIME):
+            own = slice(i, i + TOKENS_AT_A_TIME)
+            part = self.numbers[ids[own]]
+            part[np.cumsum(self.numbers.sizes[ids[own]]) - 1] = marks[own]
+            parts.append(part[part != 0])
+        offsets = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], text_ends])]
+        data = np.concatenate(parts) if parts else np.empty(0, np.uint8)
+        return pa.LargeStringArray.from_buffers(len(n_a), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
+
+
+def _flags(at: np.ndarray, n: int) -> np.ndarray:
+    flags = np.zeros(n, np.int64)
+    flags[at] = 1
+    return flags
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``counts`` values."""
+    sums = np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(counts)])]
+    return np.diff(sums)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a << 32 | b
 
 
 _aligners: dict[str, Aligner] = {}
@@ -179,33 +205,58 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return own, total
 
 
-def task_pairs(texts: DataFrame, tokenizers) -> DataFrame:
-    """(pair, n) of ``texts(text)``: how often each task saw a pair of ids linked, A's id in the upper half."""
+def encoded(documents: DataFrame, text: str, keep: list[str], tokenizers) -> DataFrame:
+    """The columns ``keep`` of ``documents`` as a struct and, as bytes, the ids of A and of B."""
+    rows = documents.select(F.struct(*[f"`{c}`" for c in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = rows.select("row", F.lit(b"").alias("a"), F.lit(b"").alias("b")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(tokenizers)
-        pairs = counts = np.empty(0, np.int64)
-        uses = np.zeros(0, np.int64)
+        for batch in pieces(batches, "text", TEXT_AT_A_TIME):
+            columns = [batch.column("row")]
+            for ids, counts in aligner.encode(batch.column("text")):
+                offsets = (aligner.width.itemsize * np.concatenate([[0], np.cumsum(counts)])).astype(np.int32)
+                columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(aligner.width))]))
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "a", "b"])
 
-        def gathered():
-            used = np.flatnonzero(uses)
-            n = aligner.sizes[used, 4]
-            own = ragged(aligner.links, aligner.starts[used], n)
-            return _summed(np.concatenate([pairs, own]), np.concatenate([counts, np.repeat(uses[used], n)]))
+    return rows.mapInArrow(work, schema)
 
-        for batch in pieces(batches, "text", TEXT_AT_A_TIME):
-            if len(aligner.place) > KEPT_CHUNKS:
-                pairs, counts = gathered()
-                aligner.clear()
-                uses = np.zeros(0, np.int64)
-            rows, _ = aligner.texts(batch.column("text"))
-            seen = np.bincount(rows, minlength=len(aligner.sizes))
-            seen[: len(uses)] += uses
-            uses = seen
-        pairs, counts = gathered()
-        yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(counts, pa.int64())], names=["pair", "n"])
 
-    return texts.select("text").mapInArrow(work, "pair long, n long")
+def _stored(batch: pa.RecordBatch, aligner: Aligner) -> list[np.ndarray]:
+    """[ids of A, number of them by text, ids of B, number of them by text]."""
+    out = []
+    for name in ("a", "b"):
+        column = batch.column(name)
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+        held = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+        out += [held.view(aligner.width).astype(np.int64), np.diff(offsets).astype(np.int64) // aligner.width.itemsize]
+    return out
+
+
+def task_pairs(ids: DataFrame, tokenizers) -> DataFrame:
+    """(pair, n) of ``ids(a, b)``: how often each task saw a pair of ids linked, A's id in the upper half."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _aligner(tokenizers)
+        waiting = [np.empty((0, 2), np.int64)]
+        for batch in pieces(batches, "a", TEXT_AT_A_TIME):
+            a, _, b, _ = _stored(batch, aligner)
+            at_a, at_b = aligner.common_ends(a, b)
+            waiting.append(np.stack(np.unique(_pair(a[at_a], b[at_b]), return_counts=True), axis=1))
+            if sum(map(len, waiting)) > PAIRS_KEPT:
+                waiting = [_summed(np.concatenate(waiting))]
+        pairs = _summed(np.concatenate(waiting))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["pair", "n"])
+
+    return ids.select("a", "b").mapInArrow(work, "pair long, n long")
+
+
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    own, at = np.unique(pairs[:, 0], return_inverse=True)
+    total = np.zeros(len(own), np.int64)
+    np.add.at(total, at, pairs[:, 1])
+    return np.stack([own, total], axis=1)
 
 
 def _tree_sum(counted: DataFrame, hashed, n: int) -> np.ndarray:
@@ -260,62 +311,52 @@ class PairCounts:
         return counts, (at >= 0) & (counts == self.highest[self.b_ids[at]])
 
 
-def count_pairs(texts: DataFrame, tokenizers) -> PairCounts:
-    """The first pass: the counts of all linked pairs of ``texts(text)``."""
-    counted = checkpoint(task_pairs(texts, tokenizers))
+def count_pairs(ids: DataFrame, tokenizers) -> PairCounts:
+    """The counts of all linked pairs of ``ids(a, b)``."""
+    counted = checkpoint(task_pairs(ids, tokenizers))
     # at most as many as the vocabularies have bytes, see above
     keys = counted.select("pair").distinct().toArrow()["pair"].to_numpy()
     hashed = PerfectHash(keys.astype(np.uint64))
     counts = np.zeros(0, np.int64)
     if len(keys):
-        sent = texts.sparkSession.sparkContext.broadcast(hashed)
-        counts = _tree_sum(counted, sent, len(keys))
-        sent.destroy()
+        counts = _tree_sum(counted, ids.sparkSession.sparkContext.broadcast(hashed), len(keys))
     discard(counted)
     return PairCounts(hashed, counts)
 
 
-def align(documents: DataFrame, serialised_a: str, model_b: bytes, text: str = "text") -> DataFrame:
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
+
+def align(documents: DataFrame, serialised_a: str, model_b: bytes, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``documents`` with n_a, n_b, n_groups, n_links, n_best, count_sum (long) and groups (string) as last columns.
 
     ``groups`` is `a1,a2|b1;a3|b2,b3`: the ids of A and B of each group. A link is best if no other id of A is
     linked to its id of B more often in all documents; ties are best too. Null and empty texts, and texts that the
     tokens do not give back byte by byte, have no tokens: zeros and an empty string. Repeated rows count as
-    often as they stand. Other columns pass through whatever their names; columns of the input named as a new one
-    are replaced. Very long texts are aligned whole. An empty table gives an empty result.
+    often as they stand. The columns ``keep`` (all, unless given) pass through whatever their names; columns
+    of the input named as a new one are replaced. Very long texts are aligned whole. An empty table gives an empty
+    result.
     """
     spark = documents.sparkSession
     tokenizers = _send(spark, serialised_a, model_b)
-    known = spark.sparkContext.broadcast(count_pairs(documents.select(F.col(f"`{text}`").cast("string").alias("text")), tokenizers))
-    numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    kept = [c for c in documents.columns if c not in (*numbers, "groups")]
-    own = [f"`{c}`" for c in kept]
-    schema = documents.select(*own, *[F.lit(0).cast("long").alias(c) for c in numbers], F.lit("").alias("groups")).schema
-    position = kept.index(text)
+    kept = [c for c in (documents.columns if keep is None else keep) if c not in (*NUMBERS, "groups")]
+    ids = checkpoint(encoded(documents, text, kept, tokenizers))
+    known = spark.sparkContext.broadcast(count_pairs(ids, tokenizers))
+    schema = ids.select("row", *[F.lit(0).cast("long").alias(c) for c in NUMBERS], F.lit("").alias("groups")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, counts = _aligner(tokenizers), known.value
-        for whole in batches:
-            for batch in pieces(iter([whole]), position, TEXT_AT_A_TIME):
-                if len(aligner.place) > KEPT_CHUNKS:
-                    aligner.clear()
-                rows, edges = aligner.texts(batch.column(position))
-                used, at = np.unique(rows, return_inverse=True)
-                per_chunk = np.zeros((len(used), 6), np.int64)
-                per_chunk[:, :4] = aligner.sizes[used, 1:]
-                n = aligner.sizes[used, 4]
-                count, best = counts.of(ragged(aligner.links, aligner.starts[used], n))
-                owner = np.repeat(np.arange(len(used)), n)
-                per_chunk[:, 4] = np.bincount(owner, best, len(used))
-                np.add.at(per_chunk[:, 5], owner, count)
-                sums = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(per_chunk[at], axis=0)])
-                per_text = sums[edges[1:]] - sums[edges[:-1]]
-                listed, bounds = rows.tolist(), edges.tolist()
-                shown = [";".join(map(aligner.groups.__getitem__, listed[i:j])) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                columns = [pa.array(np.ascontiguousarray(per_text[:, k])) for k in range(6)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(shown, pa.string())], names=schema.names)
-
-    return documents.select(*own).mapInArrow(work, schema)
+        for batch in pieces(batches, "a", TEXT_AT_A_TIME):
+            a, n_a, b, n_b = _stored(batch, aligner)
+            at_a, at_b = aligner.common_ends(a, b)
+            count, best = counts.of(_pair(a[at_a], b[at_b]))
+            # no token is without bytes, so one link ends each group
+            links = np.diff(np.searchsorted(at_a, np.concatenate([[0], np.cumsum(n_a)])))
+            numbers = [n_a, n_b, links, links, _sums(best.astype(np.int64), links), _sums(count, links)]
+            columns = [batch.column("row"), *[pa.array(x) for x in numbers], aligner.shown(a, n_a, b, n_b, at_a, at_b)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return ids.mapInArrow(work, schema).select("row.*", *NUMBERS, "groups")
 
 
 @query("op13_alignment")
@@ -326,7 +367,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         serialised = f.read()
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    aligned = align(table(spark, sf_dir, "documents").select("doc_id", "text"), serialised, model)
+    aligned = align(table(spark, sf_dir, "documents"), serialised, model, keep=["doc_id"])
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
     return aligned.select(
         F.col("doc_id").cast("long"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
