@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask what the secret scan finds; all documents stay."""
-    return redact(scan(docs, "doc_id", "text", new_path(spark, "ledger")), "text")
+    return redact(scan(docs, "text", new_path(spark, "ledger")), "text")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Every version of a text is addressed by the SHA-256 of its content. The ledger holds one row for each
 (blob, rule version) that was ever scanned; a run scans only the blobs that lack one, appends them, and
-joins the findings back to all versions. Texts cross the network once, to the one row that stands for
-their blob; copies, however many, only send their address.
+joins the findings back to all versions. Each task sends a text once, whatever its copies, and each blob is
+scanned once; versions only send their address.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ ADDED = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
-SPAN = "struct<start:int,kind:int,end:int>"
+# ``after``: where the spans before this one end, so that overlapping ones can be told without a look back
+SPAN = "struct<start:int,kind:int,end:int,after:int>"
 
 
 def rule_version(rules: tuple[Rule, ...]) -> str:
@@ -54,7 +55,7 @@ def rule_version(rules: tuple[Rule, ...]) -> str:
 
 
 def find_spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, spans) of ``blobs(blob, text)``: spans ordered by start, then rule; code points, end exclusive.
+    """(blob, spans) of ``blobs(blob, text)``, one row a blob: spans ordered by start, then rule; code points, end exclusive.
 
     The pieces between the matches and the matches alternate, so running sums of their lengths are the
     positions. The sums are windows over the matches of one blob and rule.
@@ -85,48 +86,45 @@ def find_spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         matches.filter("sizes IS NOT NULL")
         .withColumn("end", F.sum(F.col("gaps") + F.col("sizes")).over(so_far).cast("int"))
         .filter(F.col("values") >= needed)
-        .withColumn("span", F.struct((F.col("end") - F.col("sizes")).alias("start"), "kind", "end").cast(SPAN))
+        .withColumn("start", F.col("end") - F.col("sizes"))
     )
+    earlier = Window.partitionBy("blob").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("after", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    placed = placed.withColumn("span", F.struct("start", "kind", "end", "after").cast(SPAN))
     return placed.groupBy("blob").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """(blob, rules, spans) of all scans so far; an absent ledger is an empty one."""
+    """(blob, rules, spans) of all scans so far, one row for each (blob, rules); an absent ledger is an empty one.
+
+    Runs at the same time may each append the same blob; the spans are the same, and one row stays.
+    """
     schema = f"blob string, rules string, spans array<{SPAN}>"
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).groupBy("blob", "rules").agg(F.max("spans").alias("spans"))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def scan(versions: DataFrame, path: str, text: str, ledger: str, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
+def scan(versions: DataFrame, text: str, ledger: str, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
     """All rows of ``versions`` with a last column ``spans``; new blobs are added to the ``ledger`` folder.
 
-    A null text is an empty one, and neither holds spans. ``path`` may repeat (a file's history) and be
-    null. Repeated rows stay, each with its spans. Other columns, whatever their names, pass through; a
-    column ``spans`` of the input is replaced. An empty table gives an empty result.
+    A row is a version of a file, at whatever path; all columns, so the paths too, pass through. A null text is an empty
+    one, and neither holds spans. Repeated rows stay, each with its spans. A column ``spans`` of the input is
+    replaced. An empty table gives an empty result.
     """
     spark = versions.sparkSession
     version = rule_version(rules)
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = versions.select(F.struct(*[f"`{c}`" for c in versions.columns if c != "spans"]).alias("row"),
-                           F.col(f"`{path}`").alias("path"), F.sha2(content, 256).alias("blob"))
-    texts = versions.select(F.col(f"`{path}`").alias("path"), F.sha2(content, 256).alias("blob"), content.alias("text"))
-    known = read_ledger(spark, ledger).filter(F.col("rules") == version)
-    unseen = (
-        rows.groupBy("blob")
-        .agg(F.min("path").alias("owner"))
-        .join(known.select("blob"), "blob", "left_anti")
-        .select(F.col("blob").alias("new"), "owner")
-    )
-    # the small side is the one that is kept in memory, the texts stream past it
-    fresh = texts.join(
-        unseen.hint("shuffle_hash"), (F.col("blob") == F.col("new")) & F.col("path").eqNullSafe(F.col("owner"))
-    ).select("blob", "text")
-    # one path may hold the same text twice: its spans are the same, one row is enough
-    scanned = unseen.select(F.col("new").alias("blob")).join(find_spans(fresh, rules), "blob", "left")
+    rows = versions.select(F.struct(*[f"`{c}`" for c in versions.columns if c != "spans"]).alias("row"), F.sha2(content, 256).alias("blob"))
+    known = read_ledger(spark, ledger).filter(F.col("rules") == version).select("blob")
+    unseen = rows.select("blob").distinct().join(known, "blob", "left_anti")
+    # equal texts are put together where they are read, so that one row of each blob is scanned
+    texts = versions.select(F.sha2(content, 256).alias("blob"), content.alias("text"))
+    fresh = texts.groupBy("blob").agg(F.first("text").alias("text")).join(known, "blob", "left_anti")
+    scanned = unseen.join(find_spans(fresh, rules), "blob", "left")
     scanned.select("blob", F.lit(version).alias("rules"), "spans").write.mode("append").parquet(ledger)
     # a hot blob is on the large side of this join only, whose partitions Spark splits
     found = read_ledger(spark, ledger).filter((F.col("rules") == version) & F.col("spans").isNotNull())
@@ -141,18 +139,12 @@ def redact(scanned: DataFrame, text: str, mask: str = "[secret]") -> DataFrame:
 
     Overlapping spans of several rules are replaced once. Texts without spans stay as they are.
     """
-    # keep the characters before each span that no earlier span has covered
-    reach = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")),
-        lambda a, s: F.struct(
-            F.when(s["start"] >= a["at"], F.concat(a["kept"], F.substring(F.col(f"`{text}`"), a["at"] + 1, s["start"] - a["at"]), F.lit(mask)))
-            .otherwise(a["kept"]).alias("kept"),
-            F.greatest(a["at"], s["end"]).alias("at"),
-        ),
-        lambda a: F.concat(a["kept"], F.substring(F.col(f"`{text}`"), a["at"] + 1, F.length(F.col(f"`{text}`")))),
-    )
-    clean = F.when(F.size("spans") > 0, reach).otherwise(F.col(f"`{text}`"))
+    own = F.col(f"`{text}`")
+    # what stands before each span that starts past all earlier ones, and the mask; then the rest
+    piece = lambda p: F.when(p["start"] >= p["after"], F.concat(F.substring(own, p["after"] + 1, p["start"] - p["after"]), F.lit(mask)))
+    reach = F.array_max(F.transform("spans", lambda p: p["end"]))
+    kept = F.concat(F.array_join(F.transform("spans", piece), ""), F.substring(own, reach + 1, F.length(own)))
+    clean = F.when(F.size("spans") > 0, kept).otherwise(own)
     return scanned.select(*[clean.alias(c) if c == text else f"`{c}`" for c in scanned.columns if c != "spans"])
 
 
@@ -201,4 +193,4 @@ def _sql() -> str:
 @query("op9_secret_scan", _sql())
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digest(scan(docs, "doc_id", "text", new_path(spark, "ledger")))
+    return digest(scan(docs, "text", new_path(spark, "ledger")))
