@@ -35,8 +35,9 @@ from textmill.llm.perfect_hash import PerfectHash
 from textmill.llm.registry import query
 from textmill.sources.scratch import checkpoint, discard
 
-TEXT_AT_A_TIME = 4 << 20  # bytes; a longer text is worked on by itself
+TEXT_AT_A_TIME = 2 << 20  # bytes; a longer text is worked on by itself
 TOKENS_AT_A_TIME = 1 << 18  # whose numbers are written together
+KEPT_CHUNKS = 150_000  # of each tokenizer; an executor's workers hold both tables
 PAIRS_KEPT = 1 << 21  # counted pairs of a task that wait to be added up
 COUNT_CHUNKS = 16  # rows in which a vector of counts travels
 SPACE = "▁"  # fixed value: how a piece writes a space
@@ -107,6 +108,7 @@ class Aligner:
 
         tokenizer, model = Tokenizer.from_str(serialised_a), SentencePieceProcessor(model_proto=model_b)
         self.a, self.b = ChunkEncoder(tokenizer), PieceEncoder(model)  # special tokens are plain text
+        self.a.kept = self.b.kept = KEPT_CHUNKS
         self.a_bytes, self.b_bytes = Ragged(vocabulary_bytes(tokenizer)), Ragged(piece_bytes(model))
         most = max(len(self.a_bytes.sizes), len(self.b_bytes.sizes))
         self.width = np.dtype("<u2" if most <= 1 << 16 else "<u4")  # in which ids are stored

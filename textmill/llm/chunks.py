@@ -51,6 +51,8 @@ class ChunkEncoder:
     by the tokenizer as it is defined.
     """
 
+    kept = KEPT_CHUNKS
+
     def __init__(self, tokenizer, added: bool = False):
         tokenizer.encode_special_tokens = True
         self.tokenizer = tokenizer
@@ -93,7 +95,7 @@ class ChunkEncoder:
 
     def _make_room(self) -> None:
         """Keep the chunks that were met in more than one batch, at most half of the table."""
-        most = np.sort(self.uses)[-KEPT_CHUNKS // 2]
+        most = np.sort(self.uses)[-self.kept // 2]
         kept = np.flatnonzero(self.uses > max(1, most))
         chunks = list(self.place)
         self.place = {chunks[i]: n for n, i in enumerate(kept.tolist())}
@@ -102,7 +104,7 @@ class ChunkEncoder:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def _rows(self, chunks: list[str]) -> np.ndarray:
-        if len(self.place) > KEPT_CHUNKS:
+        if len(self.place) > self.kept:
             self._make_room()
         place = self.place
         rows = np.fromiter((place.get(c, -1) for c in chunks), np.int64, len(chunks))
