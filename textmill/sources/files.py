@@ -7,13 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.text import strip
-from textmill.operators.skew import lookup_join
+from textmill.sources.records import scan_records
 
-# Code points 0x80-0x9F that cp1252 defines, and the characters they stand for.
-CP1252_BYTES = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
-CP1252_FROM = "".join(chr(b) for b in CP1252_BYTES)
-CP1252_TO = bytes(CP1252_BYTES).decode("cp1252")
-CP1252_UNDEFINED = "[\x81\x8d\x8f\x90\x9d]"
 DELIMITERS = (",", "|")
 
 
@@ -27,8 +22,8 @@ def read_csv(
 ) -> DataFrame:
     """All-string scan unless a schema is given; doubled quotes escape a quote.
 
-    ``multi_line`` allows line breaks inside quotes and makes each file one task, so large inputs
-    should then come as many files.
+    ``multi_line`` allows line breaks inside quotes and makes each file one task; ``records.scan_records`` reads
+    them from splits of files.
     """
     reader = (
         spark.read.option("header", header)
@@ -80,35 +75,9 @@ def choose_delimiter(spark: SparkSession, path: str) -> str:
     return DELIMITERS[1] if bars_regular and not commas_regular else DELIMITERS[0]
 
 
-def mixed_charset_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value) for every line of files in UTF-8 or a Western single-byte charset.
-
-    The charset is a property of the whole file: one pass of partial aggregates finds the files
-    with invalid lines, and the lines are decoded where they were read, so files stay splittable.
-    """
-    raw = spark.read.format("text").load(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("content")
-    )
-    latin = F.decode("content", "ISO-8859-1")
-    verdict = raw.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8(F.col("content").cast("string"))).alias("utf8"),
-        F.bool_or(latin.rlike(CP1252_UNDEFINED)).alias("undefined"),
-    )
-    decoded = (
-        F.when(F.col("utf8"), F.col("content").cast("string"))
-        .when(F.col("undefined"), latin)
-        .otherwise(F.translate(latin, CP1252_FROM, CP1252_TO))
-    )
-    known = lookup_join(raw, verdict, "file")
-    return known.select("file", F.regexp_replace(decoded, "^\ufeff", "").alias("value"))
-
-
 def normalise_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Headerless lines of any supported charset, parsed into string columns."""
-    lines = mixed_charset_lines(spark, path)
-    schema = ", ".join(f"`{c}` STRING" for c in columns)
-    parsed = F.from_csv("value", schema, {"quote": '"', "escape": '"'})
-    return lines.select("file", parsed.alias("row")).select("file", "row.*")
+    """(file, *columns): headerless records of any supported charset, parsed into string columns."""
+    return scan_records(spark, path, columns)
 
 
 def keyword_list(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textmill.operators.columns import dataset_profile
 from textmill.sources import files
+from textmill.sources.records import scan_records
 from textmill.sources.runs import choose_artefact, latest_per_key
 from textmill.sources.scratch import new_path
 from workload.registry import query
@@ -20,7 +21,7 @@ def csv_headerless_scan(spark, sf_dir):
     path = new_path(spark, "headerless")
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang").orderBy("doc_id")
     files.write_table(docs, path, "csv", header=False)
-    rows = files.with_row_idx(files.read_csv(spark, path, multi_line=True))
+    rows = scan_records(spark, path, row_idx="row_idx")
     return rows.select("row_idx", F.col("_c0").cast("bigint").alias("doc_id"), F.col("_c1").alias("text"), F.col("_c2").alias("lang"))
 
 
@@ -29,23 +30,21 @@ def csv_header_scan(spark, sf_dir):
     path = new_path(spark, "headered")
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     files.write_table(docs, path, "csv", header=True)
-    return files.read_csv(spark, path, header=True, schema=docs.schema, multi_line=True)
+    return scan_records(spark, path, docs.schema, header=True).drop("file")
 
 
 # texts that fit one byte per character are written as cp1252 with a euro sign, the others as UTF-8
-ONE_LINE = r"regexp_replace(text, '[\r\n]+', ' '{flag})"
 ONE_BYTE = "^[\\x{{00}}-\\x{{7F}}\\x{{A0}}-\\x{{FF}}]*$"
 
 
 @query(
     "encoding_normalise",
-    f"""SELECT doc_id, lang, CASE WHEN regexp_matches(line, '{ONE_BYTE.format()}') THEN line || ' €' ELSE line END AS text
-        FROM (SELECT doc_id, lang, {ONE_LINE.format(flag=", 'g'")} AS line FROM documents)""",
+    f"""SELECT doc_id, lang, CASE WHEN regexp_matches(text, '{ONE_BYTE.format()}') THEN text || ' €' ELSE text END AS text
+        FROM documents""",
 )
 def encoding_normalise(spark, sf_dir):
     path = new_path(spark, "charsets")
-    line = F.regexp_replace("text", r"[\r\n]+", " ")
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "lang", line.alias("text"))
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "lang", "text")
     narrow = F.col("text").rlike(ONE_BYTE.format())
     euro = F.concat("text", F.lit(" \x80"))
     options = {"quote": '"', "escape": '"', "ignoreTrailingWhiteSpace": "false", "ignoreLeadingWhiteSpace": "false"}
