@@ -59,14 +59,18 @@ def test_neighbours_equal_brute_force(spark):
         assert found[i] == want
 
 
-def flat_clusters(texts, k, linkage):
-    """Naive merging, one nearest pair at a time, then the cut used by flat clusters of at most k."""
+def flat_clusters(texts, k, linkage, max_distance=1.0):
+    """Naive merging, one nearest pair at a time, then the cut used by flat clusters of at most k.
+
+    Texts further apart than ``max_distance`` lie at distance 1.
+    """
+    apart = lambda x, y: d if (d := jaccard(x, y)) <= max_distance else 1.0
     groups, heights = [[i] for i in range(len(texts))], []
     join = (lambda d: sum(d) / len(d)) if linkage == "average" else max
     history = [list(map(tuple, groups))]
     while len(groups) > 1:
         best = min(
-            ((round(join([jaccard(texts[x], texts[y]) for x in a for y in b]), 9), min(a), min(b), ia, ib)
+            ((round(join([apart(texts[x], texts[y]) for x in a for y in b]), 9), min(a), min(b), ia, ib)
              for (ia, a), (ib, b) in itertools.combinations(enumerate(groups), 2)),
         )
         h, _, _, ia, ib = best
@@ -80,17 +84,17 @@ def flat_clusters(texts, k, linkage):
 
 
 @pytest.mark.parametrize("linkage", ["average", "complete"])
-@pytest.mark.parametrize("finish_below", [0, 256])
-def test_hierarchical_equals_naive_merging(spark, linkage, finish_below):
+@pytest.mark.parametrize("max_distance, k", [(0.95, 3), (0.6, 6), (0.6, 3)])
+def test_hierarchical_equals_naive_merging(spark, linkage, max_distance, k):
     rng = random.Random(5)
     # distinct pair similarities: long sets from one small vocabulary
     texts = [" ".join(rng.sample([f"w{i}" for i in range(40)], rng.randint(8, 30))) for _ in range(12)]
     texts += texts[:2]
-    got = clustering.hierarchical(frame(spark, texts), "text", 3, linkage, finish_below=finish_below).collect()
+    got = clustering.hierarchical(frame(spark, texts), "text", k, linkage, max_distance=max_distance).collect()
     clusters = {}
     for r in got:
         clusters.setdefault(r["cluster"], set()).add(r["row_idx"])
-    assert {frozenset(c) for c in clusters.values()} == flat_clusters(texts, 3, linkage)
+    assert {frozenset(c) for c in clusters.values()} == flat_clusters(texts, k, linkage, max_distance)
     assert all(min(c) == name for name, c in clusters.items())
 
 

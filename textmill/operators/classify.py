@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -193,12 +194,14 @@ def predict_naive_bayes(model: NaiveBayesModel, df: DataFrame, text: str, row_id
 
 @dataclass(frozen=True)
 class NeighbourModel:
-    """Tables: sets(set_key, gid, size, ids), members(set_key, target, neighbour), postings(tok, ...),
-    frequencies(tok, n, id). Words are compared by their numbers."""
+    """Tables: sets(set_key, gid, size, ids, rows), members(set_key, target, neighbour), frequencies(tok, n, id),
+    postings(key, gid, size, pos) and lists(key, n), the length of each. A key is a word with a range of sizes. Words
+    are compared by their numbers."""
 
     sets: DataFrame
     members: DataFrame
     postings: DataFrame
+    lists: DataFrame
     frequencies: DataFrame
     k: int = 5
 
@@ -227,72 +230,108 @@ def fit_neighbours(
     counted = sets.select(F.explode("words").alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
     # any number will do that differs from word to word; written, it stays the same
     frequencies = checkpoint(counted.withColumn("id", F.monotonically_increasing_id()))
-    postings = checkpoint(ranked_tokens(sets, frequencies).select("tok", "gid", "size", "pos", "id"))
-    numbers = postings.groupBy("gid").agg(F.collect_list("id").alias("ids"))
-    numbered = checkpoint(sets.drop("words").join(numbers, "gid"))
-    discard(sets)
-    return NeighbourModel(numbered, checkpoint(members), postings.drop("id"), frequencies, k)
+    ranked = checkpoint(ranked_tokens(sets, frequencies).select("tok", "gid", "size", "pos", "id"))
+    postings = checkpoint(ranked.select(_list_key(F.col("tok"), _size_range(F.col("size"))).alias("key"), "gid", "size", "pos"))
+    lists = checkpoint(postings.groupBy("key").agg(F.count("*").alias("n")))
+    numbers = ranked.groupBy("gid").agg(F.collect_list("id").alias("ids"))
+    members = checkpoint(members)
+    rows_of = members.groupBy("set_key").agg(F.count("*").alias("rows"))
+    numbered = checkpoint(sets.drop("words").join(numbers, "gid").join(rows_of, "set_key"))
+    discard(sets, ranked)
+    return NeighbourModel(numbered, members, postings, lists, frequencies, k)
 
 
-def _overlaps(tokens: DataFrame, model: NeighbourModel, condition: Column, query_ids: DataFrame) -> DataFrame:
-    """(q, gid, distance) of candidates that share one of the given query tokens and pass ``condition``.
+SIZE_STEP = 1.5  # ratio of neighbouring ranges of set sizes
+FIRST_POSTINGS, MORE_POSTINGS = 64, 8  # postings a query opens at first, for each neighbour, and the growth by round
 
-    ``query_ids(q, a_size, a_ids)`` has the numbers of the known words; unknown ones count in the size.
+
+def _size_range(size: Column) -> Column:
+    return F.floor(F.ln(size) / F.lit(math.log(SIZE_STEP)) + 1e-9).cast("int")
+
+
+def _list_key(tok: Column, size_range: Column) -> Column:
+    return F.xxhash64(tok, size_range)
+
+
+def _opened(words: DataFrame, model: NeighbourModel, state: DataFrame) -> DataFrame:
+    """(q, gid, distance) of the sets in the lists of the words that each query of ``state(q, reach, upto, done)``
+    opens next, and which its ``reach`` does not rule out.
+
+    ``words(q, size, known, tok, pos, r, ids)``: r counts a query's known words from the rarest one on.
     """
-    sizes = tokens.groupBy("tok").agg(F.count("*").alias("n_left")).join(
-        model.frequencies.select("tok", F.col("n").alias("n_right")), "tok"
+    s = F.col("reach")
+    low, high = F.ceil(s * F.col("size") - SLACK), F.floor(F.try_divide("size", s) + SLACK)
+    largest = _size_range(F.lit(model.sets.agg(F.coalesce(F.max("size"), F.lit(1))).first()[0]))
+    ranges = F.explode(
+        F.sequence(_size_range(F.greatest(low, F.lit(1))), F.when(s > 0, F.least(_size_range(high), largest)).otherwise(largest))
     )
-    pairs = (
-        salted_pairs(tokens, model.postings, "tok", sizes, condition)
-        .select(F.col("a.q").alias("q"), F.col("b.gid").alias("gid"))
-        .distinct()
+    opened = words.join(state, "q").filter((F.col("r") > F.col("done")) & (F.col("r") <= F.col("upto")))
+    # a query of sizes that no set has opens nothing
+    opened = opened.filter((s == 0) | (_size_range(F.greatest(low, F.lit(1))) <= largest))
+    asked = opened.select("q", "size", "reach", "pos", "tok", ranges.alias("size_range"))
+    asked = asked.select("q", "size", "reach", "pos", _list_key(F.col("tok"), F.col("size_range")).alias("key"))
+    asked = asked.join(model.lists.select("key"), "key", "left_semi")
+    a, b, s = F.col("a.size"), F.col("b.size"), F.col("a.reach")
+    possible = (
+        (F.least(a, b) >= s * F.greatest(a, b) - SLACK)
+        & (F.least(a - F.col("a.pos"), b - F.col("b.pos")) + 1 >= F.ceil(s / (1 + s) * (a + b) - SLACK))
     )
-    both = pairs.join(query_ids, "q").join(model.sets.select("gid", "size", "ids"), "gid")
-    shared = F.size(F.array_intersect("a_ids", "ids"))
-    return both.select("q", "gid", (1.0 - shared / (F.col("a_size") + F.col("size") - shared)).alias("distance"))
+    sizes = asked.groupBy("key").agg(F.count("*").alias("n_left")).join(model.lists.select("key", F.col("n").alias("n_right")), "key")
+    pairs = salted_pairs(asked, model.postings, "key", sizes, possible)
+    return pairs.select(F.col("a.q").alias("q"), F.col("b.gid").alias("gid")).distinct()
 
 
-def neighbours_of_sets(model: NeighbourModel, query_sets: DataFrame, probe: int = 8) -> DataFrame:
+def neighbours_of_sets(model: NeighbourModel, query_sets: DataFrame) -> DataFrame:
     """(q, neighbour, target, distance, rank): the exact k nearest rows of each query set (q, size, words).
 
-    A first round over the ``probe`` rarest words of each query gives a similarity that its k-th
-    neighbour reaches at least. With that bound, only the rare end of the query can lead to a
-    neighbour, and length and position rule out most postings. Queries with fewer than k overlapping
-    rows are filled up with the first rows of the base, which all lie at distance 1.
+    A threshold algorithm in rounds. A query opens the posting lists of its words, rarest first: in the first round
+    FIRST_POSTINGS postings for each neighbour, later ones MORE_POSTINGS times as many, but always one word at
+    least. The similarity of its k-th row so far rules out sizes, and with them whole lists, and sets that
+    share too little from a word on. A set in no list opened so far shares only words not opened yet; once that
+    allows no similarity as high as the k-th one, the query is done. Queries with fewer than k overlapping rows are
+    filled up with the first rows of the base, which all lie at distance 1.
     """
     k = model.k
     queries = checkpoint(query_sets.select("q", "size", "words"))
-    ranked = checkpoint(
-        ranked_tokens(queries.withColumnRenamed("q", "gid"), model.frequencies, keep_unknown=True)
-        .withColumnRenamed("gid", "q")
-        .select("q", "size", "tok", "n", "pos", "id")
-    )
-    numbers = ranked.filter("n > 0").groupBy("q").agg(F.collect_list("id").alias("a_ids"))
-    query_ids = checkpoint(queries.select("q", F.col("size").alias("a_size")).join(numbers, "q"))
-    known_rank = Window.partitionBy("q").orderBy("pos")
-    rarest = (
-        ranked.filter("n > 0").withColumn("r", F.row_number().over(known_rank)).filter(F.col("r") <= probe)
-    )
-    probed = checkpoint(_overlaps(rarest.select("q", "tok"), model, F.lit(True), query_ids))
-    kth = Window.partitionBy("q").orderBy("distance", "gid")
-    bound = (
-        probed.withColumn("r", F.row_number().over(kth)).filter(F.col("r") == k)
-        .select("q", (1 - F.col("distance")).alias("reach"))
-    )
-    reach = F.coalesce("reach", F.lit(0.0))
-    prefix = checkpoint(
-        ranked.filter("n > 0")
-        .join(bound, "q", "left")
-        .withColumn("reach", reach)
-        .filter(F.col("pos") <= F.col("size") - F.greatest(F.ceil(F.col("reach") * F.col("size") - SLACK), F.lit(1)) + 1)
-        .select("q", "size", "tok", "pos", "reach")
-    )
-    s, a, b = F.col("a.reach"), F.col("a.size"), F.col("b.size")
-    possible = (
-        (F.least(a, b) >= s * F.greatest(a, b) - SLACK)
-        & (F.least(a - F.col("a.pos"), b - F.col("b.pos")) + 1 >= F.ceil(s / (1 + s) * (a + b) - SLACK))
+    ranked = ranked_tokens(queries.withColumnRenamed("q", "gid"), model.frequencies, keep_unknown=True).withColumnRenamed("gid", "q")
+    rarest = Window.partitionBy("q").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    words = checkpoint(
+        ranked.filter("n > 0").select(
+            "q", "size", "tok", "pos", "id", F.row_number().over(Window.partitionBy("q").orderBy("pos")).alias("r"), F.sum("n").over(rarest).alias("upto_n")
+        )
     )
-    near = _overlaps(prefix, model, possible, query_ids)
+    per_query = words.groupBy("q", "size").agg(F.collect_list("id").alias("a_ids"), F.max("r").alias("known"))
+    per_query = checkpoint(per_query)
+    state = per_query.select("q", F.lit(0.0).alias("reach"), F.lit(0).alias("done"))
+    near, budget = None, FIRST_POSTINGS * k
+    while True:
+        # words that are needed at most (all, as long as there is no k-th row), and those that the budget allows
+        needed = F.when(F.col("reach") > 0, F.least("known", F.floor(F.col("known") - F.col("reach") * F.col("size") + SLACK) + 1)).otherwise(F.col("known"))
+        open_ = state.join(per_query.select("q", "size", "known"), "q").withColumn("needed", needed.cast("int")).filter(F.col("done") < F.col("needed"))
+        cheap = words.filter(F.col("upto_n") <= budget).groupBy("q").agg(F.max("r").alias("cheap"))
+        upto = F.least("needed", F.greatest(F.coalesce("cheap", F.lit(0)), F.col("done") + 1))
+        asked = checkpoint(open_.join(cheap, "q", "left").select("q", "reach", "done", upto.alias("upto")))
+        if near is not None and asked.isEmpty():
+            break
+        fresh = _opened(words.select("q", "size", "tok", "pos", "r"), model, asked)
+        if near is not None:
+            fresh = fresh.join(near.select("q", "gid"), ["q", "gid"], "left_anti")
+        both = fresh.join(per_query.select("q", F.col("size").alias("a_size"), "a_ids"), "q").join(model.sets.select("gid", "size", "ids", "rows"), "gid")
+        shared = F.size(F.array_intersect("a_ids", "ids"))
+        found = both.select("q", "gid", "rows", (1.0 - shared / (F.col("a_size") + F.col("size") - shared)).alias("distance"))
+        if near is not None:
+            found = found.unionByName(near.select("q", "gid", "rows", "distance"))
+        # the k-th row is in the first set with which k rows are together; sets behind it do not matter any more
+        nearest_first = Window.partitionBy("q").orderBy("distance", "gid").rowsBetween(Window.unboundedPreceding, 0)
+        counted = found.withColumn("upto_rows", F.sum("rows").over(nearest_first))
+        kth = F.min(F.when(F.col("upto_rows") >= k, F.col("distance"))).over(Window.partitionBy("q"))
+        last, near = near, checkpoint(counted.withColumn("kth", kth).filter(F.col("kth").isNull() | (F.col("distance") <= F.col("kth"))).drop("upto_rows"))
+        reach = near.groupBy("q").agg(F.max(F.coalesce(1 - F.col("kth"), F.lit(0.0))).alias("new_reach"))
+        moved = state.join(asked.select("q", "upto"), "q", "left").join(reach, "q", "left")
+        state = checkpoint(moved.select("q", F.coalesce("new_reach", "reach").alias("reach"), F.coalesce("upto", "done").alias("done")))
+        budget *= MORE_POSTINGS
+        if last is not None:
+            discard(last)
     best = Window.partitionBy("q").orderBy("distance", "target", "neighbour")
     overlapping = (
         near.join(model.sets.select("gid", "set_key"), "gid")
@@ -400,7 +439,7 @@ def save_model(model, path: str) -> None:
         tables = {"tokens": model.tokens, "classes": model.classes}
         options = {"kind": "naive_bayes", "ngram": model.ngram, "feature_rep": model.feature_rep, "k": 0}
     else:
-        tables = {t: getattr(model, t) for t in ("sets", "members", "postings", "frequencies")}
+        tables = {t: getattr(model, t) for t in ("sets", "members", "postings", "lists", "frequencies")}
         options = {"kind": "knn", "ngram": "", "feature_rep": "", "k": model.k}
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -422,4 +461,4 @@ def load_model(spark: SparkSession, path: str, kind: str = "tables"):
         return KeywordModel(tuple(lists[True]), tuple(lists[False]))
     if options["kind"] == "naive_bayes":
         return NaiveBayesModel(table("tokens"), table("classes"), options["ngram"], options["feature_rep"])
-    return NeighbourModel(table("sets"), table("members"), table("postings"), table("frequencies"), options["k"])
+    return NeighbourModel(table("sets"), table("members"), table("postings"), table("lists"), table("frequencies"), options["k"])
