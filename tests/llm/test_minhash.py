@@ -80,3 +80,59 @@ def test_samples_agree_as_often_as_weights_overlap():
     picked = minhash.samples(np.concatenate([h[:250], h[50:]]), np.concatenate([a[:250], b[50:]]), np.array([250, 250]), 2000)
     want = minhash.weighted_jaccard((h[:250], a[:250]), (h[50:], b[50:]))
     assert (picked[0] == picked[1]).mean() == pytest.approx(want, abs=0.04)
+
+
+def signed(spark, texts):
+    """(nodes, whole, broadcast idf, sets) for texts that are all different and alone in their components."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    idf = minhash.inverse_frequencies(df.select("text"))
+    hashes, times, counts = minhash.shingles(pa.array(texts, pa.string()))
+    names, at, rows, whole, sets = minhash.digests(hashes, times, counts), 0, [], [], []
+    for name, n in zip(names, counts.tolist(), strict=True):
+        h, t = hashes[at : at + n], times[at : at + n]
+        at += n
+        w = idf[minhash._df_slot(h)].astype(float) * t
+        order = np.argsort(h)
+        rows.append((name, name, float(w.sum())))
+        whole.append((name, bytearray(h[order].tobytes()), bytearray(t[order].astype(np.uint32).tobytes())))
+        sets.append((h, w))
+    nodes = spark.createDataFrame(rows, "node string, component string, weight double")
+    held = spark.createDataFrame(whole, "node string, hashes binary, times binary")
+    return nodes, held, spark.sparkContext.broadcast(idf), dict(zip(names, sets, strict=True))
+
+
+def test_prefixes_find_all_similar_pairs_and_no_pair_of_a_shared_passage(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    passage = " ".join(word() for _ in range(80))
+    # a quarter of each text is its own: similarities of about 0.7
+    around = [f"{' '.join(word() for _ in range(17))} {passage}" for _ in range(150)]
+    edited = []
+    base = [word() for _ in range(120)]
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = word()
+        edited.append(" ".join(words[rng.randint(0, 12):]))
+    nodes, whole, idf, sets = signed(spark, sorted({*around, *edited}))
+    found = {(r.a, r.b) for r in minhash.prefix_pairs(nodes, whole, idf, minhash.SIMILAR).collect()}
+    similar = {(a, b) for a, b in combinations(sorted(sets), 2) if minhash.weighted_jaccard(sets[a], sets[b]) >= minhash.SIMILAR}
+    assert len(similar) > 50 and similar <= found
+    shared = {minhash.digests(*minhash.shingles(pa.array([t])))[0] for t in around}
+    assert not [p for p in found if set(p) <= shared]
+
+
+def test_large_group_around_a_passage_and_very_long_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    passage = " ".join(word() for _ in range(100))
+    texts = [f"{passage} {' '.join(word() for _ in range(rng.randint(28, 40)))}" for _ in range(600)]
+    long = [word() for _ in range(120_000)]
+    texts += [" ".join(long), " ".join([*long[:60_000], "other", *long[60_000:]]), passage, passage + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+    idf = minhash.inverse_frequencies(df.select("text"))
+    sample = [*range(200), *range(600, 604)]
+    want = brute_classes([texts[i] for i in sample], idf)
+    assert [found[i] for i in sample] == [sample[k] for k in want]
+    assert len(set(found.values())) == 602

@@ -8,11 +8,13 @@ Jaccard similarity. Samples are banded; texts that share a
 band are candidates and are verified on their whole shingles. Classes are the connected components of the
 verified links.
 
-Copies are one node from the start. In a band's bucket all nodes are compared with one of them; only nodes
-that this leaves in different classes are compared further. In small buckets that is done pair by pair. In
-larger ones, which a passage of many documents fills, it is done with more centres and then by prefixes: of
-two sets as similar as asked for, the rarest shingles that make up more than the difference allows must
-meet, which is exact. Links within a class are not needed and not looked for.
+Copies are one node from the start. In a band's bucket all nodes are compared with its most central one: the
+node that meets the most others over all its bands, which is the best guess at what a group of edited copies comes
+from. What this leaves in different classes is searched exactly, without pairs of all: of two sets as similar
+as asked for, the rarest shingles that make up more than the difference allows must meet. A shingle is indexed
+under the range of the partner's weight, and only while what follows it in the set's order still weighs enough
+to be shared with a partner of that weight; keys whose nodes are all of one class are left out. Links within a class
+are not needed and not looked for.
 
 Document frequencies are counted over all documents in a hashed table of fixed size, which is what
 reaches every task. Shingles much rarer than one in 2^DF_BITS look alike in it.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.llm.chunks import pieces, ragged
@@ -32,6 +34,7 @@ from textmill.llm.common import partitions, table
 from textmill.llm.registry import query
 from textmill.llm.words import StretchHashes, gram_hashes, mix, text_words
 from textmill.operators.components import connected_components
+from textmill.operators.skew import salted_pairs
 from textmill.sources.scratch import checkpoint, discard
 
 SHINGLE = 5
@@ -40,10 +43,11 @@ BANDS, ROWS = 9, 3
 IDF_SHARE = 0.25
 DF_BITS = 20
 DF_CHUNKS = 16  # rows in which the table of frequencies travels
-SMALL_BUCKET = 16  # nodes of a bucket that are compared pair by pair after the first centre; larger ones by prefixes
+WEIGHT_STEP = 1.03  # ratio of neighbouring ranges of weights in the index of shingles
 SHINGLES_AT_A_TIME = 1 << 17
 TEXT_AT_A_TIME = 4 << 20  # bytes; a longer text is worked on by itself
 PAIRS_AT_A_TIME = 256
+SLACK = 1e-6
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,7 +263,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     named = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     bucketed = checkpoint(nodes.select("node", "owner", "weight", F.explode("bands").alias("key")))
-    shared = bucketed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
+    shared = bucketed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = checkpoint(bucketed.join(shared, "key"))
     discard(bucketed)
     # the whole shingles of the nodes that meet another one
@@ -274,58 +278,48 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         joined = pairs.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
         return joined.mapInArrow(_verify(idf, least), "a string, b string")
 
-    # a similarity is at most the ratio of the total weights
-    alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (least - 1e-6)
-    heads = members.select(F.col("node").alias("centre"), F.col("weight").alias("centre_weight")).distinct()
-    first = members.filter("node <> centre").select("node", "weight", "centre").distinct().join(heads, "centre")
-    pairs = first.filter(alike("weight", "centre_weight")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    links = checkpoint(verified(pairs))
-    component = _components(links)
-    # a bucket of two nodes is done; small ones are done after one more round, large ones get one more centre;
-    # then prefixes: one centre for each shingle, which joins most of a large group, and at last all pairs
-    todo = members.filter("n > 2")
-    for step in ("buckets", "centres of prefixes", "prefixes"):
-        state = checkpoint(
-            todo.select("key", "n", "node", "weight").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        )
-        spread = state.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("last"))
-        open_ = checkpoint(state.join(spread.filter("main <> last").select("key", "main"), "key"))
-        discard(state)
-        if open_.isEmpty():
-            break
-        small, large = open_.filter(F.col("n") <= SMALL_BUCKET), open_.filter(F.col("n") > SMALL_BUCKET)
-        if step != "buckets":
-            pairs = _prefix_pairs(large, whole, idf, least, step == "prefixes")
-        else:
-            a, b = small.alias("a"), small.alias("b")
-            on = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & alike("a.weight", "b.weight")
-            pairs = a.join(b, on).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-            rank = F.struct(F.xxhash64("node"), "node", "component", "weight")
-            centre = large.filter("component <> main").groupBy("key").agg(F.min(rank).alias("c"))
-            met = large.join(centre, "key").filter((F.col("component") != F.col("c.component")) & alike("weight", "c.weight"))
-            pairs = pairs.union(met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))
-        known, links = links, checkpoint(links.union(verified(pairs)))
-        discard(known, open_)
-        component = _components(links)
-        todo = members.filter(F.col("n") > SMALL_BUCKET)
+    # a node's buckets are large where it keeps what its group shares
+    central = members.groupBy("node").agg(F.sum("n").alias("met"))
+    rank = F.struct("met", "node", "weight")
+    heads = members.join(central, "node").groupBy("key").agg(F.max(rank).alias("head")).select("key", "head.*")
+    heads = heads.select("key", F.col("node").alias("centre"), F.col("weight").alias("centre_weight"))
+    first = members.join(heads, "key").filter(F.col("node") != F.col("centre")).filter(_alike("weight", "centre_weight", least))
+    links = checkpoint(verified(first.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))))
+    component = checkpoint(_components(links))
+    # buckets of two nodes are done; of the others, those whose nodes are in several classes are searched
+    placed = members.filter("n > 2").select("key", "node", "weight").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = checkpoint(placed)
+    spread = placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("last")).filter("main <> last")
+    open_ = checkpoint(placed.join(spread.select("key"), "key").select("node", "component", "weight").distinct())
+    more = checkpoint(verified(prefix_pairs(open_, whole, idf, least)))
+    joined = _components(_renamed(more, component))
+    discard(members, whole, placed, open_, links)
     # a hot class is on the large side of these joins only, whose partitions Spark splits
-    placed = signed.select("doc_id", "node").join(component, "node", "left")
-    placed = checkpoint(placed.select("doc_id", F.coalesce("component", "node").alias("class")))
+    placed = signed.select("doc_id", "node").join(component, "node", "left").select("doc_id", F.coalesce("component", "node").alias("name"))
+    placed = placed.join(joined.select(F.col("node").alias("name"), "component"), "name", "left")
+    placed = checkpoint(placed.select("doc_id", F.coalesce("component", "name").alias("class")))
+    discard(signed)
     least_id = placed.filter("doc_id IS NOT NULL AND class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return placed.join(least_id, "class", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")
     )
 
 
-def _prefix_pairs(open_: DataFrame, whole: DataFrame, idf, least: float, all_pairs: bool) -> DataFrame:
-    """(a, b) of nodes of different components that share a shingle of their prefixes; or only those of which
-    one is the shingle's least node.
+def _alike(a: str, b: str, least: float) -> Column:
+    """A similarity is at most the ratio of the total weights."""
+    return F.least(a, b) >= F.greatest(a, b) * (least - SLACK)
 
-    ``open_(node, component, weight)`` may repeat nodes. Shingles are ordered by the number of open nodes
-    that hold them, rarest first. The end of that order that weighs less than ``least`` of the whole cannot
-    hold all that two similar sets share, so they share a shingle of what comes before it.
+
+def prefix_pairs(nodes: DataFrame, whole: DataFrame, idf, least: float) -> DataFrame:
+    """(a, b) of ``nodes(node, component, weight)`` of different components that may be as similar as ``least``.
+
+    Each set's shingles are ordered by the number of nodes that hold them, rarest first. Two sets of weights w and v
+    share at least least / (1 + least) * (w + v) if they are similar. They share nothing before the first
+    shingle that both hold, so that much weighs what follows it in either set, itself included: a shingle is
+    indexed for partners of weight v only as long as that holds. Texts that have a passage in common but too much
+    of their own around it are never paired that way, however many they are.
     """
-    nodes = checkpoint(open_.select("node", "component", "weight").distinct())
+    share = least / (1 + least)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,18 +333,39 @@ def _prefix_pairs(open_: DataFrame, whole: DataFrame, idf, least: float, all_pai
     held = whole.join(nodes.select("node"), "node", "left_semi").mapInArrow(work, "node string, shingle long, w double")
     held = checkpoint(held)
     counts = held.groupBy("shingle").agg(F.count("*").alias("holders"))
-    order = Window.partitionBy("node").orderBy(F.desc("holders"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
     # summed from the most frequent shingle on
-    ranked = held.join(counts, "shingle").withColumn("from_end", F.sum("w").over(order)).join(nodes, "node")
-    prefix = checkpoint(ranked.filter(F.col("from_end") >= F.col("weight") * (least - 1e-6)).filter("holders > 1").select("shingle", "node", "component", "weight"))
-    alike = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (least - 1e-6)
-    if all_pairs:
-        a, b = prefix.alias("a"), prefix.alias("b")
-        on = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") < F.col("b.component")) & alike("a.weight", "b.weight")
-        return a.join(b, on).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-    centre = prefix.groupBy("shingle").agg(F.min(F.struct("node", "component", "weight")).alias("c"))
-    met = prefix.join(centre, "shingle").filter((F.col("component") != F.col("c.component")) & alike("weight", "c.weight"))
-    return met.select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+    order = Window.partitionBy("node").orderBy(F.desc("holders"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    follows = held.join(counts, "shingle").withColumn("rest", F.sum("w").over(order)).filter("holders > 1").select("node", "shingle", "rest")
+    # partners weigh from least times the own weight to what the rest still allows
+    most = F.col("rest") / share - F.col("weight")
+    range_of = lambda weight: F.floor(F.ln(weight) / F.lit(float(np.log(WEIGHT_STEP)))).cast("int")
+    kept = follows.join(nodes, "node").filter(most >= F.col("weight") * (least - SLACK))
+    # a little more than allowed, as sums are rounded
+    other = F.explode(F.sequence(range_of(F.col("weight") * (least - SLACK)), range_of(F.least(most, F.col("weight") / least) * (1 + SLACK))))
+    side = kept.withColumn("own", range_of(F.col("weight"))).select("node", "component", "weight", "rest", "shingle", "own", other.alias("other"))
+    key = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    side = checkpoint(side.select("node", "component", "weight", "rest", key))
+    sizes = side.groupBy("key").agg(F.count("*").alias("n_left"), F.min("component").alias("main"), F.max("component").alias("last"))
+    sizes = checkpoint(sizes.filter("main <> last").select("key", "n_left", F.col("n_left").alias("n_right")))
+    side = side.join(sizes.select("key"), "key", "left_semi")
+    a, b = F.col("a.weight"), F.col("b.weight")
+    possible = (
+        (F.col("a.component") < F.col("b.component"))
+        & (F.least("a.rest", "b.rest") >= share * (a + b) * (1 - SLACK))
+        & _alike("a.weight", "b.weight", least)
+    )
+    pairs = salted_pairs(side, side, "key", sizes, possible)
+    found = checkpoint(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
+    discard(held)
+    return found
+
+
+def _renamed(links: DataFrame, component: DataFrame) -> DataFrame:
+    """``links`` between the components of their nodes; a node without one is its own."""
+    for c in ("a", "b"):
+        links = links.join(component.select(F.col("node").alias(c), "component"), c, "left")
+        links = links.withColumn(c, F.coalesce("component", c)).drop("component")
+    return links.select("a", "b").distinct()
 
 
 def _components(links: DataFrame) -> DataFrame:
