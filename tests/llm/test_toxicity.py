@@ -5,6 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from textmill.llm import gru, toxicity
 
 
@@ -94,3 +96,42 @@ def test_scores_do_not_depend_on_the_batch():
     together = model.scores(pa.array(texts))
     alone = np.concatenate([model.scores(pa.array([t])) for t in texts])
     assert np.allclose(together, alone, atol=1e-4)
+
+
+def held_out_scores(spark, rows, labels):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    return {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+
+
+def test_labels_without_documents_take_no_places_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_TOXIC", 100)
+    monkeypatch.setattr(toxicity, "TRAIN_CLEAN", 200)
+    rows = corpus(random.Random(4), 900)
+    labels = [(i, x) for i, _, x in rows] + [(i, i % 2) for i in range(100_000, 130_000)]
+    scores = held_out_scores(spark, [(i, t) for i, t, _ in rows] + [(i, " ") for i in range(100_000, 101_000)], labels)
+    held = [(x, scores[i]) for i, _, x in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum((s >= toxicity.THRESHOLD) == bool(x) for x, s in held) / len(held) >= 0.9
+
+
+def test_long_toxic_texts_are_trained_on(spark):
+    rng = random.Random(6)
+    rows = corpus(rng, 500)
+    filler = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    # every toxic text has about 12,000 characters, with its toxic word among the first ones
+    rows = [(i, t + "".join(f" {rng.choice(filler)}" for _ in range(2200)) if x else t, x) for i, t, x in rows]
+    scores = held_out_scores(spark, [(i, t) for i, t, _ in rows], [(i, x) for i, _, x in rows])
+    toxic = [scores[i] >= toxicity.THRESHOLD for i, _, x in rows if x]
+    clean = [scores[i] >= toxicity.THRESHOLD for i, _, x in rows if not x]
+    assert min(len(t) for _, t, x in rows if x) > 10_000
+    assert sum(toxic) / len(toxic) > 0.9 and sum(clean) / len(clean) < 0.1
+
+
+def test_stretches_cover_texts_up_to_the_bound(spark):
+    most, n = toxicity.TRAIN_CHARACTERS, toxicity.TRAIN_STRETCHES
+    lengths = [1, most - 1, most, most + 1, 2 * most + 7, n * most, 10 * n * most]
+    rows = spark.createDataFrame([(x,) for x in lengths], "length int").select("length", toxicity._stretches(F.col("length")).alias("starts")).collect()
+    for r in rows:
+        assert len(r.starts) <= n and r.starts[0] == 0 and max(r.starts) + most >= r.length and max(r.starts) <= max(0, r.length - most)
+        if r.length <= n * most:
+            assert all(b <= a + most for a, b in zip(r.starts, r.starts[1:]))

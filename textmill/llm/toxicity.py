@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import gru
@@ -23,10 +23,11 @@ from textmill.llm.chunks import pieces, ragged
 from textmill.llm.common import table
 from textmill.llm.registry import query
 from textmill.llm.words import gram_hashes, text_words
+from textmill.sources.scratch import checkpoint, discard
 
 WINDOW, STRIDE = 32, 16  # words
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 2400  # labelled texts of each class that are taken, least hashes first
-TRAIN_CHARACTERS = 8000  # longer labelled texts are not trained on; all texts are scored whole
+TRAIN_CHARACTERS, TRAIN_STRETCHES = 4000, 4  # of a labelled text that is trained on; all texts are scored whole
 THRESHOLD = 0.3
 GRAMS = (3, 4, 5)  # characters
 ODDS_BITS, VECTOR_BITS = 20, 14  # sizes of the hashed tables
@@ -110,7 +111,8 @@ class Model:
         if len(windows):
             logit = self.window_logits(self.inputs(f), windows)
             first = np.flatnonzero(np.diff(owners, prepend=-1))
-            best = np.maximum.reduceat(logit, first).astype(np.float64)
+            # rounded, as sums depend in their last digits on what a text is scored beside
+            best = np.maximum.reduceat(logit, first).astype(np.float64).round(4)
             out[owners[first]] = 1 / (1 + np.exp(-best))
         return out
 
@@ -226,20 +228,45 @@ def is_held_out(doc_id: str):
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of the labelled documents that are not held out.
 
-    Labels that are null do not count; of repeated labels the highest does. The sample (at most
-    TRAIN_TOXIC + TRAIN_CLEAN texts of at most TRAIN_CHARACTERS characters) is all that reaches the driver.
+    Labels that are null do not count; of repeated labels the highest does. Only labels whose document has words
+    are drawn from, least hashes first: at most TRAIN_TOXIC and TRAIN_CLEAN. Of documents with the same id one
+    text is taken. A text longer than TRAIN_CHARACTERS is trained on as stretches of it that cover it whole, as
+    long as no more than TRAIN_STRETCHES are needed, else as so many evenly spaced ones; the label is known for the
+    whole text only, and each step goes by its highest window. The sample is trained on in one task of its own, whose
+    result, tables of fixed sizes, is all that reaches the driver.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter(
         "toxic IS NOT NULL AND id IS NOT NULL AND " "crc32(cast(id AS string)) % 4 <> 2"
     )
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    texts = documents.select(F.col("doc_id").alias("id"), F.col("text")).filter(F.col("text").rlike(r"[^\s\x0B\x1C-\x1F\x{85}\x{A0}\p{Z}]"))
+    usable = known.join(texts.select("id").distinct(), "id", "left_semi")
     take = lambda rows, n: rows.orderBy(F.xxhash64("id"), "id").limit(n)
-    sample = take(known.filter("toxic > 0"), TRAIN_TOXIC).unionByName(take(known.filter("toxic <= 0"), TRAIN_CLEAN))
-    texts = documents.select(F.col("doc_id").alias("id"), F.col("text")).filter(F.length("text") <= TRAIN_CHARACTERS)
+    sample = checkpoint(take(usable.filter("toxic > 0"), TRAIN_TOXIC).unionByName(take(usable.filter("toxic <= 0"), TRAIN_CLEAN)))
     # at most TRAIN_TOXIC + TRAIN_CLEAN pairs of numbers are broadcast; repeated documents train once
+    cut = F.transform(_stretches(F.length("text")), lambda at: F.substring(F.col("text"), at + 1, F.lit(TRAIN_CHARACTERS)))
     found = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = found.orderBy("id").toArrow()
-    return train(rows["text"].to_pylist(), (rows["toxic"].to_numpy() > 0).astype(np.int64))
+    found = found.select("id", "toxic", F.array_join(cut, " ").alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        model = train([], np.empty(0, np.int64))
+        if held:
+            rows = pa.Table.from_batches(held).sort_by("id")
+            model = train(rows["text"].to_pylist(), (rows["toxic"].to_numpy() > 0).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task for a bounded sample
+    trained = found.repartition(1).mapInArrow(work, "model binary").first()
+    discard(sample)
+    return pickle.loads(trained["model"]) if trained else train([], np.empty(0, np.int64))
+
+
+def _stretches(length: Column) -> Column:
+    """Where the stretches of TRAIN_CHARACTERS characters of a text of this length start."""
+    n = F.least(F.ceil(length / TRAIN_CHARACTERS), F.lit(TRAIN_STRETCHES)).cast("int")
+    last = length - F.least(length, F.lit(TRAIN_CHARACTERS))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.floor(i * last / F.greatest(n - 1, F.lit(1))).cast("int"))
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
