@@ -1,4 +1,11 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+In every stage null and empty texts are texts without words: they are not toxic, no copies, hold no secrets, and the mix
+takes none of their words. Rows that repeat stay together up to the mix, but for rows of the same id and class that
+``near_duplicates`` keeps both of. A null doc_id is neither a copy nor labelled. Very long texts are worked on whole.
+Columns beside those of documents pass through, whatever their names, up to the last stage. Empty tables give empty
+results.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +17,7 @@ from textmill.llm.minhash import one_of_each
 from textmill.llm.mixing import mix
 from textmill.llm.secrets import redact, scan
 from textmill.llm.toxicity import THRESHOLD, fit, score
-from textmill.sources.scratch import checkpoint, new_path
+from textmill.sources.scratch import checkpoint, discard, new_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +57,13 @@ STAGES = [
     ("mixing", mixing),
     ("encoding", encoding),
 ]
-#: None: a trained network and sampled signatures have no SQL form; tests/llm holds each stage against brute force.
+#: None: a trained network and sampled signatures have no SQL form; tests/llm tests the stages' operators by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpoint(stage(spark, docs, sf_dir))
+        read, docs = docs, checkpoint(stage(spark, docs, sf_dir))
+        discard(read)  # only stages' own tables are deleted
     return STAGES[-1][1](spark, docs, sf_dir)
