@@ -280,7 +280,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     # a node's buckets are large where it keeps what its group shares
     central = members.groupBy("node").agg(F.sum("n").alias("met"))
-    rank = F.struct("met", "node", "weight")
+    rank = F.struct("met", (-F.col("weight")).alias("lightest"), "node", "weight")
     heads = members.join(central, "node").groupBy("key").agg(F.max(rank).alias("head")).select("key", "head.*")
     heads = heads.select("key", F.col("node").alias("centre"), F.col("weight").alias("centre_weight"))
     first = members.join(heads, "key").filter(F.col("node") != F.col("centre")).filter(_alike("weight", "centre_weight", least))
@@ -291,8 +291,13 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     placed = checkpoint(placed)
     spread = placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("last")).filter("main <> last")
     open_ = checkpoint(placed.join(spread.select("key"), "key").select("node", "component", "weight").distinct())
-    more = checkpoint(verified(prefix_pairs(open_, whole, idf, least)))
-    joined = _components(_renamed(more, component))
+    side = postings(open_, whole, idf, least)
+    # what one node of each key joins needs no pairs any more
+    some = _components(_renamed(checkpoint(verified(centre_pairs(side, least))), component))
+    component = checkpoint(_followed(component, some))
+    newer = side.join(some.select(F.col("node").alias("component"), F.col("component").alias("newer")), "component", "left")
+    side = newer.withColumn("component", F.coalesce("newer", "component")).drop("newer")
+    joined = _components(_renamed(checkpoint(verified(all_pairs(side, least))), component))
     discard(members, whole, placed, open_, links)
     # a hot class is on the large side of these joins only, whose partitions Spark splits
     placed = signed.select("doc_id", "node").join(component, "node", "left").select("doc_id", F.coalesce("component", "node").alias("name"))
@@ -310,14 +315,14 @@ def _alike(a: str, b: str, least: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * (least - SLACK)
 
 
-def prefix_pairs(nodes: DataFrame, whole: DataFrame, idf, least: float) -> DataFrame:
-    """(a, b) of ``nodes(node, component, weight)`` of different components that may be as similar as ``least``.
+def postings(nodes: DataFrame, whole: DataFrame, idf, least: float) -> DataFrame:
+    """(node, component, weight, rest, key): the index of shingles of ``nodes(node, component, weight)``.
 
     Each set's shingles are ordered by the number of nodes that hold them, rarest first. Two sets of weights w and v
     share at least least / (1 + least) * (w + v) if they are similar. They share nothing before the first
-    shingle that both hold, so that much weighs what follows it in either set, itself included: a shingle is
+    shingle that both hold, so that much weighs what follows it in either set, itself included (``rest``): a shingle is
     indexed for partners of weight v only as long as that holds. Texts that have a passage in common but too much
-    of their own around it are never paired that way, however many they are.
+    of their own around it never meet that way, however many they are.
     """
     share = least / (1 + least)
 
@@ -344,20 +349,44 @@ def prefix_pairs(nodes: DataFrame, whole: DataFrame, idf, least: float) -> DataF
     other = F.explode(F.sequence(range_of(F.col("weight") * (least - SLACK)), range_of(F.least(most, F.col("weight") / least) * (1 + SLACK))))
     side = kept.withColumn("own", range_of(F.col("weight"))).select("node", "component", "weight", "rest", "shingle", "own", other.alias("other"))
     key = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key")
-    side = checkpoint(side.select("node", "component", "weight", "rest", key))
+    found = checkpoint(side.select("node", "component", "weight", "rest", key))
+    discard(held)
+    return found
+
+
+def _open_keys(side: DataFrame) -> DataFrame:
+    """(key, n_left, n_right) of the keys whose nodes are in different components."""
     sizes = side.groupBy("key").agg(F.count("*").alias("n_left"), F.min("component").alias("main"), F.max("component").alias("last"))
-    sizes = checkpoint(sizes.filter("main <> last").select("key", "n_left", F.col("n_left").alias("n_right")))
+    return sizes.filter("main <> last").select("key", "n_left", F.col("n_left").alias("n_right"))
+
+
+def centre_pairs(side: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the lightest node of each key, which has the least of its own, and all others it may be similar to."""
+    centre = side.join(_open_keys(side), "key", "left_semi").groupBy("key").agg(F.min(F.struct("weight", "node", "component", "rest")).alias("c"))
+    met = side.join(centre, "key").filter((F.col("component") != F.col("c.component")) & _possible("weight", "rest", "c.weight", "c.rest", least))
+    return met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
+
+def all_pairs(side: DataFrame, least: float) -> DataFrame:
+    """(a, b) of all nodes of different components that meet under some key and may be as similar as ``least``."""
+    sizes = checkpoint(_open_keys(side))
     side = side.join(sizes.select("key"), "key", "left_semi")
-    a, b = F.col("a.weight"), F.col("b.weight")
-    possible = (
-        (F.col("a.component") < F.col("b.component"))
-        & (F.least("a.rest", "b.rest") >= share * (a + b) * (1 - SLACK))
-        & _alike("a.weight", "b.weight", least)
-    )
+    possible = (F.col("a.component") < F.col("b.component")) & _possible("a.weight", "a.rest", "b.weight", "b.rest", least)
     pairs = salted_pairs(side, side, "key", sizes, possible)
-    found = checkpoint(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
-    discard(held)
-    return found
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
+def _possible(a: str, a_rest: str, b: str, b_rest: str, least: float) -> Column:
+    share = least / (1 + least) * (1 - SLACK)
+    return (F.least(a_rest, b_rest) >= share * (F.col(a) + F.col(b))) & _alike(a, b, least)
+
+
+def _followed(component: DataFrame, newer: DataFrame) -> DataFrame:
+    """``component`` with the components of its components, and with the nodes that only ``newer`` has."""
+    inner = newer.select(F.col("node").alias("component"), F.col("component").alias("newer"))
+    moved = component.join(inner, "component", "left").select("node", F.coalesce("newer", "component").alias("component"))
+    alone = newer.join(component.select("node"), "node", "left_anti")
+    return moved.unionByName(alone.select("node", "component"))
 
 
 def _renamed(links: DataFrame, component: DataFrame) -> DataFrame:
