@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from textmill import CleaningOptions, MissingRule, TextOptions, Validation, clean
 from textmill.functions.text import clean_text
-from textmill.operators import columns, missing, validate
+from textmill.operators import columns, language, missing, validate
 from textmill.operators.dedup import remove_duplicates
 
 
@@ -34,6 +34,24 @@ def test_accents_survive_and_language_filter(spark):
     assert [r for _, r in cleaned(spark, texts, only_english=True)] == [None, "not_english", None]
 
 
+def test_languages_from_counted_triples(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    held = docs.filter(language.fold("doc_id") == 0)
+    model = language.fit_languages(docs.filter(language.fold("doc_id") != 0), "text", "lang")
+    judged = language.with_language(held, "text", "detected", model).collect()
+    assert len(judged) > 20 and sum(r.lang == r.detected for r in judged) / len(judged) >= 0.95
+    # languages are those of the labelled texts, whatever they are
+    rows = [("a", "one two three four"), ("b", "x\u00e9\u00e9k q\u00e9\u00e9z \U0001f600\U0001f601"), (None, "zzz")]
+    model = language.fit_languages(spark.createDataFrame(rows, "l string, t string"), "t", "l")
+    odd = spark.createDataFrame([(0, "FOUR three"), (1, "q\u00e9\u00e9z"), (2, "..."), (3, None), (4, ""), (5, "two " * 50_000)], "i int, t string")
+    found = {r.i: r.d for r in language.with_language(odd, "t", "d", model).collect()}
+    assert found == {0: "a", 1: "b", 2: None, 3: None, 4: None, 5: "a"}
+    french = spark.createDataFrame([("fr", "one two three four"), ("xx", "x\u00e9\u00e9k q\u00e9\u00e9z")], "l string, t string")
+    detect = language.by_model(language.fit_languages(french, "t", "l"))
+    only = clean_text(odd.withColumnRenamed("i", "row_idx"), "t", TextOptions(only_french=True), detect=detect)
+    assert {r.row_idx for r in only.filter("reason = 'not_french'").collect()} == {1}
+
+
 def test_missing_rules(spark):
     df = spark.createDataFrame([(0, 1.0, "x"), (1, None, "y"), (2, 3.0, "x"), (3, 5.0, None), (4, 7.0, "y")], "row_idx long, a double, b string")
     fill = lambda s, cols, **k: [tuple(r) for r in missing.apply_rules(df, [MissingRule(s, cols, **k)], "row_idx").orderBy("row_idx").select("a", "b").collect()]

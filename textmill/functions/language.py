@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Function-word profiles; the order of the languages settles equal scores.
@@ -31,3 +31,8 @@ def _scores(words: Column) -> list[Column]:
         )
         for rank, (code, profile) in enumerate(PROFILES.items())
     ]
+
+
+def by_function_words(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the guess for a column."""
+    return df.withColumn(out, detect_language(F.col(text)))

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.language import detect_language
+from textmill.functions.language import by_function_words
 from textmill.options import TextOptions
 
 # The result depends on these patterns and marker lists.
@@ -94,10 +94,12 @@ def truncate(c: Column, width: int = 200) -> Column:
 
 
 def clean_text(
-    df: DataFrame, column: str, options: TextOptions, out: str = "cleaned", reason: str = "reason"
+    df: DataFrame, column: str, options: TextOptions, out: str = "cleaned", reason: str = "reason", detect=by_function_words
 ) -> DataFrame:
     """Add ``out`` (cleaned text, '' when refused) and ``reason`` (the step that refused it).
 
+    ``detect(df, text, out)`` adds a column's language; ``operators.language.by_model`` goes by a counted model.
+
     Each intermediate text that is read more than once is its own projection. The result passes
     through a one-element ``explode``: a filter on the cleaned text would otherwise be pushed below
     the projections and repeat the whole chain of patterns inside its condition.
@@ -128,7 +130,7 @@ def clean_text(
         refusals.append((is_contradictory(F.col(marked)), "positive_and_negative"))
     if options.only_french or options.only_english:
         # an undetermined language keeps the text
-        df = df.withColumn(lang, detect_language(F.col(plain)))
+        df = detect(df, plain, lang)
         if options.only_french:
             refusals.append((F.col(lang) != "fr", "not_french"))
         if options.only_english:

@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.language import by_function_words
 from textmill.functions.text import clean_text, is_blank
 from textmill.operators.columns import keep_columns, resolve_all
 from textmill.operators.dedup import remove_duplicates
@@ -35,10 +36,10 @@ class CleanResult:
     reason_metrics: DataFrame
 
 
-def clean_columns(df: DataFrame, options: TextOptions, names: list[str]) -> DataFrame:
+def clean_columns(df: DataFrame, options: TextOptions, names: list[str], detect=by_function_words) -> DataFrame:
     """Clean every named column in place; add ``__reason_<i>`` per column and ``__blank`` per row."""
     for i, name in enumerate(names):
-        df = clean_text(df, name, options, out=f"__out_{i}", reason=f"__reason_{i}")
+        df = clean_text(df, name, options, out=f"__out_{i}", reason=f"__reason_{i}", detect=detect)
         df = df.withColumn(name, F.col(f"__out_{i}")).drop(f"__out_{i}")
     return df.withColumn("__blank", reduce(and_, (is_blank(F.col(n)) for n in names)))
 
@@ -48,8 +49,11 @@ def drop_empty_text(df: DataFrame, names: list[str]) -> DataFrame:
     return df.filter(~reduce(and_, (is_blank(F.col(n)) for n in names)))
 
 
-def clean(df: DataFrame, options: CleaningOptions, row_idx: str = "row_idx") -> CleanResult:
-    """Run all steps in their fixed order. Everything stays lazy but the median's passes."""
+def clean(df: DataFrame, options: CleaningOptions, row_idx: str = "row_idx", detect=by_function_words) -> CleanResult:
+    """Run all steps in their fixed order. Everything stays lazy but the median's passes.
+
+    ``detect`` tells the language filter a text's language (``clean_text``).
+    """
     data = [c for c in df.columns if c != row_idx]
     flagged, flags, failures = flag_rows(df, options.validations, row_idx, options.keep, options.lenient)
     passed = reduce(and_, (F.col(f) for f in flags)) if flags else F.lit(True)
@@ -58,7 +62,7 @@ def clean(df: DataFrame, options: CleaningOptions, row_idx: str = "row_idx") ->
 
     names = resolve_all(data, options.text.columns, options.keep, options.lenient) if options.text else []
     if names:
-        judged = clean_columns(unique, options.text, names)
+        judged = clean_columns(unique, options.text, names, detect)
     else:
         judged = unique.withColumn("__blank", F.lit(False))
     textual = judged.filter(~F.col("__blank")).select(*df.columns)

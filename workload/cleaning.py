@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as steps
 from textmill.functions.language import PROFILES, detect_language
-from textmill.operators import columns, missing, validate
+from textmill.operators import columns, language, missing, validate
 from textmill.operators.dedup import remove_duplicates
 from textmill.options import CleaningOptions, MissingRule, TextOptions, Validation
 from textmill.plans.cleaning import clean, drop_empty_text
@@ -274,6 +274,31 @@ def language_filter(spark, sf_dir):
     return docs.withColumns({"keep_french": keep("fr"), "keep_english": keep("en")})
 
 
+A, B, C = language.FACTORS
+TRIPLES = rf"""
+    prepared AS (SELECT doc_id, lang, string_split(' ' || trim(regexp_replace(lower(text), '[^{steps.WORD}]+', ' ', 'g')) || ' ', '') AS c,
+        CAST('0x' || substr(md5('42:' || doc_id), 1, 6) AS INT) % {language.HELD_OUT} = 0 AS held_out FROM documents),
+    triples AS (SELECT doc_id, lang, held_out,
+        (unicode(c[i]) * {A} + unicode(c[i + 1]) * {B} + unicode(c[i + 2]) * {C}) % {language.SLOTS} AS slot
+      FROM prepared, unnest(range(1, len(c) - 1)) AS u(i)),
+    counted AS (SELECT lang AS l, slot, count(*) AS n FROM triples WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, slot),
+    totals AS (SELECT l, sum(n) AS total FROM counted GROUP BY l),
+    sums AS (SELECT doc_id, t.l, round(sum(ln((coalesce(n, 0) + 1) / (total + {language.SLOTS}))), 6) AS score
+      FROM triples AS x CROSS JOIN totals AS t LEFT JOIN counted AS k ON k.l = t.l AND k.slot = x.slot GROUP BY doc_id, t.l),
+    best AS (SELECT doc_id, arg_max(l, [score, -ord]) AS detected FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l) AS ord FROM sums) GROUP BY doc_id)"""
+
+
+@query(
+    "language_model",
+    oracle("", TRIPLES, "SELECT p.doc_id, p.lang, p.held_out, b.detected, coalesce(b.detected = 'fr', true) AS keep_french FROM prepared AS p LEFT JOIN best AS b USING (doc_id)"),
+)
+def language_model(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text", (language.fold("doc_id") == 0).alias("held_out"))
+    model = language.fit_languages(docs.filter("NOT held_out"), "text", "lang")
+    found = language.with_language(docs, "text", "detected", model).drop("text")
+    return found.withColumn("keep_french", F.coalesce(F.col("detected") == "fr", F.lit(True)))
+
+
 @query("text_clean_chain", oracle("tweets", q.chain("tweets", "doc_id", "tweet"), "SELECT doc_id, text AS cleaned, reason FROM cleaned"))
 def text_clean_chain(spark, sf_dir):
     tweets = load(spark, sf_dir, "tweets").select("doc_id", "tweet")
