@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +14,9 @@ from textmill.functions.text import clean_text, is_blank
 from textmill.operators.columns import keep_columns, resolve_all
 from textmill.operators.dedup import remove_duplicates
 from textmill.operators.missing import apply_rules
-from textmill.operators.validate import count_failures, flag_rows
+from textmill.operators.validate import flag_rows
 from textmill.options import CleaningOptions, TextOptions
+from textmill.sources.scratch import checkpoint
 
 # Names of the row counters.
 ROW_METRICS = (
@@ -50,33 +51,44 @@ def drop_empty_text(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def clean(df: DataFrame, options: CleaningOptions, row_idx: str = "row_idx", detect=by_function_words) -> CleanResult:
-    """Run all steps in their fixed order. Everything stays lazy but the median's passes.
+    """Run all steps in their fixed order.
 
-    ``detect`` tells the language filter a text's language (``clean_text``).
+    The rows are judged once, and what became of them is written to the shared folder: rows that fail a rule as their
+    failures only, equal rows as one with its number of copies, with the reasons of the text steps. The cleaned rows
+    and all metrics are read from that table. ``detect`` tells the language filter a text's language (``clean_text``).
     """
     data = [c for c in df.columns if c != row_idx]
     flagged, flags, failures = flag_rows(df, options.validations, row_idx, options.keep, options.lenient)
     passed = reduce(and_, (F.col(f) for f in flags)) if flags else F.lit(True)
-    valid = flagged.filter(passed).select(*df.columns)
-    unique = remove_duplicates(valid, row_idx) if options.remove_duplicates else valid
+    failed = [f"__failed_{k}" for k in range(len(failures))]
+    number = lambda tests: reduce(add, (F.when(t, 1).otherwise(0) for t in tests))
+    marked = flagged.select(
+        row_idx, passed.alias("__passed"), *[F.when(passed, F.col(c)).alias(c) for c in data],
+        *[number(tests).alias(name) for name, tests in zip(failed, failures.values())],
+    )
+    if options.remove_duplicates:
+        marked = remove_duplicates(marked, row_idx, copies="__copies")
+    else:
+        marked = marked.withColumn("__copies", F.lit(1).cast("bigint"))
 
     names = resolve_all(data, options.text.columns, options.keep, options.lenient) if options.text else []
     if names:
-        judged = clean_columns(unique, options.text, names, detect)
+        marked = clean_columns(marked, options.text, names, detect)
     else:
-        judged = unique.withColumn("__blank", F.lit(False))
-    textual = judged.filter(~F.col("__blank")).select(*df.columns)
+        marked = marked.withColumn("__blank", F.lit(False))
+    judged = checkpoint(marked)
+    textual = judged.filter("__passed AND NOT __blank").select(*df.columns)
     filled = apply_rules(textual, options.missing, row_idx, options.keep, options.lenient)
     final = keep_columns(filled, options.keep, row_idx) if options.keep else filled
 
-    steps = judged.agg(
-        F.struct(F.count("*").alias("unique"), F.count_if(~F.col("__blank")).alias("textual"))
-    ).scalar()
-    counts = flagged.agg(F.count("*").alias("initial"), F.count_if(passed).alias("valid")).select(
-        "*", steps["unique"].alias("unique"), steps["textual"].alias("textual"),
-        filled.agg(F.count("*")).scalar().alias("final"),
-    )
     c = F.col
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+    counts = judged.agg(
+        total("__copies").alias("initial"), total(F.when(c("__passed"), c("__copies"))).alias("valid"),
+        F.count_if("__passed").alias("unique"), F.count_if(c("__passed") & ~c("__blank")).alias("textual"),
+    )
+    drops = any(rule.strategy == "drop_rows" for rule in options.missing)
+    counts = counts.withColumn("final", filled.agg(F.count("*")).scalar() if drops else c("textual"))
     values = (
         c("initial"), c("initial") - c("valid"), c("valid") - c("unique"), c("unique") - c("textual"),
         c("textual") - c("final"), c("final"), c("initial") - c("final"),
@@ -87,8 +99,11 @@ def clean(df: DataFrame, options: CleaningOptions, row_idx: str = "row_idx", det
 
     reasons = df.sparkSession.createDataFrame([], "metric string, n bigint")
     if names:
-        each = judged.select(F.explode(F.array(*(F.col(f"__reason_{i}") for i in range(len(names))))).alias("metric"))
-        reasons = each.filter(F.col("metric").isNotNull()).groupBy("metric").agg(F.count("*").alias("n"))
+        why = F.explode(F.array(*(c(f"__reason_{i}") for i in range(len(names)))))
+        each = judged.filter("__passed").select(why.alias("metric"))
+        reasons = each.filter(c("metric").isNotNull()).groupBy("metric").agg(F.count("*").alias("n"))
     if failures:
-        reasons = count_failures(flagged, failures).filter("n > 0").unionByName(reasons)
+        per_rule = judged.agg(*(total(c(f) * c("__copies")).alias(f) for f in failed))
+        per_rule = per_rule.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), c(f).alias("n")) for m, f in zip(failures, failed)))))
+        reasons = per_rule.filter("n > 0").unionByName(reasons)
     return CleanResult(final, row_metrics, reasons)
