@@ -263,3 +263,26 @@ def test_training_run_and_prediction(spark):
     assert result.metrics is None and result.distribution.first()["total"] == 60
     one = spark.createDataFrame([(0, "a sad bad day")], "row_idx long, text string")
     assert training.predict_texts(run.model, one).first()["predicted"] == 0
+
+
+def test_keyword_tables_equal_keyword_lists(spark):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcÉ ") for _ in range(n))
+    texts = [word(rng.randint(0, 40)) for _ in range(200)] + [None, "", "a", "ab" * 20_000]
+    lists = {"negatives": [word(rng.randint(1, 5)) for _ in range(60)], "positives": [word(rng.randint(2, 6)) for _ in range(60)], "x": ["", "b"]}
+    df = frame(spark, texts)
+    tables = {k: spark.createDataFrame([(w,) for w in [*v, None, v[0]]], "word string") for k, v in lists.items()}
+    got = {r.row_idx: r.target for r in labelling.label_by_keyword_tables(df, "text", tables).collect()}
+    distinct = {k: sorted({w.lower() for w in v} - {""}) for k, v in lists.items()}
+    want = {r.row_idx: r.target for r in df.select("row_idx", labelling.label_by_keywords(F.col("text"), distinct).alias("target")).collect()}
+    assert got == want and len(set(want.values())) == 3
+    found = {(r.row_idx, r.word) for r in labelling.keyword_matches(df, "text", tables["positives"]).collect()}
+    assert found == {(i, w) for i, t in enumerate(texts) for w in distinct["positives"] if w in (t or "").lower()}
+
+
+def test_a_large_keyword_table_is_no_part_of_the_plan(spark):
+    words = spark.range(50_000).select(F.concat(F.lit("word"), F.col("id")).alias("word"))
+    df = frame(spark, ["there is word49999 here", "no such thing"])
+    labelled = labelling.label_by_keyword_tables(df, "text", {"pos": words})
+    assert "word49999" not in labelled._jdf.queryExecution().toString()
+    assert [r.target for r in labelled.orderBy("row_idx").collect()] == [4, 2]

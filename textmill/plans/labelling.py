@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textmill.operators import clustering
 from textmill.operators.columns import text_column
-from textmill.operators.labelling import keywords_from_files, label_by_keywords, label_clusters, label_manual, label_summary
+from textmill.operators.labelling import label_by_keyword_tables, label_by_keywords, label_clusters, label_manual, label_summary
 from textmill.sources.scratch import checkpoint
 
 PREVIEW_ROWS = 50
@@ -37,15 +37,6 @@ def _finished(labelled: DataFrame, text: str, row_idx: str) -> LabelRun:
     return LabelRun(data, label_summary(data), data.orderBy(row_idx).limit(PREVIEW_ROWS), text)
 
 
-def choose_keywords(given: Mapping[str, Sequence[str]] | None, lists: Mapping[str, DataFrame] | None) -> dict[str, list[str]]:
-    """The given keywords, else those of the word tables by label; an error where there are none."""
-    chosen = {name: list(words) for name, words in (given or {}).items() if words}
-    chosen = chosen or keywords_from_files(lists or {})
-    if not chosen:
-        raise ValueError("no keywords given and none on file")
-    return chosen
-
-
 def label_with_keywords(
     df: DataFrame,
     keywords: Mapping[str, Sequence[str]] | None = None,
@@ -53,9 +44,15 @@ def label_with_keywords(
     text: str | None = None,
     row_idx: str = "row_idx",
 ) -> LabelRun:
+    """By the given keywords, else by the word tables of the labels; an error where there are none."""
     text = text or text_column(df, "longest", row_idx)
-    label = label_by_keywords(F.col(text), choose_keywords(keywords, lists))
-    return _finished(df.withColumn("target", label), text, row_idx)
+    given = {name: list(words) for name, words in (keywords or {}).items() if words}
+    if given:
+        return _finished(df.withColumn("target", label_by_keywords(F.col(text), given)), text, row_idx)
+    held = {name: words for name, words in (lists or {}).items() if not words.isEmpty()}
+    if not held:
+        raise ValueError("no keywords given and none on file")
+    return _finished(label_by_keyword_tables(df, text, held, row_idx), text, row_idx)
 
 
 def label_with_clusters(df: DataFrame, method: str = "kmeans", text: str | None = None, row_idx: str = "row_idx", **options) -> LabelRun:

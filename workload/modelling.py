@@ -163,6 +163,24 @@ def label_keywords(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", labelling.label_by_keywords(F.col("text"), KEYWORD_MAP).alias("target"))
 
 
+LISTED = """listed AS (SELECT DISTINCT item_id % 3 AS o, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark),
+    hits AS (SELECT doc_id, o, count(*) AS n FROM documents JOIN listed ON word <> '' AND contains(lower(text), word) GROUP BY doc_id, o),
+    best AS (SELECT doc_id, arg_min(o, [-n, o]) AS o FROM hits GROUP BY doc_id)"""
+
+
+@query(
+    "label_keyword_tables",
+    oracle("", LISTED, "SELECT doc_id, CASE o WHEN 0 THEN 4 WHEN 1 THEN 0 ELSE 2 END AS target FROM documents LEFT JOIN best USING (doc_id)"),
+)
+def label_keyword_tables(spark, sf_dir):
+    """Word lists as tables: the words of all benchmark items, dealt to three labels."""
+    items = load(spark, sf_dir, "benchmark")
+    words = items.select((F.col("item_id") % 3).alias("o"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    tables = {name: words.filter(F.col("o") == o).select("word") for o, name in enumerate(("positives", "negatives", "other"))}
+    documents_ = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return labelling.label_by_keyword_tables(documents_, "text", tables, "doc_id").select("doc_id", "target")
+
+
 @query("keyword_classify", oracle("", KEYWORD_HITS, "SELECT doc_id, CASE WHEN p > n THEN 4 WHEN n > p THEN 0 ELSE 2 END AS predicted FROM h"))
 def keyword_classify(spark, sf_dir):
     label = labelling.classify_by_keywords(F.col("text"), POSITIVES + POSITIVES[:1], NEGATIVES)
