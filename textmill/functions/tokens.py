@@ -62,7 +62,7 @@ def token_counts(tokens: Column) -> Column:
         )
 
     return bind(
-        F.array_sort(tokens), lambda t: F.when(F.size(t) > 0, counted(t)).otherwise(F.array().cast("array<struct<token:string,n:bigint>>"))
+        F.sort_array(tokens), lambda t: F.when(F.size(t) > 0, counted(t)).otherwise(F.array().cast("array<struct<token:string,n:bigint>>"))
     )
 
 
