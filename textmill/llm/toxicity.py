@@ -8,6 +8,7 @@ knows only the label of the whole text: each step goes by the window that now sc
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ from textmill.sources.scratch import checkpoint, discard
 
 WINDOW, STRIDE = 32, 16  # words
 TRAIN_TOXIC, TRAIN_CLEAN = 1200, 2400  # labelled texts of each class that are taken, least hashes first
-TRAIN_CHARACTERS, TRAIN_STRETCHES = 4000, 4  # of a labelled text that is trained on; all texts are scored whole
+TRAIN_CHARACTERS, TRAIN_STRETCHES = 2000, 4  # of a labelled text that is trained on; all texts are scored whole
 THRESHOLD = 0.3
 GRAMS = (3, 4, 5)  # characters
 ODDS_BITS, VECTOR_BITS = 20, 14  # sizes of the hashed tables
@@ -254,7 +255,13 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         if held:
             rows = pa.Table.from_batches(held).sort_by("id")
             model = train(rows["text"].to_pylist(), (rows["toxic"].to_numpy() > 0).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        sent = pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        del held, model
+        rows = None
+        # the worker goes on to other tasks
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        yield sent
 
     # one task for a bounded sample
     trained = found.repartition(1).mapInArrow(work, "model binary").first()
