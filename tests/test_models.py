@@ -139,6 +139,30 @@ def test_mapping_of_many_labels():
     assert many == {k: 9 * k for k in range(8)}
 
 
+def test_mappings_of_forty_labels_and_against_all_permutations():
+    rng = random.Random(6)
+    for _ in range(150):
+        labels, ids = list(range(rng.randint(1, 5))), list(range(rng.randint(1, 6)))
+        hits = {(a, c): rng.randint(0, 3) for a in labels for c in ids if rng.random() < 0.8}
+        slots = [*ids, *[None] * max(0, len(labels) - len(ids))]
+        # on a tie the first labels get the smallest places
+        best = max(itertools.permutations(range(len(slots)), len(labels)), key=lambda m: (sum(hits.get((a, slots[p]), 0) for a, p in zip(labels, m)), [-p for p in m]))
+        assert labelling.best_mapping(labels, ids, hits) == {a: slots[p] for a, p in zip(labels, best) if slots[p] is not None}
+    places = rng.sample(range(200), 40)
+    hits = {(k, p): 9 for k, p in enumerate(places)} | {(k, c): rng.randint(0, 4) for k in range(40) for c in range(200) if c not in places}
+    assert labelling.best_mapping(list(range(40)), list(range(200)), hits) == dict(enumerate(places))
+
+
+def test_thousands_of_labels(spark):
+    n = 2000
+    df = spark.range(n * 3).select((F.col("id") % n).cast("int").alias("actual"), F.when(F.col("id") < n, 0).otherwise(F.col("id") % n).cast("int").alias("predicted"))
+    cells = evaluate.confusion_matrix(df, "actual", "predicted")
+    assert cells.count() == n * n and cells.agg(F.sum("n")).first()[0] == n * 3
+    assert round(evaluate.accuracy_error(df).first().accuracy, 6) == round((2 * n + 1) / (3 * n), 6)
+    per = {r.label: r for r in evaluate.per_label(df).collect()}
+    assert len(per) == n and per[7].recall == 2 / 3 and per[7].precision == 1.0 and per[0].precision == 3 / (n + 2)
+
+
 def test_dbscan_equals_brute_force_for_any_eps(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice(["apple", "pear", "plum", "fig", "kiwi", "lime"]) for _ in range(rng.randint(1, 4))) for _ in range(40)] + ["", "!", "the"]

@@ -1,16 +1,18 @@
 """Confusion matrix and the metrics that follow from it.
 
 Every metric is computed from the (actual, predicted, n) cells, which are counted inside each task
-first; the data is read once and only labels x labels rows are left afterwards.
+first; the data is read once and only labels x labels rows are left afterwards. Cells and their sums by label stay
+tables, so that thousands of labels are no array; only the matrix of a report is one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.sources.scratch import checkpoint
 
 # Names of the labels and the fields of the three reports.
 LABEL_TITLES = {0: "Negative", 2: "Neutral", 4: "Positive"}
@@ -29,70 +31,46 @@ def count_cells(df: DataFrame, actual: str = "actual", predicted: str = "predict
     )
 
 
-def _count(keep) -> Column:
-    """Rows in the cells that satisfy a condition."""
-    counts = F.transform(F.filter("cells", keep), lambda c: c["n"])
-    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda total, n: total + n)
-
-
-def _totals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """One row: cells, labels and per_label (support, chosen, hits, precision, recall, f1).
-
-    All of it is derived from the array of cells, so every report reads the data exactly once.
-    """
-    cell = F.struct("actual", "predicted", "n")
-    one = count_cells(df, actual, predicted).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    side = lambda name: F.transform("cells", lambda c: c[name])
-    one = one.withColumn("labels", F.array_sort(F.array_distinct(F.concat(side("actual"), side("predicted")))))
-
-    counted = F.transform(
-        "labels",
-        lambda v: F.struct(
-            v.alias("label"),
-            _count(lambda c: c["actual"] == v).alias("support"),
-            _count(lambda c: c["predicted"] == v).alias("chosen"),
-            _count(lambda c: (c["actual"] == v) & (c["predicted"] == v)).alias("hits"),
-        ),
-    )
-    ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
-    scored = F.transform(
-        counted,
-        lambda t: F.struct(
-            t["label"].alias("label"), t["support"].alias("support"), t["hits"].alias("hits"),
-            ratio(t["hits"], t["chosen"]).alias("precision"),
-            ratio(t["hits"], t["support"]).alias("recall"),
-            # the harmonic mean of both, written on the counts
-            ratio(2 * t["hits"], t["chosen"] + t["support"]).alias("f1"),
-        ),
-    )
-    return one.withColumn("per_label", scored)
-
-
-def _sum(body) -> Column:
-    return F.aggregate(F.transform("per_label", lambda t: body(t).cast("double")), F.lit(0.0), lambda a, x: a + x)
-
-
-def _weighted(name: str) -> Column:
-    rows = _sum(lambda t: t["support"])
-    return F.when(rows > 0, _sum(lambda t: t[name] * t["support"]) / rows).otherwise(0.0).alias(name)
+def per_label(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """(label, support, hits, precision, recall, f1); a division by zero gives 0."""
+    return _margins(count_cells(df, actual, predicted)).drop("chosen")
 
 
-def _accuracy() -> Column:
-    rows = _sum(lambda t: t["support"])
-    return F.when(rows > 0, _sum(lambda t: t["hits"]) / rows)
+def _margins(cells: DataFrame) -> DataFrame:
+    """(label, support, chosen, hits, precision, recall, f1): each cell counts for both of its labels."""
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0).cast("bigint"))
+    none = F.lit(0).cast("bigint")
+    row = lambda c, support, chosen, hits: F.struct(F.col(c).alias("label"), support.alias("support"), chosen.alias("chosen"), hits.alias("hits"))
+    sides = F.array(row("actual", F.col("n"), none, hit), row("predicted", none, F.col("n"), none))
+    summed = cells.select(F.inline(sides)).groupBy("label").agg(*(F.sum(c).alias(c) for c in ("support", "chosen", "hits")))
+    ratio = lambda x, y: F.when(y > 0, F.try_divide(x, y)).otherwise(0.0)
+    support, chosen, hits = F.col("support"), F.col("chosen"), F.col("hits")
+    return summed.select(
+        "label", "support", "chosen", "hits", ratio(hits, chosen).alias("precision"), ratio(hits, support).alias("recall"),
+        # the harmonic mean of both, written on the counts
+        ratio(2 * hits, chosen + support).alias("f1"),
+    )
 
 
-def _grid() -> Column:
-    """Every (actual, predicted, n) of the label grid, empty cells included."""
-    cell = lambda a, p: F.struct(
-        a.alias("actual"), p.alias("predicted"), _count(lambda c: (c["actual"] == a) & (c["predicted"] == p)).alias("n")
-    )
-    return F.flatten(F.transform("labels", lambda a: F.transform("labels", lambda p: cell(a, p))))
+def _summary(cells: DataFrame) -> DataFrame:
+    """One row: accuracy (null without rows), error_rate and the weighted precision, recall and f1."""
+    rows = F.sum("support").cast("double")
+    weighted = [F.coalesce(F.try_divide(F.sum(F.col(m) * F.col("support")), rows), F.lit(0.0)).alias(m) for m in ("precision", "recall", "f1")]
+    accuracy = F.try_divide(F.sum("hits").cast("double"), rows)
+    return _margins(cells).agg(accuracy.alias("accuracy"), (1 - accuracy).alias("error_rate"), *weighted)
 
 
 def confusion_matrix(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """(actual, predicted, n) over the union of both label sets, empty cells included."""
-    return _totals(df, actual, predicted).select(F.inline(_grid()))
+    return _grid(checkpoint(count_cells(df, actual, predicted)))
+
+
+def _grid(cells: DataFrame) -> DataFrame:
+    """All cells of the labels of written cells; the labels are one row, spread by label before they are paired."""
+    labels = cells.select(F.explode(F.array("actual", "predicted")).alias("label")).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    actual = labels.select(F.explode("labels").alias("actual"), "labels").repartition("actual")
+    pairs = actual.select("actual", F.explode("labels").alias("predicted"))
+    return pairs.join(cells, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def confusion_matrix_wide(
@@ -107,41 +85,32 @@ def confusion_matrix_wide(
 
 def confusion_heat(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """Cells as a share of the largest cell, with label names."""
-    one = _totals(df, actual, predicted)
-    largest = F.array_max(F.transform("cells", lambda c: c["n"])).alias("largest")
-    cells = one.select(largest, _grid().alias("grid")).select("largest", F.inline("grid"))
+    cells = checkpoint(count_cells(df, actual, predicted))
     names = F.create_map(*(F.lit(v) for pair in LABEL_TITLES.items() for v in pair))
     name = lambda c: F.coalesce(names[F.col(c).cast("int")], F.col(c).cast("string")).alias(f"{c}_name")
-    return cells.select(name("actual"), name("predicted"), "n", (F.col("n") / F.col("largest")).alias("heat"))
-
-
-def per_label(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """(label, support, hits, precision, recall, f1); a division by zero gives 0."""
-    return _totals(df, actual, predicted).select(F.inline("per_label"))
+    return _grid(cells).select(name("actual"), name("predicted"), "n", (F.col("n") / cells.agg(F.max("n")).scalar()).alias("heat"))
 
 
 def weighted_prf(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """One row: precision, recall and F1, weighted by the number of true rows."""
-    return _totals(df, actual, predicted).select(*(_weighted(m) for m in ("precision", "recall", "f1")))
+    return _summary(count_cells(df, actual, predicted)).select("precision", "recall", "f1")
 
 
 def accuracy_error(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """One row: accuracy and error_rate; NULL without judged rows."""
-    accuracy = _totals(df, actual, predicted).select(_accuracy().alias("accuracy"))
-    return accuracy.withColumn("error_rate", 1 - F.col("accuracy"))
+    return _summary(count_cells(df, actual, predicted)).select("accuracy", "error_rate")
 
 
 def metric_report(
     df: DataFrame, actual: str = "actual", predicted: str = "predicted", report: str = "train"
 ) -> DataFrame:
     """One row with the fields of a report; the matrix is an array of (actual, predicted, n)."""
-    fields = {
-        "accuracy": _accuracy().alias("accuracy"),
-        "error_rate": (1 - _accuracy()).alias("error_rate"),
-        "confusion_matrix": _grid().alias("confusion_matrix"),
-        **{m: _weighted(m) for m in ("precision", "recall", "f1")},
-    }
-    return _totals(df, actual, predicted).select(*(fields[f] for f in REPORTS[report]))
+    cells = checkpoint(count_cells(df, actual, predicted))
+    one = _summary(cells)
+    if "confusion_matrix" in REPORTS[report]:
+        matrix = _grid(cells).agg(F.array_sort(F.collect_list(F.struct("actual", "predicted", "n")))).scalar()
+        one = one.withColumn("confusion_matrix", matrix)
+    return one.select(*REPORTS[report])
 
 
 def rand_index(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:

@@ -163,22 +163,42 @@ def align_clusters(df: DataFrame, actual: str, cluster: str, out: str = "aligned
 def best_mapping(labels: Sequence, ids: Sequence, hits: Mapping[tuple, int]) -> dict:
     """One id for each label, none twice, with the most hits; the first labels get the smallest ids on a tie.
 
-    Ids are taken one after the other; for each set of labels served so far the best choice is kept, so
-    the work is ids times labels times 2^labels. Places count below a single hit, which settles ties.
+    Labels are served one after the other. Each one takes the cheapest chain in which it takes an id, whose label moves on
+    to another id, and so on to a free one; prices of labels and ids keep all steps of such chains from being negative
+    (shortest augmenting paths), so the work is labels squared times ids. Places count below a single hit, which
+    settles ties.
     """
     slots = [*ids, *[None] * max(0, len(labels) - len(ids))]
     base = len(slots) + 1
-    worth = lambda k, place: hits.get((labels[k], slots[place]), 0) * base ** len(labels) - place * base ** (len(labels) - 1 - k)
-    kept: dict[int, tuple[int, tuple]] = {0: (0, ())}
-    for place in range(len(slots)):
-        grown = dict(kept)
-        for served, (total, pairs) in kept.items():
-            for k in range(len(labels)):
-                with_k, now = served | 1 << k, total + worth(k, place)
-                if with_k != served and (with_k not in grown or now > grown[with_k][0]):
-                    grown[with_k] = (now, (*pairs, (labels[k], slots[place])))
-        kept = grown
-    return {label: c for label, c in kept[(1 << len(labels)) - 1][1] if c is not None}
+    unit = [base ** (len(labels) - 1 - k) for k in range(len(labels))]
+    cost = [[place * unit[k] - hits.get((label, c), 0) * base ** len(labels) for place, c in enumerate(slots)] for k, label in enumerate(labels)]
+    label_price, slot_price, holder = [0] * len(labels), [0] * len(slots), [None] * len(slots)
+    for new in range(len(labels)):
+        distance, origin, reached = [None] * len(slots), [None] * len(slots), {}
+        label, at, walked = new, None, 0
+        while True:
+            for place in range(len(slots)):
+                if place in reached:
+                    continue
+                step = walked + cost[label][place] - label_price[label] - slot_price[place]
+                if distance[place] is None or step < distance[place]:
+                    distance[place], origin[place] = step, at
+            at = min((p for p in range(len(slots)) if p not in reached), key=lambda p: distance[p])
+            walked = distance[at]
+            if holder[at] is None:
+                break
+            reached[at] = walked
+            label = holder[at]
+        label_price[new] += walked
+        for place, when in reached.items():
+            label_price[holder[place]] += walked - when
+            slot_price[place] -= walked - when
+        # everyone on the chain moves up
+        while at is not None:
+            before = origin[at]
+            holder[at] = new if before is None else holder[before]
+            at = before
+    return {labels[k]: slots[place] for place, k in sorted(((p, k) for p, k in enumerate(holder) if k is not None), key=lambda x: x[1]) if slots[place] is not None}
 
 
 def label_summary(df: DataFrame, target: str = "target") -> DataFrame:
