@@ -115,8 +115,8 @@ def test_prefixes_find_all_similar_pairs_and_no_pair_of_a_shared_passage(spark):
             words[rng.randrange(len(words))] = word()
         edited.append(" ".join(words[rng.randint(0, 12):]))
     nodes, whole, idf, sets = signed(spark, sorted({*around, *edited}))
-    side = minhash.postings(nodes, whole, idf, minhash.SIMILAR)
-    found = {(r.a, r.b) for r in minhash.all_pairs(side, minhash.SIMILAR).collect()}
+    side, prefixes = minhash.postings(nodes, whole, idf, minhash.SIMILAR)
+    found = {(r.a, r.b) for r in minhash.all_pairs(side, prefixes, minhash.SIMILAR).collect()}
     similar = {(a, b) for a, b in combinations(sorted(sets), 2) if minhash.weighted_jaccard(sets[a], sets[b]) >= minhash.SIMILAR}
     assert len(similar) > 50 and similar <= found
     assert {(r.a, r.b) for r in minhash.centre_pairs(side, minhash.SIMILAR).collect()} <= found

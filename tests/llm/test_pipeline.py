@@ -9,7 +9,7 @@ public = pytest.importorskip("public_tokenizers")
 
 
 def test_each_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secret_scan", "mixing", "encoding"]
 
 

@@ -291,13 +291,13 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     placed = checkpoint(placed)
     spread = placed.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("last")).filter("main <> last")
     open_ = checkpoint(placed.join(spread.select("key"), "key").select("node", "component", "weight").distinct())
-    side = postings(open_, whole, idf, least)
+    side, prefixes = postings(open_, whole, idf, least)
     # what one node of each key joins needs no pairs any more
     some = _components(_renamed(checkpoint(verified(centre_pairs(side, least))), component))
     component = checkpoint(_followed(component, some))
     newer = side.join(some.select(F.col("node").alias("component"), F.col("component").alias("newer")), "component", "left")
     side = newer.withColumn("component", F.coalesce("newer", "component")).drop("newer")
-    joined = _components(_renamed(checkpoint(verified(all_pairs(side, least))), component))
+    joined = _components(_renamed(checkpoint(verified(all_pairs(side, prefixes, least))), component))
     discard(members, whole, placed, open_, links)
     # a hot class is on the large side of these joins only, whose partitions Spark splits
     placed = signed.select("doc_id", "node").join(component, "node", "left").select("doc_id", F.coalesce("component", "node").alias("name"))
@@ -315,8 +315,9 @@ def _alike(a: str, b: str, least: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * (least - SLACK)
 
 
-def postings(nodes: DataFrame, whole: DataFrame, idf, least: float) -> DataFrame:
-    """(node, component, weight, rest, key): the index of shingles of ``nodes(node, component, weight)``.
+def postings(nodes: DataFrame, whole: DataFrame, idf, least: float) -> tuple[DataFrame, DataFrame]:
+    """The index of shingles of ``nodes(node, component, weight)``: (node, component, weight, rest, key, place), and
+    (node, prefix), the shingles of each node that are indexed in their order; ``place`` counts in it.
 
     Each set's shingles are ordered by the number of nodes that hold them, rarest first. Two sets of weights w and v
     share at least least / (1 + least) * (w + v) if they are similar. They share nothing before the first
@@ -345,13 +346,16 @@ def postings(nodes: DataFrame, whole: DataFrame, idf, least: float) -> DataFrame
     most = F.col("rest") / share - F.col("weight")
     range_of = lambda weight: F.floor(F.ln(weight) / F.lit(float(np.log(WEIGHT_STEP)))).cast("int")
     kept = follows.join(nodes, "node").filter(most >= F.col("weight") * (least - SLACK))
+    kept = checkpoint(kept.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("rest"), "shingle"))))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("place", "shingle"))), lambda x: x["shingle"])
+    prefixes = checkpoint(kept.groupBy("node").agg(in_order.alias("prefix")))
     # a little more than allowed, as sums are rounded
     other = F.explode(F.sequence(range_of(F.col("weight") * (least - SLACK)), range_of(F.least(most, F.col("weight") / least) * (1 + SLACK))))
-    side = kept.withColumn("own", range_of(F.col("weight"))).select("node", "component", "weight", "rest", "shingle", "own", other.alias("other"))
+    side = kept.withColumn("own", range_of(F.col("weight"))).select("node", "component", "weight", "rest", "place", "shingle", "own", other.alias("other"))
     key = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key")
-    found = checkpoint(side.select("node", "component", "weight", "rest", key))
-    discard(held)
-    return found
+    found = checkpoint(side.select("node", "component", "weight", "rest", "place", key))
+    discard(held, kept)
+    return found, prefixes
 
 
 def _open_keys(side: DataFrame) -> DataFrame:
@@ -367,11 +371,16 @@ def centre_pairs(side: DataFrame, least: float) -> DataFrame:
     return met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def all_pairs(side: DataFrame, least: float) -> DataFrame:
-    """(a, b) of all nodes of different components that meet under some key and may be as similar as ``least``."""
+def all_pairs(side: DataFrame, prefixes: DataFrame, least: float) -> DataFrame:
+    """(a, b) of all nodes of different components that meet under some key and may be as similar as ``least``.
+
+    Nodes that share several shingles are paired at the first one only: what rules a pair out there rules it out at all.
+    """
     sizes = checkpoint(_open_keys(side))
-    side = side.join(sizes.select("key"), "key", "left_semi")
+    side = side.join(sizes.select("key"), "key", "left_semi").join(prefixes, "node")
+    side = checkpoint(side.select("node", "component", "weight", "rest", "key", F.slice("prefix", F.lit(1), F.col("place") - 1).alias("earlier")))
     possible = (F.col("a.component") < F.col("b.component")) & _possible("a.weight", "a.rest", "b.weight", "b.rest", least)
+    possible &= ~F.arrays_overlap("a.earlier", "b.earlier")
     pairs = salted_pairs(side, side, "key", sizes, possible)
     return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
