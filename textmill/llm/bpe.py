@@ -21,6 +21,10 @@ from textmill.llm.common import table
 from textmill.llm.registry import query
 
 
+TEXT_AT_A_TIME = 4 << 20  # bytes; a longer text is worked on by itself
+KEPT_CHUNKS = 150_000  # encoded chunks that a worker keeps
+
+
 def byte_characters() -> list[str]:
     """The character for each byte: itself if it prints, else the next one from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -97,6 +101,7 @@ def encode(documents: DataFrame, text: str, serialised: str, out: str = "ids") -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(key, lambda: _load(serialised))
+        encoder.kept = KEPT_CHUNKS
         at = kept.index(text)
         for batch in _sliced(batches, at):
             ids, counts = encoder.texts(batch.column(at))
@@ -109,7 +114,7 @@ def encode(documents: DataFrame, text: str, serialised: str, out: str = "ids") -
 
 def _sliced(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(iter([batch]), at):
+        for part in pieces(iter([batch]), at, TEXT_AT_A_TIME):
             yield part
 
 
@@ -139,6 +144,7 @@ def digests(documents: DataFrame, serialised: str, parts: list[bytes]) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(key, lambda: _load(serialised))
+        encoder.kept = KEPT_CHUNKS
         numbers = [str(i) for i in range(len(parts))]
         for batch in _sliced(batches, 1):
             ids, counts = encoder.texts(batch.column(1))
