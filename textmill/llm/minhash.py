@@ -34,7 +34,7 @@ from textmill.llm.common import partitions, table
 from textmill.llm.registry import query
 from textmill.llm.words import StretchHashes, gram_hashes, mix, text_words
 from textmill.operators.components import connected_components
-from textmill.operators.skew import salted_pairs
+from textmill.operators.skew import ROWS_PER_TASK, salted_pairs
 from textmill.sources.scratch import checkpoint, discard
 
 SHINGLE = 5
@@ -317,7 +317,7 @@ def _alike(a: str, b: str, least: float) -> Column:
 
 def postings(nodes: DataFrame, whole: DataFrame, idf, least: float) -> tuple[DataFrame, DataFrame]:
     """The index of shingles of ``nodes(node, component, weight)``: (node, component, weight, rest, key, place), and
-    (node, prefix), the shingles of each node that are indexed in their order; ``place`` counts in it.
+    (node, prefix), short hashes of the shingles of each node that are indexed in their order; ``place`` counts in it.
 
     Each set's shingles are ordered by the number of nodes that hold them, rarest first. Two sets of weights w and v
     share at least least / (1 + least) * (w + v) if they are similar. They share nothing before the first
@@ -347,7 +347,8 @@ def postings(nodes: DataFrame, whole: DataFrame, idf, least: float) -> tuple[Dat
     range_of = lambda weight: F.floor(F.ln(weight) / F.lit(float(np.log(WEIGHT_STEP)))).cast("int")
     kept = follows.join(nodes, "node").filter(most >= F.col("weight") * (least - SLACK))
     kept = checkpoint(kept.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("rest"), "shingle"))))
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("place", "shingle"))), lambda x: x["shingle"])
+    # 32 bits of a shingle are enough: a pair is lost by them once in some million pairs, far less often than by the bands
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("place", F.hash("shingle").alias("short")))), lambda x: x["short"])
     prefixes = checkpoint(kept.groupBy("node").agg(in_order.alias("prefix")))
     # a little more than allowed, as sums are rounded
     other = F.explode(F.sequence(range_of(F.col("weight") * (least - SLACK)), range_of(F.least(most, F.col("weight") / least) * (1 + SLACK))))
@@ -381,7 +382,9 @@ def all_pairs(side: DataFrame, prefixes: DataFrame, least: float) -> DataFrame:
     side = checkpoint(side.select("node", "component", "weight", "rest", "key", F.slice("prefix", F.lit(1), F.col("place") - 1).alias("earlier")))
     possible = (F.col("a.component") < F.col("b.component")) & _possible("a.weight", "a.rest", "b.weight", "b.rest", least)
     possible &= ~F.arrays_overlap("a.earlier", "b.earlier")
-    pairs = salted_pairs(side, side, "key", sizes, possible)
+    # few keys or none are heavy; as a small table of its own they are sent to the rows
+    heavy = checkpoint(sizes.filter(F.col("n_left") > ROWS_PER_TASK))
+    pairs = salted_pairs(side, side, "key", heavy, possible)
     return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
