@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.operators import classify, clustering, evaluate, features, labelling, similarity, skew
+from textmill.operators import blocks, classify, clustering, evaluate, features, labelling, similarity, skew
 from textmill.operators.components import connected_components
 from textmill.plans import labelling as label_runs
 from textmill.plans import training
@@ -45,6 +45,35 @@ def test_near_pairs_equal_brute_force(spark, limit):
     assert members == {i: first[frozenset(t.split())] for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("limit", [0.3, 0.8])
+def test_near_pairs_met_in_blocks(spark, limit, monkeypatch):
+    # several blocks and portions; the words of a pair are counted in a task, and no pair is shuffled for each word
+    monkeypatch.setattr(blocks, "LEAST_ITEMS", 40)
+    monkeypatch.setattr(blocks, "MATCHES", 64)
+    texts = texts_of(90, 4, vocabulary=40, most=12)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(frozenset(t.split()), i)
+    want = {(i, j) for i, j in itertools.combinations(sorted(first.values()), 2) if jaccard(texts[i], texts[j]) <= limit + 1e-9}
+    found = similarity.near_pairs(frame(spark, texts), "text", limit)
+    assert {(r["i"], r["j"]) for r in found.collect()} == want
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_naive_bayes_shuffles_tokens_once(spark):
+    rows = spark.createDataFrame([(0, "a b b", 0), (1, "b c", 2), (2, "a c c c", None)], "row_idx long, text string, target int")
+    model = classify.fit_naive_bayes(rows, "text")
+    assert {(r["token"], r["target"], r["n"]) for r in model.tokens.collect()} == {
+        ("a", 0, 1), ("b", 0, 2), ("b", 2, 1), ("c", 2, 1), ("a", None, 1), ("c", None, 3)
+    }
+    assert model.classes.select("vocabulary").distinct().first()[0] == 3
+    # looked up as written, without an aggregate of their own
+    known = classify.fit_naive_bayes(rows.filter("target IS NOT NULL"), "text")
+    scores = classify.naive_bayes_scores(known, rows, "text")
+    assert "collect_list" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert scores.count() == 3
+
+
 def test_neighbours_equal_brute_force(spark):
     base, asked = texts_of(40, 2), texts_of(15, 3) + ["unseen words only", ""]
     target = [(0, 2, 4)[i % 3] for i in range(len(base))]
