@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,3 +341,51 @@ def test_a_large_keyword_table_is_no_part_of_the_plan(spark):
     labelled = labelling.label_by_keyword_tables(df, "text", {"pos": words})
     assert "word49999" not in labelled._jdf.queryExecution().toString()
     assert [r.target for r in labelled.orderBy("row_idx").collect()] == [4, 2]
+
+
+def _blocks_of(rows):
+    lists = pa.array(rows, pa.list_(pa.int32()))
+    return blocks.Block.of(pa.table({"ids": lists}), "ids")
+
+
+def test_nearest_rows_in_portions_equal_brute_force(monkeypatch):
+    for name, value in (("FREQUENT", 4), ("ASKED_ROWS", 5), ("HELD_ROWS", 7)):
+        monkeypatch.setattr(blocks, name, value)
+    rng = np.random.default_rng(3)
+    draw = lambda n: [sorted(set(rng.integers(0, 30, rng.integers(1, 12)).tolist())) for _ in range(n)]
+    asked, held = [*draw(23), [99]], draw(40)
+    sizes = [np.array([len(x) for x in rows]) for rows in (asked, held)]
+    got = {}
+    for i, j, distance in blocks.nearest_rows(_blocks_of(asked), _blocks_of(held), *sizes, 3):
+        for a, b, d in zip(i.tolist(), j.tolist(), distance.tolist()):
+            got.setdefault(a, []).append((d, b))
+    for i, x in enumerate(asked):
+        apart = [(1.0 - len({*x} & {*y}) / len({*x} | {*y}), j) for j, y in enumerate(held) if {*x} & {*y}]
+        assert sorted(got.get(i, [])) == sorted(apart)[:3]
+
+
+def test_neighbours_send_no_more_than_k_sets_of_a_block(spark):
+    base = frame(spark, texts_of(60, 4)).withColumn("target", F.lit(0))
+    model = classify.fit_neighbours(base, "text", k=2)
+    _, sets = classify._query_sets(frame(spark, texts_of(9, 5)), "text", "row_idx")
+    asked = classify._word_numbers(sets, "q", model.frequencies).join(sets.select("q", "size"), "q")
+    near = classify._nearest_sets(model, asked.withColumn("q", F.monotonically_increasing_id()))
+    assert near.groupBy("q").count().agg(F.max("count")).first()[0] <= 2
+
+
+@pytest.mark.parametrize("min_dot", [0.5, 0.875])
+def test_near_rows_in_portions_equal_brute_force(monkeypatch, min_dot):
+    for name, value in (("SKETCH", 4), ("SKETCHED_ROWS", 6), ("MATCHES", 20)):
+        monkeypatch.setattr(blocks, name, value)
+    rng = np.random.default_rng(5)
+    rows = [sorted(set(rng.integers(0, 9, rng.integers(1, 7)).tolist())) for _ in range(50)]
+    weights = [(w := rng.random(len(x))) / np.sqrt((w**2).sum()) for x in rows]
+    dot = lambda i, j: sum(weights[i][rows[i].index(t)] * weights[j][rows[j].index(t)] for t in rows[i] if t in rows[j])
+    want = {(i, j) for i, j in itertools.combinations(range(50), 2) if round(dot(i, j), 9) >= min_dot}
+    whole = _blocks_of(rows)
+    pairs = lambda found: [(a, b) for i, j in found for a, b in zip(i.tolist(), j.tolist())]
+    got = pairs(blocks.near_rows(whole, whole, np.concatenate(weights), np.concatenate(weights), min_dot))
+    assert len(got) == len(want) and set(got) == want
+    one, two = _blocks_of(rows[:20]), _blocks_of(rows[20:])
+    got = pairs(blocks.near_rows(one, two, np.concatenate(weights[:20]), np.concatenate(weights[20:]), min_dot))
+    assert {(i, j + 20) for i, j in got} == {(i, j) for i, j in want if i < 20 <= j}
