@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textmill import CleaningOptions, MissingRule, TextOptions, Validation, clean
@@ -119,3 +121,22 @@ def test_run_counts_add_up(spark):
     assert result.data.columns == ["row_idx", "tweet"]
     reasons = {r["metric"]: r["n"] for r in result.reason_metrics.collect()}
     assert reasons == {"empty_1": 8, "Absent_text": 1}
+
+
+def test_language_slots_are_counted_in_the_task(spark, monkeypatch):
+    # portions of a few characters; a letter beyond the basic plane is one character
+    monkeypatch.setattr(language, "CHARACTERS", 8)
+    texts = ["the cat", None, "", "!!", "a", "\U00010400b le chat", "x" * 30]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    spaced = [r[0] for r in rows.orderBy("i").select(language.spaced(F.col("t"))).collect()]
+    want = [[sum(ord(c) * f for c, f in zip(s[k : k + 3], language.FACTORS)) % language.SLOTS for k in range(len(s) - 2)] for s in spaced]
+    got = [[] for _ in texts]
+    for which, slots, counts in language._portions(pa.array(spaced)):
+        edges = np.cumsum([0, *counts])
+        for n, i in enumerate(range(which.start, which.stop)):
+            got[i] = slots[edges[n] : edges[n + 1]].tolist()
+    assert got == want
+    model = language.fit_languages(rows.withColumn("l", F.lit("en")), "t", "l")
+    assert "MapInArrow" in model._jdf.queryExecution().executedPlan().toString()
+    none = language.fit_languages(rows.withColumn("l", F.lit(None).cast("string")), "t", "l")
+    assert {r.d for r in language.with_language(rows, "t", "d", none).collect()} == {None}
