@@ -389,3 +389,12 @@ def test_near_rows_in_portions_equal_brute_force(monkeypatch, min_dot):
     one, two = _blocks_of(rows[:20]), _blocks_of(rows[20:])
     got = pairs(blocks.near_rows(one, two, np.concatenate(weights[:20]), np.concatenate(weights[20:]), min_dot))
     assert {(i, j + 20) for i, j in got} == {(i, j) for i, j in want if i < 20 <= j}
+
+
+def test_near_vectors_add_up_repeated_terms(spark):
+    half = [("a", 1, 0.5)] * 2 + [("b", 2, 0.6)]
+    rows = [(1, half), (2, [("a", 1, 0.8), ("b", 2, 0.6)]), (3, [("c", 1, 1.0)])]
+    points = spark.createDataFrame(rows, "point long, terms array<struct<term:string,df:long,weight:double>>")
+    # 2 * 0.5 * 0.8 + 0.6 * 0.6 = 1.16, but the lengths are sqrt(0.86) and 1
+    assert [tuple(r) for r in clustering.near_vectors(points, 0.92).collect()] == [(1, 2)]
+    assert clustering.near_vectors(points, 0.94).isEmpty()
