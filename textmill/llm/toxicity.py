@@ -8,6 +8,7 @@ knows only the label of the whole text: each step goes by the window that now sc
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ VECTOR, HIDDEN = 4, 8
 STEPS, STEP_TOXIC, STEP_CLEAN = 360, 16, 32
 SEED = 7
 WINDOWS_AT_A_TIME = 8192
+SCORED_BYTES = 4 << 20  # text that a worker scores at a time
 
 
 @dataclass
@@ -261,6 +263,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         # the worker goes on to other tasks
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what numpy freed
+        if trim:
+            trim(0)
         yield sent
 
     # one task for a bounded sample
@@ -290,7 +295,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", out: str = "sc
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = pickle.loads(sent.value), kept.index(text)
         for batch in batches:
-            for part in pieces(iter([batch]), at):
+            for part in pieces(iter([batch]), at, SCORED_BYTES):
                 scores = pa.array(own.scores(part.column(at)), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*kept, out])
 
