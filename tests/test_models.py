@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.operators import blocks, classify, clustering, evaluate, features, labelling, similarity, skew
+from textmill.operators import blocks, classify, clustering, evaluate, features, keywords, labelling, similarity, skew
 from textmill.operators.components import connected_components
 from textmill.plans import labelling as label_runs
 from textmill.plans import training
@@ -343,6 +343,25 @@ def test_a_large_keyword_table_is_no_part_of_the_plan(spark):
     assert [r.target for r in labelled.orderBy("row_idx").collect()] == [4, 2]
 
 
+def test_keyword_tables_meet_texts_in_blocks(spark, monkeypatch):
+    for name, value in (("TEXT_BYTES", 2000), ("LEAST_BYTES", 500), ("WORD_BYTES", 100), ("WALKED_BYTES", 300), ("CELLS", 90), ("DEPTH", 4)):
+        monkeypatch.setattr(keywords, name, value)
+    rng = random.Random(29)
+    word = lambda n: "".join(rng.choice("aaabÉ ") for _ in range(n))
+    texts = [word(rng.randint(0, 60)) for _ in range(300)] + ["", None, "a" * 5000]
+    words = sorted({word(rng.randint(1, 9)) for _ in range(150)})
+    found = labelling.keyword_matches(frame(spark, texts), "text", spark.createDataFrame([(w,) for w in words], "word string"))
+    want = sorted({(i, w.lower()) for i, t in enumerate(texts) for w in words if w.lower() in (t or "").lower()})
+    assert sorted((r.row_idx, r.word) for r in found.collect()) == want
+    lowered, listed = ([(x or "").lower() for x in xs] for xs in (texts, words))
+    tree = keywords.WordTree(pa.chunked_array([listed]))
+    held = [(at + i, listed[j]) for at, seen in tree.held(*keywords.joined_bytes(pa.chunked_array([lowered[:7], lowered[7:]]))) for i, j in zip(*np.nonzero(seen))]
+    assert sorted(held) == want and max(map(len, listed)) > keywords.DEPTH
+    # neither stretches of texts nor pairs of a text and a word that may be in it become rows
+    plan = labelling.label_by_keyword_tables(frame(spark, texts), "text", {"pos": spark.range(3).select(F.col("id").cast("string").alias("word"))})
+    assert "contains" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def _blocks_of(rows):
     lists = pa.array(rows, pa.list_(pa.int32()))
     return blocks.Block.of(pa.table({"ids": lists}), "ids")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.tokens import bind
-from textmill.operators.skew import lookup_join
+from textmill.operators.keywords import meet_words
 from textmill.options import NEGATIVE, NEUTRAL, POSITIVE, UNLABELLED
 from textmill.sources.scratch import checkpoint
 
@@ -19,7 +21,6 @@ LABEL_NAMES = {
     "negative": NEGATIVE, "negatives": NEGATIVE, "neg": NEGATIVE, "0": NEGATIVE,
 }
 LABELS = (NEGATIVE, NEUTRAL, POSITIVE)
-GRAM = 3  # characters of the stretches that keyword tables are indexed by
 
 
 def label_manual(
@@ -77,35 +78,24 @@ def classify_by_keywords(c: Column, positives: Sequence[str], negatives: Sequenc
     )
 
 
-def grams(c: Column, n: int) -> Column:
-    """All stretches of ``n`` characters of a text, without repeats."""
-    letters = F.split(c, "")
-    stretch = lambda of: F.transform(F.sequence(F.lit(0), F.size(of) - n), lambda i: F.concat(*[F.get(of, i + k) for k in range(n)]))
-    return bind(letters, lambda of: F.when(F.size(of) >= n, F.array_distinct(stretch(of))).otherwise(F.array().cast("array<string>")))
-
-
 def keyword_matches(df: DataFrame, text: str, words: DataFrame, row_idx: str = "row_idx") -> DataFrame:
     """(row_idx, word): which words of a table ``words(word)`` of any size a lower-cased text contains, as substrings.
 
-    A text that contains a word holds all its stretches of three characters. Each word is indexed under the one that
-    the fewest texts hold, so texts meet few words, and those are looked for. Shorter words are stretches themselves. Rows
-    need different numbers; blank words and null ones are left out.
+    Texts and words meet in blocks, see ``meet_words``. Rows need different numbers; blank words and null ones are left out.
     """
-    lowered = df.select(row_idx, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
-    listed = words.select(F.lower("word").alias("word")).filter("word <> ''").distinct()
-    size = F.least(F.length("word"), F.lit(GRAM))
-    held = checkpoint(listed.select("word", F.explode(F.coalesce(*[F.when(size == n, grams(F.col("word"), n)) for n in range(1, GRAM + 1)])).alias("gram")))
-    sizes = sorted(r["n"] for r in held.select(F.length("gram").alias("n")).distinct().collect())  # at most GRAM numbers
-    if not sizes:
-        return lowered.select(row_idx, F.lit("").alias("word")).limit(0)
-    in_texts = lowered.select(row_idx, F.explode(F.concat(*[grams(F.col("__text"), n) for n in sizes])).alias("gram"))
-    # only stretches of listed words go on from here
-    seen = checkpoint(in_texts.join(held.select("gram").distinct(), "gram", "left_semi"))
-    counts = seen.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
-    keys = held.join(counts, "gram", "left").groupBy("word").agg(rarest).filter("rarest.n > 0").select("word", "rarest.gram")
-    candidates = seen.join(keys, "gram").select(row_idx, "word")
-    return candidates.join(lowered, row_idx).filter(F.contains("__text", "word")).select(row_idx, "word")
+
+    def found(texts: pa.Table, listed: pa.Table, at: int, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows, held = np.nonzero(seen)
+        pairs = pa.table({row_idx: texts["id"].take(pa.array(rows + at)), "word": listed["text"].take(pa.array(held))})
+        yield from pairs.combine_chunks().to_batches()
+
+    kind = df.schema[row_idx].dataType.simpleString()
+    listed = words.select(F.lower("word").alias("text"), F.lit(None).cast("int").alias("tags")).filter("text <> ''").distinct()
+    return meet_words(_lowered(df, text, row_idx), listed, found, f"`{row_idx}` {kind}, word string")
+
+
+def _lowered(df: DataFrame, text: str, row_idx: str) -> DataFrame:
+    return df.select(F.col(row_idx).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
 
 
 def label_by_keyword_tables(
@@ -113,15 +103,26 @@ def label_by_keyword_tables(
 ) -> DataFrame:
     """``df`` with the label of ``label_by_keywords``, from word tables of any size: (word) for each label name.
 
-    Words stay tables; no list is collected. A word counts once for each label that lists it.
+    Words stay tables; no list is collected. A word counts once for each label that lists it. Words are counted where texts
+    meet them, so that what goes on are at most the labels of a text for each block of words.
     """
-    tables = [w.select(F.lower("word").alias("word"), F.lit(order).alias("order")) for order, w in enumerate(words_by_label.values())]
+    tables = [w.select(F.lower("word").alias("text"), F.lit(order).alias("order")) for order, w in enumerate(words_by_label.values())]
     if not tables:
         raise ValueError("no keywords given")
-    listed = checkpoint(reduce(DataFrame.unionByName, tables).distinct())
-    found = keyword_matches(df, text, listed, row_idx)
-    hits = lookup_join(found, listed.groupBy("word").agg(F.collect_set("order").alias("orders")), "word")  # label numbers, not rows
-    per_label = hits.select(row_idx, F.explode("orders").alias("order")).groupBy(row_idx, "order").agg(F.count("*").alias("hits"))
+    listed = checkpoint(reduce(DataFrame.unionByName, tables).filter("text <> ''").groupBy("text").agg(F.collect_set("order").alias("tags")))
+
+    def found(texts: pa.Table, words: pa.Table, at: int, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tags = words["tags"].combine_chunks()
+        word, order = np.repeat(np.arange(len(tags)), tags.value_lengths().to_numpy()), tags.flatten().to_numpy()
+        for label in np.unique(order):
+            hits = np.count_nonzero(seen[:, word[order == label]], axis=1)
+            rows = np.flatnonzero(hits)
+            counted = pa.table({"id": texts["id"].take(pa.array(rows + at)), "order": pa.array(np.full(len(rows), label, np.int32)), "hits": pa.array(hits[rows])})
+            yield from counted.combine_chunks().to_batches()
+
+    kind = df.schema[row_idx].dataType.simpleString()
+    counts = meet_words(_lowered(df, text, row_idx), listed, found, f"id {kind}, order int, hits long")
+    per_label = counts.groupBy(F.col("id").alias(row_idx), "order").agg(F.sum("hits").alias("hits"))
     best = per_label.groupBy(row_idx).agg(F.max(F.struct("hits", (-F.col("order")).alias("rank"))).alias("best"))
     values = F.array(*[F.lit(label_value(name)) for name in words_by_label])
     label = F.coalesce(F.get(values, -F.col("best.rank")), F.lit(NEUTRAL))
