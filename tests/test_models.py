@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.operators import blocks, classify, clustering, evaluate, features, keywords, labelling, similarity, skew
+from textmill.functions import tokens
+from textmill.operators import blocks, classify, clustering, evaluate, features, grams, keywords, labelling, similarity, skew
 from textmill.operators.components import connected_components
 from textmill.plans import labelling as label_runs
 from textmill.plans import training
@@ -76,6 +77,36 @@ def test_naive_bayes_shuffles_tokens_once(spark):
     assert scores.count() == 3
 
 
+@pytest.mark.parametrize("ngram", ["unigram", "bigram", "trigram"])
+@pytest.mark.parametrize("binary", [False, True])
+def test_grams_counted_in_tasks_equal_those_of_columns(spark, ngram, binary, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["a", "b", "a_b", "b_a", "É", "_"]) for _ in range(rng.randint(0, 9))) for _ in range(40)] + ["", None, " a "]
+    df = frame(spark, texts).withColumn("target", F.expr("CASE row_idx % 3 WHEN 0 THEN 0 WHEN 1 THEN 4 END"))
+    of_row = tokens.ngrams(tokens.words(F.col("text")), ngram)
+    listed = df.select("row_idx", "target", F.explode(F.array_distinct(of_row) if binary else of_row).alias("token"))
+    want = sorted(map(tuple, listed.groupBy("row_idx", "token").count().collect()))
+    assert sorted(map(tuple, grams.row_tokens(df, "text", ngram, binary, "row_idx").collect())) == want
+    counts = sorted(map(repr, listed.groupBy("target", "token").count().collect()))
+    summed = grams.class_tokens(df, "text", "target", ngram, binary).groupBy("target", "token").agg(F.sum("n").alias("count"))
+    assert sorted(map(repr, summed.collect())) == counts
+    # the same in small portions
+    monkeypatch.setattr(grams, "PORTION_WORDS", 10)
+    words = [(t or "").lower().split() for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(range(len(words)))], names=["words", "id"])
+    cut = list(grams.portions(iter([batch])))
+    found = [(part["id"][row].as_py(), g.strings[i].as_py(), n) for part in cut for g in [grams.Grams(part["words"], ngram)]
+             for row, i, n in zip(*(x.tolist() for x in g.counts(np.arange(part.num_rows), binary)))]
+    assert sorted(found) == want and len(cut) > 10
+
+
+def test_naive_bayes_explodes_no_grams(spark):
+    rows = spark.createDataFrame([(0, "a b b", 0), (1, "b c", 2)], "row_idx long, text string, target int")
+    model = classify.fit_naive_bayes(rows, "text", ngram="trigram")
+    scores = classify.naive_bayes_scores(model, rows, "text")
+    assert "Generate" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
 def test_neighbours_equal_brute_force(spark):
     base, asked = texts_of(40, 2), texts_of(15, 3) + ["unseen words only", ""]
     target = [(0, 2, 4)[i % 3] for i in range(len(base))]
