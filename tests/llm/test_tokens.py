@@ -122,3 +122,18 @@ def test_split_characters_and_offsets():
     assert bpe.decode_text(parts, [97, 0xF0, 0x9F]) == "a�"
     assert bpe.character_offsets(parts, [257, 256, 0xF0, 0x9F, 0x98, 0x80, 97]) == [(0, 2), (2, 3), (3, 4), (3, 4), (3, 4), (3, 4), (4, 5)]
     assert sorted(map(ord, bpe.byte_characters()))[:1] == [33] and len(set(bpe.byte_characters())) == 256
+
+
+def test_words_before_stops_are_encoded_once():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from textmill.llm.chunks import ChunkEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = ChunkEncoder(Tokenizer.from_file(path), added=True), Tokenizer.from_file(path)
+    texts = ["a word. Or a word, a word! word", "U.S.A.s e.g. don't. x's, 1.5, é. ÷. a÷.b x...y ,a;.b :: \n.", "naïve: Ñ; ß? a.\n\nb.  c .", ".", "", None]
+    ids, counts = encoder.texts(pa.array(texts, pa.string()))
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert " word" in encoder.place and not any(c.startswith(" word") and c != " word" for c in encoder.place)

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,14 @@ import pyarrow.compute as pc
 KEPT_CHUNKS = 400_000  # entries of a worker's table of encoded chunks
 PIECE_BYTES = 16 << 20  # text that is worked on at a time
 JOINED_CHUNKS = 1000  # new chunks that are encoded as one text
+IS_STOP, IS_LETTER = (np.isin(np.arange(256), list(c)) for c in (b".,;:!?", ascii_letters.encode()))
 
 
-def safe_cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def safe_cuts(data: np.ndarray, starts: np.ndarray, stops: bool = False) -> np.ndarray:
     """Sorted byte positions at which ``data`` may be cut: starts of texts, and spaces after characters.
 
     A space counts if the byte before it is ASCII and not white space, or ends a two-byte letter; the
-    few other cases stay uncut, which is always right.
+    few other cases stay uncut, which is always right. With ``stops``, stops and commas after ASCII letters count, too.
     """
     at = np.flatnonzero(data == 32)
     at = at[at > 1]
@@ -34,6 +36,10 @@ def safe_cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     marked = np.zeros(len(data), bool)
     marked[starts[starts < len(data)]] = True
     marked[at[plain | letter]] = True
+    if stops:
+        at = np.flatnonzero(IS_STOP[data])
+        at = at[at > 0]
+        marked[at[IS_LETTER[data[at - 1]]]] = True
     return np.flatnonzero(marked)
 
 
@@ -52,12 +58,19 @@ class ChunkEncoder:
     """
 
     kept = KEPT_CHUNKS
+    stops = False  # whether chunks end before stops, too
 
     def __init__(self, tokenizer, added: bool = False):
+        from tokenizers.pre_tokenizers import ByteLevel
+
         tokenizer.encode_special_tokens = True
         self.tokenizer = tokenizer
         known = tokenizer.get_added_tokens_decoder().values() if added else ()
         self.added = [t.content for t in known]
+        # no match of the byte-level pattern goes on from a letter to a stop
+        special = all(t.special for t in tokenizer.get_added_tokens_decoder().values())
+        before = tokenizer.pre_tokenizer
+        self.stops = special and tokenizer.normalizer is None and isinstance(before, ByteLevel) and before.use_regex
         # a token that stays active must not come about where chunks are joined
         self.joined = JOINED_CHUNKS if all(t.special for t in known) else 1
         # tokens are written with one character for each byte
@@ -72,14 +85,18 @@ class ChunkEncoder:
         Chunks that start with a space and end with a character may follow each other in one text, since
         no match leaves them; the sizes of the tokens tell where each one ends.
         """
-        joins = np.fromiter((c[0] == " " and not c[-1].isspace() for c in chunks), bool, len(chunks))
+        offsets, data = text_bytes(pa.array(chunks, pa.string()))
+        size, last = np.diff(offsets), data[offsets[1:] - 1]
+        joins = (data[offsets[:-1]] == 32) & (last > 32) & (last < 127)
+        for i in np.flatnonzero((data[offsets[:-1]] == 32) & (last >= 127)).tolist():
+            joins[i] = not chunks[i][-1].isspace()
         order = np.argsort(~joins, kind="stable")  # those that may be joined come first
         n = int(joins.sum())
         ordered = [chunks[i] for i in order]
         texts = ["".join(ordered[i : min(i + self.joined, n)]) for i in range(0, n, self.joined)] + ordered[n:]
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
-        ends = np.cumsum(np.fromiter((len(c.encode()) for c in ordered), np.int64, len(ordered)))
+        ends = np.cumsum(size[order])
         last = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
         lengths = np.diff(last, prepend=0)
         counts = np.empty(len(chunks), np.int64)
@@ -107,7 +124,7 @@ class ChunkEncoder:
         if len(self.place) > self.kept:
             self._make_room()
         place = self.place
-        rows = np.fromiter((place.get(c, -1) for c in chunks), np.int64, len(chunks))
+        rows = np.fromiter(map(place.get, chunks, repeat(-1)), np.int64, len(chunks))
         new = np.flatnonzero(rows < 0)
         if len(new):
             fresh = [chunks[i] for i in new]
@@ -140,7 +157,7 @@ class ChunkEncoder:
     def _by_chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets, data = text_bytes(column)
         counts = np.zeros(len(column), np.int64)
-        cuts = safe_cuts(data, offsets[:-1])
+        cuts = safe_cuts(data, offsets[:-1], self.stops)
         if not len(cuts):
             return np.empty(0, np.uint32), counts
         ends = np.append(cuts, len(data)).astype(np.int32)
