@@ -100,3 +100,17 @@ def test_effect_of_a_line_against_reading_it(spark):
     df = spark.createDataFrame([(t,) for t in lines], "line string").select("line", records.line_effect(F.col("line"), ",").alias("e"))
     for r in df.collect():
         assert (r.e["out"], r.e["in"]) == (ends_inside(r.line, False), ends_inside(r.line, True)), r.line
+
+
+@pytest.mark.parametrize("bits", [0, 2])
+def test_splits_are_cut_into_stretches_of_lines(spark, tmp_path, small_splits, monkeypatch, bits):
+    rng = random.Random(bits)
+    rows = made(rng, 300)
+    (tmp_path / "part-1.csv").write_text(written(rows[:200]), newline="")
+    (tmp_path / "part-2.csv").write_text("﻿" + written(rows[200:]), newline="")
+    monkeypatch.setattr(records, "STRETCH_BITS", bits)
+    small_splits(3000)
+    assert records.raw_lines(spark, str(tmp_path)).groupBy(*records.SPLIT).count().agg(F.max("count")).first()[0] <= 1 << bits
+    found = records.scan_records(spark, str(tmp_path), ["i", "text", "k"], row_idx="row_idx").orderBy("row_idx").collect()
+    assert [r.row_idx for r in found] == list(range(len(rows)))
+    assert [[r.i, r.text, r.k] for r in found] == rows

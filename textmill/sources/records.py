@@ -4,7 +4,8 @@ Files are read by lines, so that they stay splittable. Whether a line starts ins
 it. A line is therefore reduced to what it makes of either state (inside or outside), which a fold over its quotes
 gives; most lines leave the state as it is. Lines are put together in their split, one row for each split is
 put together over the file, and then each split knows how it starts. Records are cut inside the splits, in
-one exchange that deals out whole splits; only the pieces on both sides of a split's edge are joined after it.
+one exchange that deals out whole splits; only the pieces on both sides of a split's edge are joined after it. What is
+called a split here is a stretch of a bounded number of lines of a file's split, so that tasks hold little at a time.
 
 A quote opens at the start of a field only, is doubled inside quotes, and is plain text elsewhere.
 """
@@ -26,16 +27,20 @@ CP1252_UNDEFINED = "[\x81\x8d\x8f\x90\x9d]"
 # states between the quotes of a line
 FIELD, INSIDE, CLOSED, TEXT = 0, 1, 2, 3
 SPLIT = ["file", "number", "block"]
+STRETCH_BITS = 15  # lines of a stretch, as a power of two
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, number, block, id, line): all lines with their bytes as they are; ``id`` orders the lines of a split.
 
+    Splits of files are cut into stretches of at most 2^15 lines, which count as splits from here on: ``block`` is the start
+    of the file's split and what stretch of the task it is. No line is empty of bytes, so this stays below the next split's start.
     Only a byte order mark is taken from where lines of a file's first split start.
     """
     marked = (F.col("_metadata.file_block_start") == 0) & F.startswith("value", F.lit("\ufeff"))
     bare = F.substring(F.col("value").cast("binary"), F.lit(4), F.octet_length("value") - 3).cast("string")
-    return spark.read.option("lineSep", "\n").text(path).select(
+    stretch = F.shiftright(F.col("id").bitwiseAND(F.lit((1 << 33) - 1)), STRETCH_BITS)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         # parts of one job by their number, which may have more digits in later files
         F.coalesce(F.regexp_extract("_metadata.file_path", r"part-(\d+)[^/]*$", 1).try_cast("bigint"), F.lit(-1)).alias("number"),
@@ -43,6 +48,7 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("id"),
         F.when(marked, bare).otherwise(F.col("value")).alias("line"),
     )
+    return lines.withColumn("block", F.col("block") + stretch)
 
 
 def line_effect(line: Column, sep: str) -> Column:
