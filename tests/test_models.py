@@ -351,6 +351,15 @@ def test_training_run_and_prediction(spark):
     assert training.predict_texts(run.model, one).first()["predicted"] == 0
 
 
+def test_a_training_run_scores_once(spark):
+    rows = [(i, ("good fine day", "bad sad night")[i % 2] + f" x{i}", (4, 0)[i % 2]) for i in range(40)]
+    run = training.train(spark.createDataFrame(rows, "row_idx long, text string, target int"), "naive_bayes")
+    # predictions and metrics read what was written
+    assert "Join" not in run.predictions._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in run.metrics._jdf.queryExecution().toString()
+    assert run.predictions.count() == 8
+
+
 def test_keyword_tables_equal_keyword_lists(spark):
     rng = random.Random(13)
     word = lambda n: "".join(rng.choice("abcÉ ") for _ in range(n))
