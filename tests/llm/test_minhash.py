@@ -1,11 +1,14 @@
 import random
+import tracemalloc
+import weakref
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from textmill.llm import minhash
+from textmill.llm import chunks, minhash
 
 
 def brute_classes(texts, idf):
@@ -138,3 +141,30 @@ def test_large_group_around_a_passage_and_very_long_texts(spark):
     want = brute_classes([texts[i] for i in sample], idf)
     assert [found[i] for i in sample] == [sample[k] for k in want]
     assert len(set(found.values())) == 602
+
+
+def test_tasks_take_texts_in_small_pieces():
+    """What a task holds beside its batch does not grow with the batch."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    idf = SimpleNamespace(value=np.ones(1 << minhash.DF_BITS, np.float32))
+    tracemalloc.start()
+    n = sum(b.num_rows for b in minhash._sign(idf)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1500 and peak < 80e6, peak
+
+
+def test_workers_give_back_memory_when_a_task_has_ended(monkeypatch):
+    seen, held = [], []
+
+    def work(batches):
+        for b in batches:
+            data = np.ones(1000)
+            held.append(weakref.ref(data))
+            yield b
+    monkeypatch.setattr(chunks, "give_back", lambda: seen.append([r() is None for r in held]))
+    rows = chunks.giving_back(work)(iter([1, 2]))
+    assert next(rows) == 1 and not seen
+    assert list(rows) == [2] and seen == [[True, True]]

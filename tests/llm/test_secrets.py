@@ -103,3 +103,9 @@ def test_no_python_on_the_executors(spark, tmp_path, name):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     plan = secrets.digest(secrets.scan(df, "text", new_path(spark, "ledger")))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_an_absent_ledger_starts_no_python_workers(spark):
+    ledger = secrets.read_ledger(spark, new_path(spark, "ledger"))
+    assert ledger.dtypes == [("blob", "string"), ("rules", "string"), ("spans", f"array<{secrets.SPAN}>")]
+    assert ledger.count() == 0 and "RDD" not in ledger._jdf.queryExecution().toString()

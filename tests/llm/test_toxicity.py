@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -135,3 +136,31 @@ def test_stretches_cover_texts_up_to_the_bound(spark):
         assert len(r.starts) <= n and r.starts[0] == 0 and max(r.starts) + most >= r.length and max(r.starts) <= max(0, r.length - most)
         if r.length <= n * most:
             assert all(b <= a + most for a, b in zip(r.starts, r.starts[1:]))
+
+
+def test_features_of_many_words_take_little_memory():
+    """A worker's memory adds up with its executor's: stretches of words are laid out once, vectors of some words at a time."""
+    words = [f"{i * 2654435761 % 2**40:012x}" for i in range(40_000)]
+    column = pa.array([" ".join(words)], pa.string())
+    model = toxicity.train([], np.empty(0, np.int64))
+    tracemalloc.start()
+    f = toxicity.Features.of(column)
+    at_features = tracemalloc.get_traced_memory()[1] / f.grams.nbytes
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    rows = model.inputs(f)
+    at_inputs = (tracemalloc.get_traced_memory()[1] - before - rows.nbytes) / f.grams.nbytes
+    tracemalloc.stop()
+    assert len(f.grams) == f.counts.sum() and len(rows) == len(words) + 1
+    assert at_features < 6 and at_inputs < 2, (at_features, at_inputs)
+
+
+def test_windows_of_a_training_set_take_little_memory():
+    edges = np.array([0, 0, 300_000, 300_001, 800_000])
+    places = np.arange(800_000) % 1000
+    tracemalloc.start()
+    windows, owners = toxicity.text_windows(places, edges, 1000)
+    peak = tracemalloc.get_traced_memory()[1] / windows.nbytes
+    tracemalloc.stop()
+    assert peak < 3, peak
+    assert windows[-1][windows[-1] < 1000][-1] == places[-1] and windows[owners == 2].tolist() == [[0] + [1000] * 31]

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm.chunks import pieces, worker_encoder
+from textmill.llm.chunks import giving_back, pieces, worker_encoder
 from textmill.llm.common import table
 from textmill.llm.registry import query
 
 
-TEXT_AT_A_TIME = 4 << 20  # bytes; a longer text is worked on by itself
+TEXT_AT_A_TIME = 1 << 20  # bytes; a longer text is worked on by itself
 KEPT_CHUNKS = 150_000  # encoded chunks that a worker keeps
 
 
@@ -160,7 +160,7 @@ def digests(documents: DataFrame, serialised: str, parts: list[bytes]) -> DataFr
                 [batch.column(0), pa.array(counts), *shas], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, DIGEST)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(work), DIGEST)
 
 
 @query("op7_byte_bpe")

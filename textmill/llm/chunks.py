@@ -7,6 +7,7 @@ of its chunks in a row, and repeated words are encoded once for a batch and kept
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 from itertools import chain, repeat
@@ -194,6 +195,24 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES
             at = to
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what numpy freed
+    if trim:
+        trim(0)
+
+
+def giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work``, after which the worker, which goes on to other tasks or waits for them, gives back what it has freed."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return done
+
+
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.chunks import pieces, ragged
+from textmill.llm.chunks import giving_back, pieces, ragged
 from textmill.llm.common import partitions, table
 from textmill.llm.registry import query
 from textmill.llm.words import StretchHashes, gram_hashes, mix, text_words
@@ -45,7 +45,7 @@ DF_BITS = 20
 DF_CHUNKS = 16  # rows in which the table of frequencies travels
 WEIGHT_STEP = 1.03  # ratio of neighbouring ranges of weights in the index of shingles
 SHINGLES_AT_A_TIME = 1 << 17
-TEXT_AT_A_TIME = 4 << 20  # bytes; a longer text is worked on by itself
+TEXT_AT_A_TIME = 1 << 20  # bytes; a longer text is worked on by itself
 PAIRS_AT_A_TIME = 256
 SLACK = 1e-6
 
@@ -111,7 +111,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
     schema = "chunk int, part binary"
     some = max(1, partitions(texts.sparkSession) // 8)
-    counted = texts.select("text").mapInArrow(count, schema).repartition(some).mapInArrow(add, schema)
+    counted = texts.select("text").mapInArrow(giving_back(count), schema).repartition(some).mapInArrow(add, schema)
     rows = counted.repartition(DF_CHUNKS, "chunk").mapInArrow(add, schema).collect()
     found = {r["chunk"]: np.frombuffer(r["part"], np.int64) for r in rows}
     n = int(found.get(-1, np.zeros(1))[0])
@@ -259,7 +259,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     spark = documents.sparkSession
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(rows))
-    signed = checkpoint(rows.mapInArrow(_sign(idf), "doc_id long, node string, weight double, bands array<long>"))
+    signed = checkpoint(rows.mapInArrow(giving_back(_sign(idf)), "doc_id long, node string, weight double, bands array<long>"))
     named = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     bucketed = checkpoint(nodes.select("node", "owner", "weight", F.explode("bands").alias("key")))
@@ -270,13 +270,13 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     owners = members.select("node", "owner").distinct()
     texts = rows.join(owners.hint("shuffle_hash"), rows["doc_id"] == owners["owner"]).select("node", "text")
     # (an id that repeats may bring other texts than the node's; they are left out there)
-    own = texts.mapInArrow(_whole_shingles, "node string, hashes binary, times binary")
+    own = texts.mapInArrow(giving_back(_whole_shingles), "node string, hashes binary, times binary")
     whole = checkpoint(own.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("times").alias("times")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: whole.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes"), F.col("times").alias(f"{c}_times"))
         joined = pairs.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
-        return joined.mapInArrow(_verify(idf, least), "a string, b string")
+        return joined.mapInArrow(giving_back(_verify(idf, least)), "a string, b string")
 
     # a node's buckets are large where it keeps what its group shares
     central = members.groupBy("node").agg(F.sum("n").alias("met"))
@@ -336,7 +336,7 @@ def postings(nodes: DataFrame, whole: DataFrame, idf, least: float) -> tuple[Dat
                 name = pa.array([batch.column("node")[i].as_py()] * len(h), pa.string())
                 yield pa.RecordBatch.from_arrays([name, pa.array(h.view(np.int64)), pa.array(w)], names=["node", "shingle", "w"])
 
-    held = whole.join(nodes.select("node"), "node", "left_semi").mapInArrow(work, "node string, shingle long, w double")
+    held = whole.join(nodes.select("node"), "node", "left_semi").mapInArrow(giving_back(work), "node string, shingle long, w double")
     held = checkpoint(held)
     counts = held.groupBy("shingle").agg(F.count("*").alias("holders"))
     # summed from the most frequent shingle on

@@ -105,7 +105,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        # from no Python rows, whose workers would stay beside those of other tasks
+        return spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("row")).select("row.*")
 
 
 def scan(versions: DataFrame, text: str, ledger: str, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:

@@ -8,7 +8,6 @@ knows only the label of the whole text: each step goes by the window that now sc
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import pickle
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import gru
-from textmill.llm.chunks import pieces, ragged
+from textmill.llm.chunks import give_back, giving_back, pieces, ragged
 from textmill.llm.common import table
 from textmill.llm.registry import query
 from textmill.llm.words import gram_hashes, text_words
@@ -36,7 +35,7 @@ ODDS_BITS, VECTOR_BITS = 20, 14  # sizes of the hashed tables
 VECTOR, HIDDEN = 4, 8
 STEPS, STEP_TOXIC, STEP_CLEAN = 360, 16, 32
 SEED = 7
-WINDOWS_AT_A_TIME = 8192
+WINDOWS_AT_A_TIME, WORDS_AT_A_TIME = 8192, 8192
 SCORED_BYTES = 4 << 20  # text that a worker scores at a time
 
 
@@ -96,13 +95,15 @@ class Model:
         rows[:n, 0] = word_odds[_slot(f.whole, ODDS_BITS)]
         rows[:n, 3] = 1
         rows[:n, 4 : 4 + VECTOR] = self.word_vectors[_slot(f.whole, VECTOR_BITS)]
-        some = np.flatnonzero(f.counts)
-        if len(some):
-            starts = f.starts[some]
-            odds = gram_odds[_slot(f.grams, ODDS_BITS)]
+        with_grams, first = np.flatnonzero(f.counts), f.starts
+        for i in range(0, len(with_grams), WORDS_AT_A_TIME):
+            some = with_grams[i : i + WORDS_AT_A_TIME]
+            own = slice(first[some[0]], first[some[-1]] + f.counts[some[-1]])
+            grams, starts = f.grams[own], first[some] - first[some[0]]
+            odds = gram_odds[_slot(grams, ODDS_BITS)]
             rows[some, 1] = np.maximum.reduceat(odds, starts)
             rows[some, 2] = np.add.reduceat(odds, starts) / f.counts[some]
-            vectors = self.gram_vectors[_slot(f.grams, VECTOR_BITS)]
+            vectors = self.gram_vectors[_slot(grams, VECTOR_BITS)]
             rows[some, 4 + VECTOR :] = np.add.reduceat(vectors, starts, axis=0) / f.counts[some, None]
         return rows
 
@@ -131,13 +132,17 @@ def text_windows(places: np.ndarray, edges: np.ndarray, pad: int) -> tuple[np.nd
     counts = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE)), 0)
     owners = np.repeat(np.arange(len(sizes)), counts)
     start = edges[owners] + STRIDE * ragged(np.arange(max(counts.max(initial=0), 1)), np.zeros(len(counts), np.int64), counts)
-    at = start[:, None] + np.arange(WINDOW)
-    inside = at < edges[owners + 1][:, None]
-    padded = np.append(places, pad)
-    return padded[np.where(inside, at, len(places))].astype(np.int32), owners
+    padded = np.append(places, pad).astype(np.int32)
+    windows = np.empty((len(owners), WINDOW), np.int32)
+    for i in range(0, len(owners), WINDOWS_AT_A_TIME):
+        part = slice(i, i + WINDOWS_AT_A_TIME)
+        at = start[part, None] + np.arange(WINDOW)
+        inside = at < edges[owners[part] + 1][:, None]
+        windows[part] = padded[np.where(inside, at, len(places))]
+    return windows, owners
 
 
-def train(texts: list[str], labels: np.ndarray) -> Model:
+def train(texts: list[str] | pa.Array, labels: np.ndarray) -> Model:
     """Fit a model to whole texts; both classes have to occur, else every score is 0."""
     rng = np.random.default_rng(SEED)
     small = lambda: (0.1 * rng.standard_normal((1 << VECTOR_BITS, VECTOR))).astype(np.float32)
@@ -146,7 +151,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     if not (labels > 0).any() or not (labels == 0).any():
         model.net["b"][:] = -1e9
         return model
-    f = Features.of(pa.array(texts, pa.string()))
+    f = Features.of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     own_words = [np.unique(f.places[a:b]) for a, b in zip(f.edges[:-1], f.edges[1:], strict=True)]
     word_slots = [np.unique(_slot(f.whole[w], ODDS_BITS)) for w in own_words]
     gram_slots = [np.unique(_slot(ragged(f.grams, f.starts[w], f.counts[w]), ODDS_BITS)) for w in own_words]
@@ -256,16 +261,14 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         model = train([], np.empty(0, np.int64))
         if held:
             rows = pa.Table.from_batches(held).sort_by("id")
-            model = train(rows["text"].to_pylist(), (rows["toxic"].to_numpy() > 0).astype(np.int64))
+            held.clear()
+            model = train(rows["text"].combine_chunks(), (rows["toxic"].to_numpy() > 0).astype(np.int64))
         sent = pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
         del held, model
         rows = None
         # the worker goes on to other tasks
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what numpy freed
-        if trim:
-            trim(0)
+        give_back()
         yield sent
 
     # one task for a bounded sample
@@ -299,7 +302,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", out: str = "sc
                 scores = pa.array(own.scores(part.column(at)), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*kept, out])
 
-    return documents.select(*[f"`{c}`" for c in kept]).mapInArrow(work, schema)
+    return documents.select(*[f"`{c}`" for c in kept]).mapInArrow(giving_back(work), schema)
 
 
 @query("op3_toxicity")

@@ -51,7 +51,9 @@ def text_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     kept = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     before = np.concatenate([[0], np.cumsum(kept)])
     edges = before[np.concatenate([[0], np.cumsum(lengths)])]
-    coded = pc.dictionary_encode(flat.filter(pa.array(kept)))
+    words = flat.filter(pa.array(kept))
+    del lists, flat, kept, before  # as large as the texts or larger
+    coded = pc.dictionary_encode(words)
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), edges
@@ -67,14 +69,12 @@ def gram_hashes(words: pa.Array, sizes: tuple[int, ...]) -> tuple[np.ndarray, np
     hashes = StretchHashes(points)
     whole = hashes(marks[:-1], marks[1:])
     lengths = np.diff(marks) + 1  # with both marks
-    found, owners = [], []
-    for n in sizes:
-        count = np.maximum(lengths - n + 1, 0)
+    counts = [np.maximum(lengths - n + 1, 0) for n in sizes]
+    total = np.sum(counts, axis=0, dtype=np.int64) if counts else np.zeros(len(shown), np.int64)
+    grams = np.empty(int(total.sum()), np.uint64)
+    to = np.cumsum(total) - total  # where the next size's stretches of each word go
+    for n, count in zip(sizes, counts, strict=True):
         starts = ragged(np.arange(len(points)), marks[:-1], count)
-        found.append(hashes(starts, starts + n))
-        owners.append(np.repeat(np.arange(len(shown)), count))
-    if not found:
-        return whole, np.empty(0, np.uint64), np.zeros(len(shown), np.int64)
-    grams, owner = np.concatenate(found), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return whole, grams[order], np.bincount(owner, minlength=len(shown))
+        grams[ragged(np.arange(len(grams)), to, count)] = hashes(starts, starts + n)
+        to = to + count
+    return whole, grams, total
