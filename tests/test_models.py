@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import tokens
 from textmill.operators import blocks, classify, clustering, evaluate, features, grams, keywords, labelling, similarity, skew
+from textmill.operators import linkage as linkages
 from textmill.operators.components import connected_components
 from textmill.plans import labelling as label_runs
 from textmill.plans import training
@@ -457,3 +458,19 @@ def test_near_vectors_add_up_repeated_terms(spark):
     # 2 * 0.5 * 0.8 + 0.6 * 0.6 = 1.16, but the lengths are sqrt(0.86) and 1
     assert [tuple(r) for r in clustering.near_vectors(points, 0.92).collect()] == [(1, 2)]
     assert clustering.near_vectors(points, 0.94).isEmpty()
+
+
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+@pytest.mark.parametrize("whole", [0, 2048])
+def test_hierarchical_merges_by_the_distances_of_all_pairs(spark, linkage, whole, monkeypatch):
+    # nearly all pairs lie further apart than 0.75, as in texts of real length; by rounds of tables and on a matrix
+    monkeypatch.setattr(linkages, "WHOLE", whole)
+    monkeypatch.setattr(blocks, "LEAST_ITEMS", 80)
+    rng = random.Random(9)
+    texts = [" ".join(["all"] + rng.sample([f"w{i}" for i in range(60)], rng.randint(8, 20))) for _ in range(9)]
+    texts += texts[:3]
+    clusters = {}
+    for r in clustering.hierarchical(frame(spark, texts), "text", 3, linkage).collect():
+        clusters.setdefault(r["cluster"], set()).add(r["row_idx"])
+    assert {frozenset(c) for c in clusters.values()} == flat_clusters(texts, 3, linkage)
+    assert len(clusters) == 3 and all(min(c) == name for name, c in clusters.items())
