@@ -64,6 +64,25 @@ def test_near_pairs_met_in_blocks(spark, limit, monkeypatch):
     assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_all_pairs_equal_brute_force(spark, monkeypatch):
+    # those further apart than 0.8, without a common word and between copies too; together they stand for all pairs of rows
+    monkeypatch.setattr(blocks, "LEAST_ITEMS", 60)
+    monkeypatch.setattr(blocks, "ASKED_ROWS", 7)
+    texts = texts_of(40, 6, vocabulary=60) + ["", None, "no other holds these"]
+    first, copies = {}, {}
+    for i, t in enumerate(texts):
+        first.setdefault(frozenset((t or "").split()), i)
+    for t in texts:
+        gid = first[frozenset((t or "").split())]
+        copies[gid] = copies.get(gid, 0) + 1
+    want = {(i, j): (round(jaccard(texts[i] or "", texts[j] or ""), 9), copies[i], copies[j]) for i, j in itertools.combinations(sorted(copies), 2)}
+    want |= {(i, i): (0.0, n, n) for i, n in copies.items() if n > 1}
+    got = similarity.all_pairs(frame(spark, texts), "text").collect()
+    assert {(r["i"], r["j"]): (round(r["distance"], 9), r["copies_i"], r["copies_j"]) for r in got} == want and len(got) == len(want)
+    rows = sum(r["copies_i"] * r["copies_j"] if r["i"] < r["j"] else r["copies_i"] * (r["copies_i"] - 1) // 2 for r in got)
+    assert rows == len(texts) * (len(texts) - 1) // 2
+
+
 def test_naive_bayes_shuffles_tokens_once(spark):
     rows = spark.createDataFrame([(0, "a b b", 0), (1, "b c", 2), (2, "a c c c", None)], "row_idx long, text string, target int")
     model = classify.fit_naive_bayes(rows, "text")
