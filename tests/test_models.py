@@ -493,3 +493,43 @@ def test_hierarchical_merges_by_the_distances_of_all_pairs(spark, linkage, whole
         clusters.setdefault(r["cluster"], set()).add(r["row_idx"])
     assert {frozenset(c) for c in clusters.values()} == flat_clusters(texts, 3, linkage)
     assert len(clusters) == 3 and all(min(c) == name for name, c in clusters.items())
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_near_rows_equal_products_of_matrices(same, monkeypatch):
+    monkeypatch.setattr(blocks, "SKETCHED_ROWS", 7)
+    monkeypatch.setattr(blocks, "LOOKED_UP", 20)
+    monkeypatch.setattr(blocks, "PLACES", 100)
+    rng = np.random.default_rng(3)
+
+    def block(n, of):
+        counts = rng.integers(3, 9, n)
+        counts[-1] = 0
+        items = np.concatenate([np.sort(rng.choice(of, c, replace=False)) for c in counts])
+        weights = rng.random(len(items)) + 0.2
+        rows = np.repeat(np.arange(n), counts)
+        weights /= np.sqrt(np.bincount(rows, weights**2, n))[rows]
+        return blocks.Block(None, counts.astype(np.int64), items), weights
+
+    a, w = block(60, np.arange(20))
+    b, v = (a, w) if same else block(50, np.arange(5, 40))
+
+    def dense(block, weights):
+        out = np.zeros((len(block.counts), 40))
+        out[block.rows, block.items] = weights
+        return out
+
+    dots = np.floor(dense(a, w) @ dense(b, v).T * 1e9 + 0.5) / 1e9
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(dots >= 0.45)) if not same or i < j}
+    found = [(int(i), int(j)) for x, y in blocks.near_rows(a, b, w, v, 0.45) for i, j in zip(x, y)]
+    assert set(found) == want and len(found) == len(want) > 20
+
+
+def test_near_rows_of_many_candidates_search_little(monkeypatch):
+    n = 200
+    rows = blocks.Block(None, np.full(n, 4, np.int64), np.tile(np.arange(4), n))
+    weights = np.full(4 * n, 0.5)
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda x, y, *rest: searched.append(np.size(y)) or search(x, y, *rest))
+    assert sum(len(i) for i, _ in blocks.near_rows(rows, rows, weights, weights, 0.9)) == n * (n - 1) // 2
+    assert sum(searched) < 30_000  # 80,000 items of pairs are compared, each once
