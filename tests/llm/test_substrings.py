@@ -116,3 +116,16 @@ def test_deep_shallow_orders_and_groups():
         assert [rows[i] for i in order] == sorted(rows)
         assert len(set(first.tolist())) == len(set(rows))
         assert all(rows[order[f]] == r for f, r in zip(first.tolist(), rows, strict=True))
+
+
+def test_ranges_grow_with_the_table(spark, monkeypatch):
+    # a task of a range holds the anchors of so many bundles, however many there are
+    monkeypatch.setattr(substrings, "BUNDLE_BYTES", 200)
+    monkeypatch.setattr(substrings, "RANGE_BUNDLES", 2)
+    asked, offer = [], substrings._offer
+    monkeypatch.setattr(substrings, "_offer", lambda n: asked.append(n) or offer(n))
+    docs = corpus(random.Random(8))[:60]
+    rows = substrings.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows)
+    assert got == sorted((str(x[0]), *x[1:]) for x in brute(docs))
+    assert asked[0] > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

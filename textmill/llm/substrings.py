@@ -35,6 +35,7 @@ AROUND = SPAN - ANCHOR  # bytes to either side of an anchor
 STARTS = AROUND + 1  # strings of SPAN bytes that hold an anchor
 CONTEXT = SPAN + AROUND
 BUNDLE_BYTES = 2 << 20  # text of a bundle; a longer text is a bundle by itself
+RANGE_BUNDLES = 8  # a range of hashes gets as many anchors as so many bundles hold, so that its task's memory does not grow with the table
 HOT_DOCUMENTS = 500_000  # an anchor that more documents hold is hot
 HOT_PLACES = 500_000  # and one in more places, as in runs of one byte, where each position is an anchor
 AT_A_TIME = 1 << 16  # places whose surroundings are laid out at once
@@ -442,9 +443,9 @@ def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Copies of a text keep the one of the smallest id. An empty table gives an empty result.
     """
     spark = documents.sparkSession
-    n_ranges = 2 * partitions(spark)
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     bundles = checkpoint(bundle(rows))
+    n_ranges = max(2 * partitions(spark), -(-bundles.count() // RANGE_BUNDLES))
     # whole copies: all but the least are removed at once and need no anchors
     each = bundles.mapInArrow(_digests, "bundle long, doc int, own long, digest string").filter(F.col("own") < LATER)
     each = checkpoint(each)
