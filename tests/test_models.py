@@ -533,3 +533,20 @@ def test_near_rows_of_many_candidates_search_little(monkeypatch):
     monkeypatch.setattr(np, "searchsorted", lambda x, y, *rest: searched.append(np.size(y)) or search(x, y, *rest))
     assert sum(len(i) for i, _ in blocks.near_rows(rows, rows, weights, weights, 0.9)) == n * (n - 1) // 2
     assert sum(searched) < 30_000  # 80,000 items of pairs are compared, each once
+
+
+def test_near_pairs_are_compared_in_tasks(spark):
+    # no pair travels with the words of its sets
+    found = similarity.near_pairs(frame(spark, texts_of(20, 8)), "text", 0.4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect" not in plan and "Join" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_blocks_travel_packed():
+    lists = [[3, 9, 2_000_000_000], [], [5], [1, 2, 4, 8], []]
+    column = pa.array([[0]] + lists, pa.list_(pa.int32())).slice(1)  # a slice, as of a batch
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 5), pa.array(range(5)), column], names=["__block", "row", "ids"])
+    (packed,) = blocks._packing("ids")(iter([batch]))
+    assert packed["__block"].to_pylist() == [7]
+    table = blocks._unpacked(pa.chunked_array([packed["rows"], packed["rows"]]), "ids")
+    assert table["ids"].to_pylist() == 2 * lists and table["row"].to_pylist() == 2 * list(range(5))
