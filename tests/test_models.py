@@ -550,3 +550,13 @@ def test_blocks_travel_packed():
     assert packed["__block"].to_pylist() == [7]
     table = blocks._unpacked(pa.chunked_array([packed["rows"], packed["rows"]]), "ids")
     assert table["ids"].to_pylist() == 2 * lists and table["row"].to_pylist() == 2 * list(range(5))
+
+
+def test_tree_reads_vectors_it_keeps(spark, monkeypatch):
+    # the passes of the fit read stored vectors, without their texts
+    seen, fit = [], classify.DecisionTreeClassifier.fit
+    monkeypatch.setattr(classify.DecisionTreeClassifier, "fit", lambda self, df: seen.append((df.columns, df.storageLevel.useDisk)) or fit(self, df))
+    rows = spark.createDataFrame([(i, ("good day", "bad night")[i % 2], i % 2) for i in range(8)], "row_idx long, text string, target int")
+    model = classify.fit_tree(rows, "text")
+    assert seen == [(["features", "__label"], True)]
+    assert {(r["row_idx"] % 2, r["predicted"]) for r in classify.predict_tree(model, rows, "text").collect()} == {(0, 0), (1, 1)}
